@@ -18,7 +18,9 @@ def query(name: str, sql: str | None = None):
     def wrap(fn: Callable[[Lake], DataFrame]):
         if name in QUERIES:
             raise ValueError(f"query {name!r} registered twice")
-        QUERIES[name] = lambda spark, sf_dir: fn(Lake(spark, sf_dir))
+        run = lambda spark, sf_dir: fn(Lake(spark, sf_dir))
+        run.src = fn.__module__
+        QUERIES[name] = run
         if sql is not None:
             ORACLE[name] = with_views(sql)
         return fn
