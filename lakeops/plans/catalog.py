@@ -1,4 +1,4 @@
 """Importing this module registers every query."""
 
-from lakeops.plans import run_queries, sales_queries, storage_queries  # noqa: F401
+from lakeops.plans import diagnostics_queries, run_queries, sales_queries, storage_queries  # noqa: F401
 from lakeops.plans.registry import ORACLE, QUERIES  # noqa: F401
