@@ -151,8 +151,8 @@ def provider_type(type_name: Column | str) -> Column:
 
 
 def endpoint_host(connection: Column | str) -> Column:
-    """Host of a connection string or URL."""
-    return F.substring_index(F.regexp_replace(_col(connection), "^[a-z]+://", ""), "/", 1)
+    """Host of a connection string or URL: scheme removed, cut at the first ``;`` or ``/``."""
+    return F.regexp_extract(_col(connection), "^(?:jdbc:)?(?:[a-z]+://)?([^;/]*)", 1)
 
 
 def truncate_text(text: Column | str, n: int) -> Column:

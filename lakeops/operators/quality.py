@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lakeops.functions import constants as K
 from lakeops.functions import scalars as S
+from lakeops.session import small_frame
 
 
 @dataclass(frozen=True)
@@ -48,7 +49,7 @@ def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> Data
     The schema part is as long as the number of columns; row counts are one aggregate per table.
     """
     rows = [r for name, df in tables.items() for r in catalog_rows(name, df)]
-    columns = spark.createDataFrame(rows, "table_name string, column_name string, ordinal int, data_type string")
+    columns = small_frame(spark, rows, "table_name string, column_name string, ordinal int, data_type string")
     counts = reduce(DataFrame.unionByName, [
         df.agg(F.count(F.lit(1)).alias("table_rows")).withColumn("table_name", F.lit(name)) for name, df in tables.items()])
     return columns.join(counts, "table_name").orderBy("table_name", "ordinal")

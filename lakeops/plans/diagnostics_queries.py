@@ -10,6 +10,7 @@ from lakeops.functions import scalars as S
 from lakeops.operators import diagnostics as D
 from lakeops.operators import quality as Q
 from lakeops.plans.registry import query
+from lakeops.session import small_frame
 from lakeops.plans.run_queries import SQL_TS, dsum, quantile, with_ts
 
 PATTERNS = f"""
@@ -422,9 +423,10 @@ bound(element, dataset, column_name, real) as (values ('Customer Id', 'Customer'
 select element, dataset, b.column_name, null_pct is not null as covered, null_pct
 from bound b left join dict d on lower(b.dataset) = d.table_name and b.real = d.column_name""")
 def _(lake):
-    elements = lake.spark.createDataFrame(
-        [("Customer Id", [("Customer", "CCustKey"), ("Part", "PPartKey")]), ("Account Balance", [("Customer", "CAcctBal")]),
-         ("Fax Number", [("Customer", "CFax")])], "element string, columns array<struct<dataset: string, column_name: string>>")
+    bound = [("Customer Id", [("Customer", "CCustKey"), ("Part", "PPartKey")]), ("Account Balance", [("Customer", "CAcctBal")]),
+             ("Fax Number", [("Customer", "CFax")])]
+    rows = [(e, [{"dataset": d, "column_name": c} for d, c in cols]) for e, cols in bound]
+    elements = small_frame(lake.spark, rows, "element string, columns array<struct<dataset: string, column_name: string>>")
     a, b = _profile(lake, ["customer", "part"])
     return Q.cde_coverage(elements, a.unionByName(b), normalize_names=True)
 

@@ -11,6 +11,7 @@ from lakeops.operators import governance as G
 from lakeops.operators import graph as L
 from lakeops.operators import quality as Q
 from lakeops.plans.registry import query
+from lakeops.session import small_frame
 
 # -- classification ------------------------------------------------------------------
 
@@ -104,7 +105,7 @@ def _(lake):
 
 @query("dlp_gap", f"with {LABELS} select doc_id, source, label from labelled where label = 'Highly-Confidential-Restricted'")
 def _(lake):
-    policies = lake.spark.createDataFrame([("Confidential-PII",)], "label string")
+    policies = small_frame(lake.spark, [("Confidential-PII",)], "label string")
     return C.dlp_gap(_labelled(lake), policies).select("doc_id", "source", "label")
 
 

@@ -5,7 +5,10 @@ from __future__ import annotations
 import tempfile
 import uuid
 
+import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import types as T
+from pyspark.sql.pandas.types import to_arrow_type
 
 #: Settings every job assumes. Shuffle partitions are left to the caller:
 #: 2-3x the total cores on a cluster (AQE coalesces), 8 in the local tests.
@@ -58,3 +61,10 @@ def cut_lineage(df: DataFrame) -> DataFrame:
     """Materialise ``df`` reliably so iterative plans stay short and survive lost executors."""
     shared_root(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
+    """Configuration-sized rows as a frame held in the plan, without a Python job."""
+    kind = T.StructType.fromDDL(schema)
+    columns = {f.name: pa.array([r[i] for r in rows], to_arrow_type(f.dataType)) for i, f in enumerate(kind.fields)}
+    return spark.createDataFrame(pa.table(columns), schema=kind)
