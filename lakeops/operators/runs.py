@@ -4,7 +4,7 @@ from __future__ import annotations
 
 import datetime as dt
 
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from lakeops.functions import constants as K
@@ -37,6 +37,11 @@ def classify_run_status(runs: DataFrame) -> DataFrame:
     })
 
 
+def mean_of_means(value: Column) -> Column:
+    """Plain mean of per-item figures, to six digits: the order of addition does not show."""
+    return F.round(F.avg(value), 6)
+
+
 def _counts(runs: DataFrame) -> DataFrame:
     minutes = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
     newest = F.struct("start_time", "job_instance_id")
@@ -48,10 +53,11 @@ def _counts(runs: DataFrame) -> DataFrame:
         (exact_avg(minutes) / 60).alias("avg_duration_min"),
         (F.min(minutes) / 60).alias("min_duration_min"),
         (F.max(minutes) / 60).alias("max_duration_min"),
-        F.coalesce(exact_sum(minutes) / 3600, F.lit(0.0)).alias("total_compute_hrs"),
+        F.coalesce(exact_sum(minutes), F.lit(0.0)).alias("total_compute_sec"),
         F.max("start_time").alias("last_run_time"),
         F.max_by("status", newest).alias("last_status"),
-    ).withColumn("success_rate_pct", S.pct("success_count", "total_runs"))
+    ).withColumns({
+        "success_rate_pct": S.pct("success_count", "total_runs"), "total_compute_hrs": F.col("total_compute_sec") / 3600})
 
 
 def duration_trend(runs: DataFrame) -> DataFrame:
@@ -135,7 +141,7 @@ def overall_run_summary(runs: DataFrame) -> DataFrame:
         F.count_if(F.col("item_type") == "DataPipeline").alias("data_pipelines"),
         F.coalesce(F.sum("total_runs"), F.lit(0)).alias("total_runs"),
         S.pct(F.sum("success_count"), F.sum("total_runs")).alias("success_rate_pct"),
-        F.coalesce(exact_sum(F.col("total_compute_hrs"), 9), F.lit(0.0)).alias("total_compute_hrs"),
+        (F.coalesce(exact_sum(F.col("total_compute_sec")), F.lit(0.0)) / 3600).alias("total_compute_hrs"),
     )
 
 
@@ -147,8 +153,8 @@ def run_type_summary(runs: DataFrame) -> DataFrame:
         F.sum("success_count").alias("success_count"),
         F.sum("failure_count").alias("failure_count"),
         S.pct(F.sum("success_count"), F.sum("total_runs")).alias("success_rate_pct"),
-        exact_sum(F.col("total_compute_hrs"), 9).alias("total_compute_hrs"),
-        exact_avg(F.col("avg_duration_min"), 9).alias("avg_duration_min"),
+        (exact_sum(F.col("total_compute_sec")) / 3600).alias("total_compute_hrs"),
+        mean_of_means(F.col("avg_duration_min")).alias("avg_duration_min"),
     )
 
 
@@ -237,6 +243,11 @@ def execution_frequency(runs: DataFrame) -> DataFrame:
 
 
 def compute_efficiency(runs: DataFrame) -> DataFrame:
+    """Notebook report: see :func:`_efficiency`, without its helper columns."""
+    return _efficiency(runs).drop("total_sec", "wasted_sec")
+
+
+def _efficiency(runs: DataFrame) -> DataFrame:
     """Share of notebook compute spent on successful runs, blended with how steady their durations are."""
     keys = ["item_id", "item_name"]
     notebooks = runs.where(F.col("item_type") == "Notebook").dropna(subset=keys)
@@ -260,6 +271,7 @@ def compute_efficiency(runs: DataFrame) -> DataFrame:
         "compute_efficiency_pct": S.pct("ok_sec", "total_sec"), "consistency_pct": steady,
     }).select(
         *keys, "total_runs", "completed_runs", "failed_runs",
+        "total_sec", "wasted_sec",
         (F.col("total_sec") / 60).alias("total_compute_min"),
         (F.col("ok_sec") / 60).alias("successful_compute_min"),
         (F.col("wasted_sec") / 60).alias("wasted_compute_min"),
@@ -272,13 +284,13 @@ def compute_efficiency(runs: DataFrame) -> DataFrame:
 
 def efficiency_tiers(runs: DataFrame) -> DataFrame:
     est = F.col("estimated_efficiency_pct")
-    return compute_efficiency(runs).agg(
+    return _efficiency(runs).agg(
         F.count_if(est >= 90).alias("efficient"),
         F.count_if((est >= 70) & (est < 90)).alias("moderate"),
         F.count_if(est < 70).alias("low"),
-        exact_avg(est, 9).alias("avg_efficiency_pct"),
-        exact_sum(F.col("total_compute_min"), 9).alias("total_compute_min"),
-        exact_sum(F.col("wasted_compute_min"), 9).alias("wasted_compute_min"),
+        mean_of_means(est).alias("avg_efficiency_pct"),
+        (exact_sum(F.col("total_sec")) / 60).alias("total_compute_min"),
+        (exact_sum(F.col("wasted_sec")) / 60).alias("wasted_compute_min"),
     )
 
 

@@ -11,7 +11,7 @@ from lakeops.operators import governance as G
 from lakeops.operators import graph as L
 from lakeops.operators import quality as Q
 from lakeops.plans.registry import query
-from lakeops.session import small_frame
+from lakeops.session import scratch_path, small_frame
 
 # -- classification ------------------------------------------------------------------
 
@@ -69,7 +69,10 @@ def _assets(lake):
         F.when(email, F.lit("PERSONAL.EMAIL")),
         F.when(card | (F.col("doc_id") % 17 == 0), F.lit("FINANCIAL.CREDIT_CARD_NUMBER")),
         F.when(F.col("doc_id") % 23 == 0, F.lit("INTERNAL_EMPLOYEE_ID"))), lambda c: c.isNotNull())
-    return lake.table("documents").select("doc_id", "source", found.alias("classifications"))
+    # the scan result is a table of its own: labelling it must not read the texts again
+    path = scratch_path(lake.spark, "classified")
+    lake.table("documents").select("doc_id", "source", found.alias("classifications")).write.parquet(path)
+    return lake.spark.read.schema("doc_id bigint, source string, classifications array<string>").parquet(path)
 
 
 def _labelled(lake):

@@ -58,7 +58,8 @@ per_item as (
   {quantile('case when duration_seconds >= 0 then duration_seconds end', 0.95)} / 60 as p95_duration_min,
   min(duration_seconds) filter (duration_seconds >= 0) / 60 as min_duration_min,
   max(duration_seconds) filter (duration_seconds >= 0) / 60 as max_duration_min,
-  coalesce({dsum('case when duration_seconds >= 0 then duration_seconds end')} / 3600, 0.0) as total_compute_hrs,
+  coalesce({dsum('case when duration_seconds >= 0 then duration_seconds end')}, 0.0) as total_compute_sec,
+  coalesce({dsum('case when duration_seconds >= 0 then duration_seconds end')}, 0.0) / 3600 as total_compute_hrs,
   max(start_time) as last_run_time,
   arg_max(status, (start_time, job_instance_id)) as last_status
  from fx_runs group by all)"""
@@ -100,7 +101,7 @@ parts as (
   case when ok_n >= 2 and ok_sec / ok_n > 0 then least(p50 / (ok_sec / ok_n) * 100, 100.0) else 100.0 end as consistency_pct
  from sums),
 eff as (
- select item_id, item_name, total_runs, completed_runs, failed_runs, total_sec / 60 as total_compute_min,
+ select item_id, item_name, total_runs, completed_runs, failed_runs, total_sec, wasted_sec, total_sec / 60 as total_compute_min,
   ok_sec / 60 as successful_compute_min, wasted_sec / 60 as wasted_compute_min, avg_sec / 60 as avg_duration_min,
   wasted_sec / 60 as idle_estimate_min, compute_efficiency_pct, consistency_pct,
   compute_efficiency_pct * cast(0.7 as double) + consistency_pct * cast(0.3 as double) as estimated_efficiency_pct from parts)"""
@@ -143,7 +144,7 @@ with {PER_ITEM}
 select count(*) as items, count(*) filter (item_type = 'Notebook') as notebooks,
  count(*) filter (item_type = 'DataPipeline') as data_pipelines, cast(sum(total_runs) as bigint) as total_runs,
  cast(sum(success_count) as double) / cast(sum(total_runs) as double) * 100 as success_rate_pct,
- {dsum('total_compute_hrs', 9)} as total_compute_hrs from per_item""")
+ {dsum('total_compute_sec')} / 3600 as total_compute_hrs from per_item""")
 def _(lake):
     return R.overall_run_summary(lake.fx("runs"))
 
@@ -153,7 +154,7 @@ with {PER_ITEM}
 select item_type, count(*) as items, cast(sum(total_runs) as bigint) as total_runs, cast(sum(success_count) as bigint) as success_count,
  cast(sum(failure_count) as bigint) as failure_count,
  cast(sum(success_count) as double) / cast(sum(total_runs) as double) * 100 as success_rate_pct,
- {dsum('total_compute_hrs', 9)} as total_compute_hrs, {davg('avg_duration_min', 9)} as avg_duration_min
+ {dsum('total_compute_sec')} / 3600 as total_compute_hrs, round(avg(avg_duration_min), 6) as avg_duration_min
 from per_item group by item_type""")
 def _(lake):
     return R.run_type_summary(lake.fx("runs"))
@@ -268,7 +269,7 @@ def _(lake):
         F.count(F.lit(1)).alias("items"), F.sum("runs").alias("runs"))
 
 
-@query("compute_efficiency", f"with {EFFICIENCY} select * from eff")
+@query("compute_efficiency", f"with {EFFICIENCY} select * exclude (total_sec, wasted_sec) from eff")
 def _(lake):
     return R.compute_efficiency(lake.fx("runs"))
 
@@ -277,8 +278,8 @@ def _(lake):
 with {EFFICIENCY}
 select count(*) filter (estimated_efficiency_pct >= 90) as efficient,
  count(*) filter (estimated_efficiency_pct >= 70 and estimated_efficiency_pct < 90) as moderate,
- count(*) filter (estimated_efficiency_pct < 70) as low, {davg('estimated_efficiency_pct', 9)} as avg_efficiency_pct,
- {dsum('total_compute_min', 9)} as total_compute_min, {dsum('wasted_compute_min', 9)} as wasted_compute_min from eff""")
+ count(*) filter (estimated_efficiency_pct < 70) as low, round(avg(estimated_efficiency_pct), 6) as avg_efficiency_pct,
+ {dsum('total_sec')} / 60 as total_compute_min, {dsum('wasted_sec')} / 60 as wasted_compute_min from eff""")
 def _(lake):
     return R.efficiency_tiers(lake.fx("runs"))
 
