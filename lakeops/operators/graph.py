@@ -1,9 +1,9 @@
 """Lineage edges, closures, trees and term links.
 
-Iterative operators grow one level per round and cut their lineage with a
-reliable checkpoint, so a plan never grows with the depth and a lost executor
-costs one level at most. A round joins the newest level with the edges; a node
-with very many edges is a skewed join side that adaptive execution splits.
+Iterative operators grow one level per round and write each level to the shared
+folder, so a lost executor costs one level at most and a plan holds one leaf per
+level. A round joins the newest level with the edges: broadcast while that level
+is small, else a shuffle whose hot nodes adaptive execution splits.
 """
 
 from __future__ import annotations
@@ -31,10 +31,9 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
     step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
     step = cut_lineage(step)
-    level = step.where(F.col("_from") != F.col("_to")).select(
+    frontier = step.where(F.col("_from") != F.col("_to")).select(
         F.col("_from").alias("node"), F.col("_to").alias("reached"), F.lit(1).alias("distance"))
-    known, distance = cut_lineage(level), 1
-    frontier = known
+    known, distance = frontier, 1
     while not frontier.isEmpty() and (max_distance is None or distance < max_distance):
         distance += 1
         further = frontier.join(step, frontier["reached"] == step["_from"]).select(

@@ -13,6 +13,8 @@ from collections.abc import Mapping, Sequence
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from lakeops.session import cut_lineage
+
 MICROS = 1_000_000
 
 
@@ -95,8 +97,10 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
 def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str) -> DataFrame:
     """Means of the first ⌊n/2⌋ rows in time order and of the rest, per group.
 
-    Minute totals settle every minute that lies wholly in one half; only the one
-    minute per group that straddles the middle is looked at row by row.
+    Minute totals settle every minute that lies wholly in one half. The one
+    minute per group that straddles the middle is written out as a table with a
+    row per group, so the second look at the rows keeps only those minutes,
+    without a shuffle of the others where that table is small enough to broadcast.
     """
     keys = list(keys)
     rows = df.select(
@@ -106,23 +110,29 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     minutes = rows.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"))
     placed = bucket_offsets(minutes, keys, "_minute").withColumn("mid", F.floor(F.col("total") / 2))
     first, second = F.col("before") + F.col("n") <= F.col("mid"), F.col("before") >= F.col("mid")
-    whole = placed.where(first | second).select(*keys, "total", first.alias("first"), "n", "s")
-    split = placed.where(~(first | second)).select(*keys, "_minute", "before", "total", "mid")
+    split = ~(first | second)
+    groups = cut_lineage(placed.groupBy(*keys).agg(
+        F.max("total").alias("total"), F.max("mid").alias("mid"),
+        F.sum(F.when(first, F.col("s"))).alias("s1"), F.sum(F.when(second, F.col("s"))).alias("s2"),
+        F.max(F.when(split, F.col("_minute"))).alias("_minute"), F.max(F.when(split, F.col("before"))).alias("before"),
+    ), "halves")
     order = Window.partitionBy(*keys, "_minute").orderBy(time, tie)
+    in_first = F.col("before") + F.row_number().over(order) <= F.col("mid")
     cut = (
-        rows.join(split, [*keys, "_minute"])
-        .withColumn("first", F.col("before") + F.row_number().over(order) <= F.col("mid"))
-        .groupBy(*keys, "total", "first").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"))
+        rows.join(groups.select(*keys, "_minute", "before", "mid"), [*keys, "_minute"])
+        .withColumn("_first", in_first)
+        .groupBy(*keys).agg(F.sum(F.when(F.col("_first"), F.col("_v"))).alias("c1"),
+                            F.sum(F.when(~F.col("_first"), F.col("_v"))).alias("c2"))
     )
 
-    def mean(flag: Column) -> Column:
-        return F.try_divide(F.sum(F.when(flag, F.col("s"))).cast("double"), F.sum(F.when(flag, F.col("n"))).cast("double"))
+    def mean(whole: str, part: str, n: Column) -> Column:
+        zero = F.lit(0).cast("decimal(38,6)")
+        return F.try_divide((F.coalesce(whole, zero) + F.coalesce(part, zero)).cast("double"), n.cast("double"))
 
-    return whole.unionByName(cut).groupBy(*keys).agg(
-        F.max("total").alias("half_rows"),
-        mean(F.col("first")).alias("first_half_mean"),
-        mean(~F.col("first")).alias("second_half_mean"),
-    )
+    return groups.join(cut, keys, "left").select(
+        *keys, F.col("total").alias("half_rows"),
+        mean("s1", "c1", F.col("mid")).alias("first_half_mean"),
+        mean("s2", "c2", F.col("total") - F.col("mid")).alias("second_half_mean"))
 
 
 def trailing_counts(df: DataFrame, key: str, row_id: str, time: str, seconds: int, out: str,

@@ -54,8 +54,8 @@ def storage_summary(files: DataFrame, max_depth: int | None = None) -> DataFrame
         F.count(F.lit(1)).alias("items"), F.coalesce(F.sum("files"), F.lit(0)).alias("files"),
         F.coalesce(F.sum("bytes"), F.lit(0)).alias("total_bytes"))
     dirs = storage_by_directory(files, max_depth).agg(F.count(F.lit(1)).alias("dirs_tracked"))
-    # both sides are one-row totals
-    both = totals.join(dirs, F.lit(True))
+    both = totals.unionByName(dirs, allowMissingColumns=True).agg(*[
+        F.max(c).alias(c) for c in ("items", "files", "total_bytes", "dirs_tracked")])
     return both.withColumns({"total_gb": S.bytes_to_gb("total_bytes"), "total_tb": S.bytes_to_tb("total_bytes")})
 
 

@@ -57,10 +57,16 @@ def scratch_path(spark: SparkSession, tag: str) -> str:
     return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
 
 
-def cut_lineage(df: DataFrame) -> DataFrame:
-    """Materialise ``df`` reliably so iterative plans stay short and survive lost executors."""
-    shared_root(df.sparkSession)
-    return df.checkpoint(eager=True)
+def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
+    """Write ``df`` to the shared folder and read it back.
+
+    Iterative plans stay short and survive lost executors, and Catalyst knows
+    the written size: a later join broadcasts this side only if it is below
+    ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
+    """
+    path = scratch_path(df.sparkSession, tag)
+    df.write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
