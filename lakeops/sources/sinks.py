@@ -6,11 +6,12 @@ import datetime as dt
 from collections.abc import Sequence
 
 from pyspark.errors import AnalysisException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.operators.governance import merge_rows
+from lakeops.session import cut_lineage
 
 
 def write_table_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
@@ -43,7 +44,7 @@ def export_frame(df: DataFrame, cols: Sequence[str] | None = None) -> DataFrame:
 def write_csv_export(df: DataFrame, base: str, name: str, cols: Sequence[str] | None = None, at: dt.datetime | None = None) -> str:
     """Write a report below ``base`` under a time-stamped name; every task writes its own part."""
     path = f"{base.rstrip('/')}/{name}_{(at or dt.datetime.now(dt.UTC)):%Y%m%d_%H%M%S}"
-    export_frame(df, cols).write.option("header", True).csv(path)
+    export_frame(df, cols).write.option("header", True).option("escape", '"').csv(path)
     return path
 
 
@@ -63,13 +64,20 @@ def ingest_resumable(source: DataFrame, target: str, state: str, key: str, force
     key is split over several tasks and files by the rebalance.
     """
     spark = source.sparkSession
-    kind = source.schema[key].dataType
-    done = _done(spark, state, key, kind)
-    pending = source if force else source.join(done.distinct(), key, "left_anti")
+    done = _done(spark, state, key, source.schema[key].dataType)
+
+    def same(left: str, right: str) -> Column:
+        return F.col(f"{left}.{key}").eqNullSafe(F.col(f"{right}.{key}"))
+
+    keys = source.select(key).distinct()
+    if not force:
+        keys = keys.alias("k").join(done.alias("d"), same("k", "d"), "left_anti")
+    # fixed before the data is read: a partition that appears meanwhile waits for the next run
+    keys = cut_lineage(keys, "pending")
+    pending = source.alias("s").join(keys.alias("k"), same("s", "k"), "left_semi").select(*[F.col(f"s.`{c}`") for c in source.columns])
     placed = pending.withColumn("_part", F.col(key)).hint("rebalance", F.col("_part"))
     placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target)
-    marks = pending.select(key).distinct()
-    marks.write.mode("overwrite" if force else "append").parquet(state)
+    keys.write.mode("overwrite" if force else "append").parquet(state)
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:
