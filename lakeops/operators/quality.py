@@ -12,6 +12,7 @@ from pyspark.sql import types as T
 
 from lakeops.functions import constants as K
 from lakeops.functions import scalars as S
+from lakeops.operators.skew import exact_sum, wide_sum
 from lakeops.session import small_frame
 
 
@@ -263,9 +264,8 @@ def reconcile_tables(left: DataFrame, right: DataFrame, key: list[str], amounts:
         cols = [F.col(f"`{c}`") for c in sorted(df.columns)]
         return df.groupBy(*key).agg(
             F.count(F.lit(1)).alias(f"rows_{tag}"),
-            # decimal, because a bigint sum of hashes overflows
-            F.sum(F.xxhash64(*cols).cast("decimal(38,0)")).alias(f"_hash_{tag}"),
-            *[F.sum(F.col(c).cast("decimal(28,4)")).cast("double").alias(f"{c}_{tag}") for c in amounts])
+            wide_sum(F.xxhash64(*cols)).alias(f"_hash_{tag}"),
+            *[exact_sum(F.col(c), 4).alias(f"{c}_{tag}") for c in amounts])
 
     on = reduce(lambda a, b: a & b, [F.col(f"l.{k}").eqNullSafe(F.col(f"r.{k}")) for k in key])
     both = side(left, "left").alias("l").join(side(right, "right").alias("r"), on, "full_outer")

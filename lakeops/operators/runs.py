@@ -9,7 +9,7 @@ from pyspark.sql import functions as F
 
 from lakeops.functions import constants as K
 from lakeops.functions import scalars as S
-from lakeops.operators.skew import exact_avg, exact_quantiles, exact_sum, half_means, most_frequent
+from lakeops.operators.skew import exact_avg, exact_quantiles, exact_sum, half_means, most_frequent, units, wide_sum
 
 ITEM = ["item_id", "item_name", "item_type"]
 
@@ -42,20 +42,36 @@ def mean_of_means(value: Column) -> Column:
     return F.round(F.avg(value), 6)
 
 
+def _per_status(runs: DataFrame) -> DataFrame:
+    """Runs per item and status: numbers only, so it is a hash aggregate that shrinks map-side."""
+    valid = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
+    u = units(valid)
+    return runs.groupBy(*ITEM, "status").agg(
+        F.count(F.lit(1)).alias("n"), F.count(valid).alias("timed"), wide_sum(u).alias("micros"),
+        F.min(valid).alias("shortest"), F.max(valid).alias("longest"), F.max("start_time").alias("latest"))
+
+
+def _last_status() -> Column:
+    """Status of the latest start; missing starts come last, equal ones go by status name."""
+    return F.max_by("status", F.struct("latest", "status"))
+
+
 def _counts(runs: DataFrame) -> DataFrame:
-    minutes = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
-    newest = F.struct("start_time", "job_instance_id")
-    return runs.groupBy(*ITEM).agg(
-        F.count(F.lit(1)).alias("total_runs"),
-        F.count_if(S.status_in("status", K.SUCCESS)).alias("success_count"),
-        F.count_if(S.status_in("status", K.FAILURE_METRICS)).alias("failure_count"),
-        F.count_if(S.status_in("status", K.IN_PROGRESS)).alias("in_progress_count"),
-        (exact_avg(minutes) / 60).alias("avg_duration_min"),
-        (F.min(minutes) / 60).alias("min_duration_min"),
-        (F.max(minutes) / 60).alias("max_duration_min"),
-        F.coalesce(exact_sum(minutes), F.lit(0.0)).alias("total_compute_sec"),
-        F.max("start_time").alias("last_run_time"),
-        F.max_by("status", newest).alias("last_status"),
+    def runs_in(names) -> Column:
+        return F.coalesce(F.sum(F.when(S.status_in("status", names), F.col("n"))), F.lit(0))
+
+    seconds = F.coalesce(F.sum("micros").cast("double") / F.lit(1e6), F.lit(0.0))
+    return _per_status(runs).groupBy(*ITEM).agg(
+        F.sum("n").alias("total_runs"),
+        runs_in(K.SUCCESS).alias("success_count"),
+        runs_in(K.FAILURE_METRICS).alias("failure_count"),
+        runs_in(K.IN_PROGRESS).alias("in_progress_count"),
+        (F.try_divide(seconds, F.sum("timed").cast("double")) / 60).alias("avg_duration_min"),
+        (F.min("shortest") / 60).alias("min_duration_min"),
+        (F.max("longest") / 60).alias("max_duration_min"),
+        seconds.alias("total_compute_sec"),
+        F.max("latest").alias("last_run_time"),
+        _last_status().alias("last_status"),
     ).withColumns({
         "success_rate_pct": S.pct("success_count", "total_runs"), "total_compute_hrs": F.col("total_compute_sec") / 3600})
 
@@ -126,10 +142,9 @@ def round_report(metrics: DataFrame) -> DataFrame:
 
 
 def last_run(runs: DataFrame) -> DataFrame:
-    """Latest start and its status per item; runs without a start come last."""
-    newest = F.struct("start_time", "job_instance_id")
-    return _with_item(runs).groupBy(*ITEM).agg(
-        F.max("start_time").alias("last_run_time"), F.max_by("status", newest).alias("last_status"))
+    """Latest start and its status per item."""
+    return _per_status(_with_item(runs)).groupBy(*ITEM).agg(
+        F.max("latest").alias("last_run_time"), _last_status().alias("last_status"))
 
 
 def overall_run_summary(runs: DataFrame) -> DataFrame:

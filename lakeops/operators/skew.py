@@ -18,9 +18,23 @@ from lakeops.session import cut_lineage
 MICROS = 1_000_000
 
 
+def units(value: Column, scale: int = 6) -> Column:
+    """A number as a whole count of ``10**-scale``."""
+    return F.rint(value * F.lit(float(10 ** scale))).cast("bigint")
+
+
+def wide_sum(whole: Column) -> Column:
+    """Sum of bigints as decimal, past the range of bigint.
+
+    High and low bits are added apart, so the aggregation stays on longs.
+    """
+    high, low = F.sum(F.shiftright(whole, 20)), F.sum(whole.bitwiseAND(F.lit((1 << 20) - 1)))
+    return high.cast("decimal(25,0)") * F.lit(1 << 20).cast("decimal(7,0)") + low.cast("decimal(20,0)")
+
+
 def exact_sum(value: Column, scale: int = 6) -> Column:
-    """Sum as a decimal, returned as double: the same whatever the row order or retry."""
-    return F.sum(value.cast(f"decimal(28,{scale})")).cast("double")
+    """Sum to ``scale`` digits, returned as double: the same whatever the row order or retry."""
+    return wide_sum(units(value, scale)).cast("double") / F.lit(float(10 ** scale))
 
 
 def exact_avg(value: Column, scale: int = 6) -> Column:
@@ -104,7 +118,7 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     """
     keys = list(keys)
     rows = df.select(
-        *keys, time, tie, F.col(value).cast("decimal(28,6)").alias("_v"),
+        *keys, time, tie, units(F.col(value)).alias("_v"),
         F.floor(F.unix_micros(time) / F.lit(60 * MICROS)).alias("_minute"),
     )
     minutes = rows.groupBy(*keys, "_minute").agg(F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"))
@@ -113,7 +127,7 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     split = ~(first | second)
     groups = cut_lineage(placed.groupBy(*keys).agg(
         F.max("total").alias("total"), F.max("mid").alias("mid"),
-        F.sum(F.when(first, F.col("s"))).alias("s1"), F.sum(F.when(second, F.col("s"))).alias("s2"),
+        wide_sum(F.when(first, F.col("s"))).alias("s1"), wide_sum(F.when(second, F.col("s"))).alias("s2"),
         F.max(F.when(split, F.col("_minute"))).alias("_minute"), F.max(F.when(split, F.col("before"))).alias("before"),
     ), "halves")
     order = Window.partitionBy(*keys, "_minute").orderBy(time, tie)
@@ -126,8 +140,9 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     )
 
     def mean(whole: str, part: str, n: Column) -> Column:
-        zero = F.lit(0).cast("decimal(38,6)")
-        return F.try_divide((F.coalesce(whole, zero) + F.coalesce(part, zero)).cast("double"), n.cast("double"))
+        zero = F.lit(0).cast("decimal(34,0)")
+        both = (F.coalesce(whole, zero) + F.coalesce(part, zero)).cast("double") / F.lit(1e6)
+        return F.try_divide(both, n.cast("double"))
 
     return groups.join(cut, keys, "left").select(
         *keys, F.col("total").alias("half_rows"),

@@ -61,7 +61,7 @@ per_item as (
   coalesce({dsum('case when duration_seconds >= 0 then duration_seconds end')}, 0.0) as total_compute_sec,
   coalesce({dsum('case when duration_seconds >= 0 then duration_seconds end')}, 0.0) / 3600 as total_compute_hrs,
   max(start_time) as last_run_time,
-  arg_max(status, (start_time, job_instance_id)) as last_status
+  arg_max(status, (start_time, status)) as last_status
  from fx_runs group by all)"""
 
 TREND = f"""
@@ -162,7 +162,7 @@ def _(lake):
 
 @query("last_run", f"""
 select {ITEM}, {SQL_TS.format('max(start_time)')} as last_run_time,
- arg_max(status, (start_time, job_instance_id)) as last_status from fx_runs group by {ITEM}""")
+ arg_max(status, (start_time, status)) as last_status from fx_runs group by {ITEM}""")
 def _(lake):
     return with_ts(R.last_run(lake.fx("runs")), "last_run_time")
 

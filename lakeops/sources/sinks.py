@@ -60,8 +60,8 @@ def ingest_resumable(source: DataFrame, target: str, state: str, key: str, force
     """Write the partitions (values of ``key``) not marked done in ``state``, then mark them.
 
     Data is written before the marks and replaces whole key partitions, so a run
-    that dies in between is simply repeated. ``force`` rescans everything. A hot
-    key is split over several tasks and files by the rebalance.
+    that dies in between is simply repeated. ``force`` rescans everything and
+    replaces the whole target. A hot key is split over several tasks and files by the rebalance.
     """
     spark = source.sparkSession
     done = _done(spark, state, key, source.schema[key].dataType)
@@ -76,8 +76,12 @@ def ingest_resumable(source: DataFrame, target: str, state: str, key: str, force
     keys = cut_lineage(keys, "pending")
     pending = source.alias("s").join(keys.alias("k"), same("s", "k"), "left_semi").select(*[F.col(f"s.`{c}`") for c in source.columns])
     placed = pending.withColumn("_part", F.col(key)).hint("rebalance", F.col("_part"))
-    placed.write.mode("overwrite").option("partitionOverwriteMode", "dynamic").partitionBy("_part").parquet(target)
-    keys.write.mode("overwrite" if force else "append").parquet(state)
+    if force:
+        # no mark may outlive the data it stands for
+        keys.limit(0).write.mode("overwrite").parquet(state)
+    replace = "static" if force else "dynamic"
+    placed.write.mode("overwrite").option("partitionOverwriteMode", replace).partitionBy("_part").parquet(target)
+    keys.write.mode("append").parquet(state)
 
 
 def read_ingested(spark: SparkSession, target: str) -> DataFrame:

@@ -83,6 +83,7 @@ def test_ingest_resumes_repeats_and_rescans(spark, tmp_path, rows):
     assert load([(9, "a"), (3, "b")], force=True) == [(3, "b"), (9, "a")]
     # rows without a partition key are neither lost nor marked twice
     assert load([(7, None)]) == load([(7, None)]) == [(3, "b"), (7, None), (9, "a")]
+    assert load([(5, "c")], force=True) == [(5, "c")] and rows(spark.read.parquet(state)) == [("c",)]
 
 
 def test_failure_reason_shapes(spark):
