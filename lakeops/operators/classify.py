@@ -25,6 +25,8 @@ class ClassificationRule:
     value_pattern: str | None = None
     column_pattern: str | None = None
     min_match: float = 0.6
+    #: text every match of ``value_pattern`` holds; values without it skip the pattern
+    needs: str | None = None
 
 
 @dataclass(frozen=True)
@@ -35,8 +37,8 @@ class LabelRule:
 
 # Classification rules, scan patterns and label rules.
 CLASSIFICATION_RULES = (
-    ClassificationRule("CUSTOMER_LOYALTY_ID", r"^LOY-[0-9]{9}$", r"(?i)loyalty.*id", 0.6),
-    ClassificationRule("INTERNAL_EMPLOYEE_ID", r"^emp[0-9]+@[a-z0-9.-]+$", r"(?i)(corporate|internal).*email|employee.*email", 0.6),
+    ClassificationRule("CUSTOMER_LOYALTY_ID", r"^LOY-[0-9]{9}$", r"(?i)loyalty.*id", 0.6, "LOY-"),
+    ClassificationRule("INTERNAL_EMPLOYEE_ID", r"^emp[0-9]+@[a-z0-9.-]+$", r"(?i)(corporate|internal).*email|employee.*email", 0.6, "@"),
     ClassificationRule("HR_COMPENSATION", None, r"(?i)(salary|compensation|base_pay)", 0.8),
 )
 PII_PATTERNS = {
@@ -46,6 +48,8 @@ PII_PATTERNS = {
     "loyalty_id": r"LOY-[0-9]{9}",
     "employee_email": r"emp[0-9]+@[a-z0-9.-]+",
 }
+#: text every match of a pattern holds, searched for before the pattern is tried
+PII_NEEDS = {"email": "@", "loyalty_id": "LOY-", "employee_email": "@"}
 LABEL_RULES = (
     LabelRule("Confidential-PII", ("CUSTOMER_LOYALTY_ID", "PERSONAL.EMAIL", "PERSONAL.PHONE_NUMBER", "GOVERNMENT.US.SOCIAL_SECURITY_NUMBER")),
     LabelRule("Highly-Confidential-Restricted", ("FINANCIAL.CREDIT_CARD_NUMBER", "HR_COMPENSATION")),
@@ -54,6 +58,12 @@ LABEL_RULES = (
 DEFAULT_LABEL = "Internal"
 
 
+def matches(value: Column | str, pattern: str, needs: str | None = None) -> Column:
+    """Regular-expression match, tried only where the cheap search for ``needs`` succeeds."""
+    v = F.col(value) if isinstance(value, str) else value
+    return v.rlike(pattern) if needs is None else v.contains(needs) & v.rlike(pattern)
+
+
 def classify_columns(name: str, df: DataFrame, rules: Sequence[ClassificationRule] = CLASSIFICATION_RULES) -> DataFrame:
     """``table_name, column_name, classification, match_ratio, by_name`` of every rule that fires.
 
@@ -65,7 +75,7 @@ def classify_columns(name: str, df: DataFrame, rules: Sequence[ClassificationRul
     for i, (c, r) in enumerate(pairs):
         ratio = F.lit(0.0)
         if r.value_pattern and c in strings:
-            aggs += [F.count(c).alias(f"_n{i}"), F.count_if(F.col(c).rlike(r.value_pattern)).alias(f"_m{i}")]
+            aggs += [F.count(c).alias(f"_n{i}"), F.count_if(matches(c, r.value_pattern, r.needs)).alias(f"_m{i}")]
             ratio = F.coalesce(S.safe_ratio(f"_m{i}", f"_n{i}"), F.lit(0.0))
         by_name = F.lit(c).rlike(r.column_pattern) if r.column_pattern else F.lit(False)
         rows.append(F.struct(
@@ -75,9 +85,10 @@ def classify_columns(name: str, df: DataFrame, rules: Sequence[ClassificationRul
     return fired.where((F.col("match_ratio") >= F.col("_min")) | F.col("by_name")).drop("_min")
 
 
-def pii_scan(df: DataFrame, text: str, by: list[str] | None = None, patterns: Mapping[str, str] = PII_PATTERNS) -> DataFrame:
+def pii_scan(df: DataFrame, text: str, by: list[str] | None = None, patterns: Mapping[str, str] = PII_PATTERNS,
+             needs: Mapping[str, str] = PII_NEEDS) -> DataFrame:
     """Rows holding each kind of personal data, per group, over the whole text."""
-    hits = [F.count_if(F.col(text).rlike(p)).alias(f"{kind}_rows") for kind, p in patterns.items()]
+    hits = [F.count_if(matches(text, p, needs.get(kind))).alias(f"{kind}_rows") for kind, p in patterns.items()]
     return df.groupBy(*(by or [])).agg(F.count(F.lit(1)).alias("rows"), *hits)
 
 

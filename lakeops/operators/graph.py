@@ -11,7 +11,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.session import cut_lineage
+from lakeops.session import cut_lineage, cut_lineage_counted
 
 
 def lineage_edges(processes: DataFrame) -> DataFrame:
@@ -30,16 +30,16 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
     step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
         F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    step = cut_lineage(step)
+    step, rows = cut_lineage_counted(step)
     frontier = step.where(F.col("_from") != F.col("_to")).select(
         F.col("_from").alias("node"), F.col("_to").alias("reached"), F.lit(1).alias("distance"))
     known, distance = frontier, 1
-    while not frontier.isEmpty() and (max_distance is None or distance < max_distance):
+    while rows and (max_distance is None or distance < max_distance):
         distance += 1
         further = frontier.join(step, frontier["reached"] == step["_from"]).select(
             "node", F.col("_to").alias("reached")).where(F.col("node") != F.col("reached")).distinct()
         new = further.join(known, ["node", "reached"], "left_anti").withColumn("distance", F.lit(distance))
-        frontier = cut_lineage(new)
+        frontier, rows = cut_lineage_counted(new)
         # a union of written levels: its plan holds one leaf per level
         known = known.unionByName(frontier)
     return known
@@ -56,14 +56,14 @@ def walk_tree(nodes: DataFrame, node_id: str, parent_id: str, label: str, inheri
     own = F.col(inherit) if inherit else F.lit(None).cast("string")
     base = cut_lineage(nodes.select(
         F.col(node_id).alias("id"), F.col(parent_id).alias("parent"), F.col(label).cast("string").alias("name"), own.alias("own")))
-    level = cut_lineage(base.where(F.col("parent").isNull()).select(
+    level, rows = cut_lineage_counted(base.where(F.col("parent").isNull()).select(
         "id", "parent", "name", F.lit(0).alias("depth"), F.col("name").alias("path"),
         F.coalesce("own", F.lit(default)).alias("inherited")))
     out, depth = level, 0
-    while not level.isEmpty():
+    while rows:
         depth += 1
         up = level.select(F.col("id").alias("_pid"), F.col("path").alias("_path"), F.col("inherited").alias("_inherited"))
-        level = cut_lineage(base.join(up, base["parent"] == up["_pid"]).select(
+        level, rows = cut_lineage_counted(base.join(up, base["parent"] == up["_pid"]).select(
             "id", "parent", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "name").alias("path"),
             F.coalesce("own", "_inherited").alias("inherited")))
         out = out.unionByName(level)

@@ -18,7 +18,7 @@ from lakeops.session import scratch_path, small_frame
 #: the loyalty pattern reads customer names, the e-mail rule reads texts
 RULES = (
     C.ClassificationRule("CUSTOMER_LOYALTY_ID", r"^Customer#[0-9]{9}$", r"(?i)loyalty.*id", 0.6),
-    C.ClassificationRule("PERSONAL.EMAIL", C.PII_PATTERNS["email"], None, 0.005),
+    C.ClassificationRule("PERSONAL.EMAIL", C.PII_PATTERNS["email"], None, 0.005, "@"),
     C.ClassificationRule("HR_COMPENSATION", None, r"(?i)(salary|compensation|acctbal)", 0.8),
 )
 CLASSIFY = f"""
@@ -64,7 +64,7 @@ labelled as (select doc_id, source,
 
 
 def _assets(lake):
-    email, card = (F.col("text").rlike(p) for p in HAS.values())
+    email, card = C.matches("text", C.PII_PATTERNS["email"], "@"), C.matches("text", C.PII_PATTERNS["card"])
     found = F.filter(F.array(
         F.when(email, F.lit("PERSONAL.EMAIL")),
         F.when(card | (F.col("doc_id") % 17 == 0), F.lit("FINANCIAL.CREDIT_CARD_NUMBER")),

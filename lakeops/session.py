@@ -6,7 +6,8 @@ import tempfile
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
 
@@ -64,9 +65,14 @@ def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     the written size: a later join broadcasts this side only if it is below
     ``spark.sql.autoBroadcastJoinThreshold`` and shuffles otherwise.
     """
-    path = scratch_path(df.sparkSession, tag)
-    df.write.parquet(path)
-    return df.sparkSession.read.schema(df.schema).parquet(path)
+    return cut_lineage_counted(df, tag)[0]
+
+
+def cut_lineage_counted(df: DataFrame, tag: str = "cut") -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` with the number of rows, observed while they are written."""
+    path, seen = scratch_path(df.sparkSession, tag), Observation()
+    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 
 def small_frame(spark: SparkSession, rows: list[tuple], schema: str) -> DataFrame:
