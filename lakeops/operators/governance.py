@@ -68,7 +68,7 @@ def not_in_existing(desired: DataFrame, existing: DataFrame, key: str) -> DataFr
 
 def call_rate_window(calls: DataFrame, limit: int = K.ADMIN_BUDGET[0], seconds: int = K.ADMIN_BUDGET[1]) -> DataFrame:
     """Calls of the same tenant in the trailing window at every call, judged against the budget."""
-    counted = trailing_counts(calls, "tenant", "call_id", "call_ts", seconds, "calls_in_window")
+    counted = trailing_counts(calls, "tenant", "call_ts", seconds, "calls_in_window")
     used = F.col("calls_in_window") / F.lit(float(limit))
-    level = F.when(used >= K.STOP_SHARE, "stop").when(used >= K.WARN_SHARE, "warn").otherwise("ok")
+    level = F.when(used >= K.STOP_SHARE, "stop").when(used >= K.WARN_SHARE, "warn").when(used.isNotNull(), "ok")
     return counted.withColumn("level", level)

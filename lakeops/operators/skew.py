@@ -52,15 +52,19 @@ def bucket_offsets(counts: DataFrame, keys: Sequence[str], bucket: str, n: str =
 
 
 def value_band(value: Column) -> Column:
-    """Monotone band of a number, about 1 % wide: at most a few thousand bands exist."""
-    band = F.floor(F.log2(F.abs(value) + F.lit(1.0)) * F.lit(64))
+    """Monotone band of a number, 4096 to each doubling.
+
+    Values of microsecond resolution up to a day and a half (2**17 s) have at
+    most 2**17 * 10**6 / 4096, some 32 million, distinct values in one band.
+    """
+    band = F.floor(F.log2(F.abs(value) + F.lit(1.0)) * F.lit(4096))
     return F.when(value < 0, -band).otherwise(band).cast("bigint")
 
 
 def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mapping[str, float]) -> DataFrame:
     """Linear-interpolated quantiles per key group, exact and skew-safe.
 
-    ``probs`` maps output column to probability. Values are reduced to distinct
+    Groups with a NULL key have none. ``probs`` maps output column to probability. Values are reduced to distinct
     (key, value) counts map-side; the bands holding the wanted ranks are found
     from band counts, and only those bands are ordered.
     """
@@ -108,13 +112,32 @@ def most_frequent(df: DataFrame, keys: Sequence[str], value: str, out: str) -> D
     return counted.groupBy(*keys).agg(F.min_by(value, F.struct(-F.col("_n"), F.col(value))).alias(out))
 
 
-def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str) -> DataFrame:
+def ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], out: str) -> DataFrame:
+    """Row number inside each key group, with groups of any size spread over tasks.
+
+    Rows are range-partitioned by key and order and written, which fixes the
+    partition of every row; counts per partition give the offset of each part.
+    ``order`` must be unique inside a group.
+    """
+    keys = list(keys)
+    ranged = df.repartitionByRange(*keys, *order).withColumn("_part", F.spark_partition_id())
+    ranged = cut_lineage(ranged, "ranged")
+    sizes = ranged.groupBy(*keys, "_part").agg(F.count(F.lit(1)).alias("_n"))
+    offsets = bucket_offsets(sizes, keys, "_part", "_n").select(*keys, "_part", F.col("before").alias("_offset"))
+    inside = Window.partitionBy(*keys, "_part").orderBy(*order)
+    return ranged.join(offsets, [*keys, "_part"]).withColumn(
+        out, F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
+
+
+def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str,
+               max_minute_rows: int = 5_000_000) -> DataFrame:
     """Means of the first ⌊n/2⌋ rows in time order and of the rest, per group.
 
     Minute totals settle every minute that lies wholly in one half. The one
     minute per group that straddles the middle is written out as a table with a
     row per group, so the second look at the rows keeps only those minutes,
     without a shuffle of the others where that table is small enough to broadcast.
+    A minute above ``max_minute_rows`` is ranked over many tasks.
     """
     keys = list(keys)
     rows = df.select(
@@ -129,12 +152,17 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
         F.max("total").alias("total"), F.max("mid").alias("mid"),
         wide_sum(F.when(first, F.col("s"))).alias("s1"), wide_sum(F.when(second, F.col("s"))).alias("s2"),
         F.max(F.when(split, F.col("_minute"))).alias("_minute"), F.max(F.when(split, F.col("before"))).alias("before"),
+        F.max(F.when(split, F.col("n"))).alias("_size"),
     ), "halves")
-    order = Window.partitionBy(*keys, "_minute").orderBy(time, tie)
-    in_first = F.col("before") + F.row_number().over(order) <= F.col("mid")
+    straddling = rows.join(groups.select(*keys, "_minute", "before", "mid"), [*keys, "_minute"])
+    largest = groups.agg(F.max("_size")).first()[0] or 0
+    if largest <= max_minute_rows:
+        order = Window.partitionBy(*keys, "_minute").orderBy(time, tie)
+        numbered = straddling.withColumn("_rank", F.row_number().over(order))
+    else:
+        numbered = ranked_by_range(straddling, keys, [time, tie], "_rank")
     cut = (
-        rows.join(groups.select(*keys, "_minute", "before", "mid"), [*keys, "_minute"])
-        .withColumn("_first", in_first)
+        numbered.withColumn("_first", F.col("before") + F.col("_rank") <= F.col("mid"))
         .groupBy(*keys).agg(F.sum(F.when(F.col("_first"), F.col("_v"))).alias("c1"),
                             F.sum(F.when(~F.col("_first"), F.col("_v"))).alias("c2"))
     )
@@ -150,27 +178,31 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
         mean("s2", "c2", F.col("total") - F.col("mid")).alias("second_half_mean"))
 
 
-def trailing_counts(df: DataFrame, key: str, row_id: str, time: str, seconds: int, out: str,
+def trailing_counts(df: DataFrame, key: str, time: str, seconds: int, out: str,
                     bucket_seconds: int = 60) -> DataFrame:
     """Rows of the same key in ``[t - seconds, t]`` for every row, both ends included.
 
-    Each row asks two running counts, one at its own time and one just before
-    the window opens. Both are a bucket offset plus a count inside one
-    (key, bucket), so a busy key spreads over as many tasks as it has buckets.
+    Rows first shrink to instants. Each instant asks two running counts, one at
+    its own time and one just before the window opens. Both are a bucket offset
+    plus a count inside one (key, bucket), so a busy key spreads over as many
+    tasks as it has buckets, and a burst at one instant is a single row. Rows
+    without a key or a time have no count.
     """
-    t = F.unix_micros(time)
-    points = df.select(
-        key, row_id,
+    stamped = df.withColumn("_at", F.unix_micros(time))
+    instants = stamped.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"))
+    points = instants.select(
+        key, "_at",
         F.explode(F.array(
-            F.struct(F.lit(1).alias("call"), t.alias("at")),
-            F.struct(F.lit(0).alias("call"), (t - F.lit(seconds * MICROS)).alias("at")),
+            F.struct(F.lit(1).alias("call"), F.col("_at").alias("at"), F.col("_n").alias("n")),
+            F.struct(F.lit(0).alias("call"), (F.col("_at") - F.lit(seconds * MICROS)).alias("at"), F.lit(0).cast("bigint").alias("n")),
         )).alias("p"),
-    ).select(key, row_id, "p.call", "p.at", F.floor(F.col("p.at") / F.lit(bucket_seconds * MICROS)).alias("_bucket"))
-    sizes = points.groupBy(key, "_bucket").agg(F.sum("call").alias("n"))
-    placed = points.join(bucket_offsets(sizes, [key], "_bucket"), [key, "_bucket"])
+    ).select(key, "_at", "p.call", "p.at", F.col("p.n").alias("_n"),
+             F.floor(F.col("p.at") / F.lit(bucket_seconds * MICROS)).alias("_bucket"))
+    sizes = points.groupBy(key, "_bucket").agg(F.sum("_n").alias("n"))
+    offsets = bucket_offsets(sizes, [key], "_bucket").select(key, "_bucket", "before")
     # a window opening sorts before calls of the same instant, so it does not count them
-    upto = Window.partitionBy(key, "_bucket").orderBy("at", "call").rangeBetween(
-        Window.unboundedPreceding, Window.currentRow)
-    seen = F.col("before") + F.sum("call").over(upto)
-    signed = placed.select(row_id, F.when(F.col("call") == 1, seen).otherwise(-seen).alias("_seen"))
-    return df.join(signed.groupBy(row_id).agg(F.sum("_seen").alias(out)), row_id)
+    upto = Window.partitionBy(key, "_bucket").orderBy("at", "call").rowsBetween(Window.unboundedPreceding, 0)
+    placed = points.join(offsets, [key, "_bucket"]).withColumn("_seen", F.col("before") + F.sum("_n").over(upto))
+    signed = placed.select(key, "_at", F.when(F.col("call") == 1, F.col("_seen")).otherwise(-F.col("_seen")).alias("_seen"))
+    counted = signed.groupBy(key, "_at").agg(F.sum("_seen").alias(out))
+    return stamped.join(counted, [key, "_at"], "left").select(*[F.col(c) for c in df.columns], out)

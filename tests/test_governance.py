@@ -111,9 +111,10 @@ def test_upsert_is_idempotent_and_null_safe(spark, rows):
 
 def test_call_budget_levels(spark):
     t = dt.datetime(2024, 1, 1)
-    df = spark.createDataFrame([(i, "t", t + dt.timedelta(seconds=i)) for i in range(10)], "call_id int, tenant string, call_ts timestamp")
+    calls = [(i, "t", t + dt.timedelta(seconds=i)) for i in range(10)] + [(10, None, t), (11, "t", None)]
+    df = spark.createDataFrame(calls, "call_id int, tenant string, call_ts timestamp")
     got = [r.level for r in G.call_rate_window(df, limit=10, seconds=60).orderBy("call_id").collect()]
-    assert got == ["ok"] * 7 + ["warn"] * 2 + ["stop"]
+    assert got == ["ok"] * 7 + ["warn"] * 2 + ["stop"] + [None, None]
 
 
 def test_first_theme_wins(spark, rows):

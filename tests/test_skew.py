@@ -55,9 +55,19 @@ def test_bands_follow_the_order(spark):
     assert bands == sorted(bands)
 
 
-def test_half_means(data):
+def test_rank_over_ranges(data):
     rows, df = data
-    got = {r.k: r for r in skew.half_means(df.where("v is not null"), ["k"], "t", "id", "v").collect()}
+    got = {r.id: r.n for r in skew.ranked_by_range(df, ["k"], ["t", "id"], "n").collect()}
+    want, count = {}, {}
+    for k, i, _, _ in sorted(rows, key=lambda r: (r[0], r[2], r[1])):
+        count[k] = want[i] = count.get(k, 0) + 1
+    assert got == want
+
+
+@pytest.mark.parametrize("max_minute_rows", [1, 5_000_000])
+def test_half_means(data, max_minute_rows):
+    rows, df = data
+    got = {r.k: r for r in skew.half_means(df.where("v is not null"), ["k"], "t", "id", "v", max_minute_rows).collect()}
     groups = {}
     for k, i, t, v in rows:
         if v is not None:
@@ -74,7 +84,7 @@ def test_half_means(data):
 @pytest.mark.parametrize("seconds", [0, 1, 60, 3600])
 def test_trailing_counts(data, seconds):
     rows, df = data
-    got = {r.id: r.n for r in skew.trailing_counts(df, "k", "id", "t", seconds, "n").collect()}
+    got = {r.id: r.n for r in skew.trailing_counts(df, "k", "t", seconds, "n").collect()}
     span = dt.timedelta(seconds=seconds)
     times = {}
     for k, _, t, _ in rows:
@@ -100,4 +110,4 @@ def test_empty_input_keeps_its_columns(spark):
     df = spark.createDataFrame([], "k string, id int, t timestamp, v double")
     assert skew.exact_quantiles(df, ["k"], "v", {"p": 0.5}).columns == ["k", "p"]
     assert skew.half_means(df, ["k"], "t", "id", "v").count() == 0
-    assert skew.trailing_counts(df, "k", "id", "t", 60, "n").count() == 0
+    assert skew.trailing_counts(df, "k", "t", 60, "n").count() == 0
