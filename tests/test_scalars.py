@@ -48,7 +48,7 @@ def test_provider(spark):
 
 
 def test_host(spark):
-    assert values(spark, "string", ["jdbc:sqlserver://h.example.net;database=x", "https://a.example.com/p?q", "bare"], S.endpoint_host) == [
+    assert values(spark, "string", ["jdbc:vendor://h.example.net;database=x", "https://a.example.com/p?q", "bare"], S.endpoint_host) == [
         "h.example.net", "a.example.com", "bare"]
 
 
