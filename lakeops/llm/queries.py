@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.llm import bpe, common, decontam, quality, secrets, simhash
+from lakeops.llm import bpe, common, decontam, lm_score, quality, secrets, simhash
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -29,6 +29,11 @@ def query(fn: Callable[[SparkSession, str], DataFrame]):
     return fn
 
 
+@query
+def op1_lm_scoring(spark, sf_dir):
+    return lm_score.score_texts(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
