@@ -9,7 +9,7 @@ from __future__ import annotations
 
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.llm import bpe, common, decontam, quality, secrets, simhash
+from lakeops.llm import bpe, common, decontam, quality, secret_scan, simhash
 from lakeops.llm.queries import TOKENIZER, table
 
 
@@ -33,7 +33,7 @@ def drop_contaminated(spark: SparkSession, docs: DataFrame, sf_dir: str) -> Data
 
 def redact_secrets(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Every secret is masked; the documents stay."""
-    return secrets.redact(docs)
+    return secret_scan.redact(docs)
 
 
 def encode(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

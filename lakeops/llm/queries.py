@@ -7,7 +7,8 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.llm import bpe, common, decontam, lm_score, quality, secrets, simhash
+from lakeops.llm import ann, bpe, common, decontam, lang_id, lm_score, quality, secret_scan, sharding, simhash, token_output
+from lakeops.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE: dict[str, str] = {}
@@ -34,6 +35,11 @@ def op1_lm_scoring(spark, sf_dir):
     return lm_score.score_texts(table(spark, sf_dir, "documents"))
 
 
+@query
+def op2_sharding(spark, sf_dir):
+    return sharding.report(table(spark, sf_dir, "documents"))
+
+
 @query
 def op3_benchmark_decontamination(spark, sf_dir):
     return decontam.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
@@ -46,7 +52,22 @@ def op4_bpe_encoding(spark, sf_dir):
 
 @query
 def op5_secret_scans(spark, sf_dir):
-    return secrets.report(table(spark, sf_dir, "documents"))
+    return secret_scan.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op6_token_id_output(spark, sf_dir):
+    return token_output.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
+
+
+@query
+def op7_language_id(spark, sf_dir):
+    return lang_id.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op8_nearest_neighbours(spark, sf_dir):
+    return ann.report(table(spark, sf_dir, "embeddings"))
 
 
 @query
