@@ -168,43 +168,41 @@ def build_filter(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 class Model:
-    """One round's segments: exact word counts and the filter."""
+    """One round's segments, a broadcast each: exact word counts and the filter."""
 
-    def __init__(self, rows: list, segments: int):
+    def __init__(self, segments: int, parts: dict):
         self.segments = segments
-        words = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.word_keys, np.uint64) for r in rows]])
-        counts = np.concatenate([np.zeros(0, np.int64), *[np.frombuffer(r.word_counts, np.int64) for r in rows]])
-        order = np.argsort(words)
-        self.words, self.counts = words[order], counts[order]
-        self.bits = np.concatenate([np.zeros(0, np.uint64), *[np.frombuffer(r.bits, np.uint64) for r in rows]])
-        self.sizes = np.zeros(segments, np.uint64)
-        self.first = np.zeros(segments, np.int64)
-        at = 0
-        for r in rows:
-            n = len(r.bits) // 8
-            self.sizes[r.segment], self.first[r.segment] = n, at
-            at += n
+        self.parts = {segment: part.value for segment, part in parts.items()}
+
+    def _by_segment(self, keys: np.ndarray):
+        where = (keys % np.uint64(self.segments)).astype(np.int64)
+        order = np.argsort(where, kind="stable")
+        cuts = np.searchsorted(where[order], np.arange(self.segments + 1))
+        for segment, part in self.parts.items():
+            if cuts[segment] < cuts[segment + 1]:
+                yield order[cuts[segment]:cuts[segment + 1]], part
 
     def word_count(self, keys: np.ndarray) -> np.ndarray:
         """Exact counts of words of these segments; 0 for others."""
-        if not len(self.words):
-            return np.zeros(len(keys), np.int64)
-        at = np.minimum(np.searchsorted(self.words, keys), len(self.words) - 1)
-        return np.where(self.words[at] == keys, self.counts[at], 0)
+        out = np.zeros(len(keys), np.int64)
+        for rows, (words, counts, _) in self._by_segment(keys):
+            if len(words):
+                at = np.minimum(np.searchsorted(words, keys[rows]), len(words) - 1)
+                out[rows] = np.where(words[at] == keys[rows], counts[at], 0)
+        return out
 
     def level(self, keys: np.ndarray) -> np.ndarray:
         """Levels by repeated membership probes, one level at a time until one is missing; 0 for other segments' keys."""
         out = np.zeros(len(keys), np.uint8)
-        where = (keys % np.uint64(self.segments)).astype(np.int64)
-        rows = np.flatnonzero(self.sizes[where] > 0)
-        keys, where = keys[rows], where[rows]
-        for j in range(1, LEVELS + 1):
-            if not len(rows):
-                break
-            place, mask = _places(keys, j, self.sizes[where])
-            held = (self.bits[self.first[where] + place] & mask) == mask
-            rows, keys, where = rows[held], keys[held], where[held]
-            out[rows] = j
+        for rows, (_, _, bits) in self._by_segment(keys):
+            own = keys[rows]
+            for j in range(1, LEVELS + 1):
+                place, mask = _places(own, j, np.uint64(len(bits)))
+                held = (bits[place] & mask) == mask
+                rows, own = rows[held], own[held]
+                if not len(rows):
+                    break
+                out[rows] = j
         return out
 
 
@@ -227,12 +225,12 @@ def _rounds(parts: DataFrame, round_bytes: int) -> list[list[int]]:
     return out
 
 
-def _prober(model, n_all: int, n_distinct: int):
+def _prober(segments: int, parts: dict, n_all: int, n_distinct: int):
     """Adds what one round's segments know of every text: base score, known words, levels of words and pairs."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = model.value
+        known = Model(segments, parts)
         scale = np.log10(n_all + n_distinct + 1)
-        for batch in common.runs(batches, "text"):
+        for batch in common.runs(batches, "text", 2 * common.RUN_BYTES):
             words, pairs, begin = _grams(batch.column("text"))
             distinct, back = np.unique(words, return_inverse=True)
             counts = known.word_count(distinct)
@@ -317,12 +315,14 @@ def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, round_bytes
     state = texts.select("*", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("n_known"), F.lit(None).cast("double").alias("base"), F.lit(None).cast("binary").alias("levels"))
     kind = docs.schema["doc_id"].dataType.simpleString()
     for n, wanted in enumerate(rounds := _rounds(parts, round_bytes)):
-        rows = parts.where(F.col("segment").isin(wanted)).collect() if wanted else []
-        model = spark.sparkContext.broadcast(Model(rows, segments))  # at most round_bytes
-        del rows
-        probed = state.mapInArrow(_prober(model, n_all, n_distinct), f"doc_id {kind}, held_out boolean, text string, n_tokens bigint, n_known bigint, base double, levels binary")
+        # at most round_bytes in all; each segment is a broadcast of its own, so the driver holds one at a time
+        rows = parts.where(F.col("segment").isin(wanted)).select("segment", "word_keys", "word_counts", "bits").toLocalIterator() if wanted else ()
+        model = {r.segment: spark.sparkContext.broadcast((
+            np.frombuffer(r.word_keys, np.uint64), np.frombuffer(r.word_counts, np.int64), np.frombuffer(r.bits, np.uint64))) for r in rows}
+        probed = state.mapInArrow(_prober(segments, model, n_all, n_distinct), f"doc_id {kind}, held_out boolean, text string, n_tokens bigint, n_known bigint, base double, levels binary")
         state = common.cut(probed if n + 1 < len(rounds) else probed.withColumn("text", F.lit(None).cast("string")), "lm-probed")
-        model.unpersist()
+        for part in model.values():
+            part.unpersist()
     mixture = Mixture(size["n"], n_all, n_distinct)
     weight = fit_weights(state, mixture)
 
