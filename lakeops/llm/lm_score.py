@@ -35,14 +35,14 @@ FOLDS, HELD_OUT = 7, 2
 #: Text bytes per segment of the model.
 SEGMENT_BYTES = 32 << 20
 #: Bytes of the model that are broadcast at once.
-ROUND_BYTES = 256 << 20
+ROUND_BYTES = 128 << 20
 #: Filter bits per entry, and bits set by each entry (all in one 64-bit word of the filter).
 BITS_PER_ENTRY, BITS_SET = 12, 4
 #: A level's counts grow by this factor.
 LEVEL_BASE = 1.5
 LEVELS = 64
 #: N-grams a task gathers before it packs them.
-PACK = 4_000_000
+PACK = 2_000_000
 
 _END = common.mix(np.array([0xE0D], np.uint64))[0]
 _START = common.mix(np.array([0x57A87], np.uint64))[0]
