@@ -24,8 +24,8 @@ from pyspark.sql import functions as F
 from lakeops.llm import common
 
 FOLDS, HELD_OUT = 3, 1
-#: Training texts per language, at most.
-TRAIN_PER_LANG = 1500
+#: Training texts per language, at most (up to 1,000 Spark keeps only that many per task before its shuffle).
+TRAIN_PER_LANG = 1000
 SLOTS = 1 << 16
 ORDERS = 3
 UNKNOWN = "und"
