@@ -28,7 +28,7 @@ from pyspark.sql import DataFrame
 from lakeops.llm import common
 
 #: Words kept per Python worker before the table is emptied.
-MEMO_WORDS = 600_000
+MEMO_WORDS = 400_000
 #: Characters of a word up to which its encoding is kept.
 MEMO_CHARS = 64
 #: Bytes of text whose distinct words make one trie.
