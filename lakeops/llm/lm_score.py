@@ -35,7 +35,7 @@ FOLDS, HELD_OUT = 7, 2
 #: Text bytes per segment of the model.
 SEGMENT_BYTES = 32 << 20
 #: Bytes of the model that are broadcast at once.
-ROUND_BYTES = 128 << 20
+ROUND_BYTES = 96 << 20
 #: Filter bits per entry, and bits set by each entry (all in one 64-bit word of the filter).
 BITS_PER_ENTRY, BITS_SET = 12, 4
 #: A level's counts grow by this factor.
