@@ -48,16 +48,19 @@ def _same(keys: Sequence[str]) -> Column:
 def upsert_diff(existing: DataFrame, desired: DataFrame, keys: Sequence[str], values: Sequence[str]) -> DataFrame:
     """Desired rows with the action that makes the stored state match: CREATE, UPDATE or NOOP.
 
-    Keys compare NULL-safe, so a row without a parent matches a stored row without one.
+    Keys compare NULL-safe, so a row without a parent matches a stored row without one. Of stored rows with one key the
+    one with the smallest values counts.
     """
-    stored = existing.select(*keys, *values, F.lit(True).alias("_stored"))
+    stored = existing.groupBy(*keys).agg(F.min(F.struct(*values, F.lit(True).alias("_stored"))).alias("_row")).select(*keys, "_row.*")
     same = reduce(lambda a, b: a & b, [F.col(f"e.{v}").eqNullSafe(F.col(f"d.{v}")) for v in values], F.lit(True))
     action = F.when(F.col("e._stored").isNull(), "CREATE").when(same, "NOOP").otherwise("UPDATE")
     return desired.alias("d").join(stored.alias("e"), _same(keys), "left").select("d.*", action.alias("action"))
 
 
 def merge_rows(existing: DataFrame, desired: DataFrame, keys: Sequence[str]) -> DataFrame:
-    """Stored state after the upsert: untouched rows and all desired ones."""
+    """Stored state after the upsert: untouched rows, and of the desired rows of each key the one with the largest values."""
+    others = [c for c in existing.columns if c not in keys]
+    desired = desired.groupBy(*keys).agg(F.max(F.struct(*others)).alias("_row")).select(*keys, "_row.*") if others else desired.select(*keys).distinct()
     untouched = existing.alias("e").join(desired.select(*keys).distinct().alias("d"), _same(keys), "left_anti")
     return untouched.select("e.*").unionByName(desired.select(*existing.columns))
 

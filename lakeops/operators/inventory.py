@@ -16,9 +16,10 @@ def filter_by_region(capacities: DataFrame, region: str | None) -> DataFrame:
     return capacities if region is None else capacities.where(F.lower("region") == region.lower())
 
 
-def filter_enabled_capped(subscriptions: DataFrame, cap: int, order: Sequence[str]) -> DataFrame:
-    """The first ``cap`` enabled subscriptions in a stated order: the report's own safety limit."""
-    return subscriptions.where(F.col("state") == "Enabled").orderBy(*order).limit(cap)
+def filter_enabled_capped(subscriptions: DataFrame, order: Sequence[str], cap: int | None = None) -> DataFrame:
+    """Enabled subscriptions in a stated order; with ``cap`` the first so many."""
+    enabled = subscriptions.where(F.col("state") == "Enabled").orderBy(*order)
+    return enabled if cap is None else enabled.limit(cap)
 
 
 def join_workspace_capacity(workspaces: DataFrame, capacities: DataFrame) -> DataFrame:
@@ -152,11 +153,10 @@ def resource_type_summary(resources: DataFrame) -> DataFrame:
 
 
 def resource_pivot_total(resources: DataFrame, subscriptions: Sequence[str]) -> DataFrame:
-    """Counts per type with one column per named subscription, and their total."""
-    wide = with_service(resources).groupBy("service", "resource_type").pivot("subscription_id", list(subscriptions)).agg(
-        F.count(F.lit(1))).fillna(0)
-    total = sum((F.col(f"`{s}`") for s in subscriptions[1:]), F.col(f"`{subscriptions[0]}`"))
-    return wide.withColumn("TOTAL", total).orderBy(F.desc("TOTAL"), "service", "resource_type")
+    """Counts per type with one column per named subscription, and the total over all subscriptions, named or not."""
+    wide = with_service(resources).groupBy("service", "resource_type").agg(
+        *[F.count_if(F.col("subscription_id") == s).alias(s) for s in subscriptions], F.count(F.lit(1)).alias("TOTAL"))
+    return wide.orderBy(F.desc("TOTAL"), "service", "resource_type")
 
 
 def subscription_summary(subscriptions: DataFrame, resources: DataFrame, failed: DataFrame) -> DataFrame:

@@ -65,9 +65,8 @@ def _stack(one_row: DataFrame, parts: Sequence[tuple], names: Sequence[str]) ->
 def column_profile(name: str, df: DataFrame) -> DataFrame:
     """Rows, NULLs, distinct values, length range and value range of every column.
 
-    All but the distinct counts come from one aggregate. Distinct values are
-    counted as (column, value) groups, so one very common value costs nothing;
-    long texts are grouped by digest instead of by themselves.
+    All but the distinct counts come from one aggregate. Values are compared with
+    their own type, so 0.0 and -0.0 are one; a very common value costs nothing.
     """
     cols = df.columns
     text = {c: F.col(f"`{c}`").cast("string") for c in cols}
@@ -80,11 +79,10 @@ def column_profile(name: str, df: DataFrame) -> DataFrame:
         (F.lit(c), F.lit(i + 1), F.col("_rows"), F.col("_rows") - F.col(f"_n{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}"),
          F.col(f"_min{i}"), F.col(f"_max{i}")) for i, c in enumerate(cols)],
         ["column_name", "ordinal", "row_count", "null_count", "min_length", "max_length", "min_value", "max_value"])
-    short = {c: F.when(F.length(text[c]) <= 64, text[c]).otherwise(F.concat(F.lit("#"), F.sha2(text[c], 256))) for c in cols}
-    values = df.select(F.explode(F.array(*[
-        F.struct(F.lit(c).alias("column_name"), short[c].alias("v")) for c in cols])).alias("r")).select("r.*")
-    distinct = values.where(F.col("v").isNotNull()).distinct().groupBy("column_name").agg(
-        F.count(F.lit(1)).alias("distinct_count"))
+    # per column one scan of that column alone; its values shrink to the distinct ones in every task before the shuffle
+    distinct = reduce(DataFrame.union, [
+        df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct()
+        .agg(F.count(F.lit(1)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count") for c in cols])
     return stats.join(distinct, "column_name", "left").fillna(0, ["distinct_count"]).withColumns({
         "table_name": F.lit(name), "null_pct": S.pct("null_count", "row_count")})
 

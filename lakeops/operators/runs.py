@@ -92,10 +92,9 @@ def duration_trend(runs: DataFrame) -> DataFrame:
 
 
 def top_failure_reason(runs: DataFrame) -> DataFrame:
-    """Most frequent non-empty reason per item, cut to 100 characters."""
+    """Most frequent non-empty reason per item."""
     failed = _with_item(runs).where(F.length("failure_reason") > 0)
-    best = most_frequent(failed, ITEM, "failure_reason", "top_failure_reason")
-    return best.withColumn("top_failure_reason", F.left("top_failure_reason", F.lit(100)))
+    return most_frequent(failed, ITEM, "failure_reason", "top_failure_reason")
 
 
 def invoke_distribution(runs: DataFrame) -> DataFrame:
@@ -183,18 +182,17 @@ def failures_by_item(runs: DataFrame, top: int = 10) -> DataFrame:
 
 
 def failure_reasons(runs: DataFrame, top: int = 10) -> DataFrame:
-    """Most frequent reasons of failed or cancelled runs, long texts shortened for display."""
+    """Most frequent reasons of failed or cancelled runs."""
     counted = _failed(runs).where(F.length("failure_reason") > 0).groupBy("failure_reason").agg(
         F.count(F.lit(1)).alias("runs"))
-    return counted.orderBy(F.desc("runs"), "failure_reason").limit(top).select(
-        S.truncate_text("failure_reason", 100).alias("failure_reason"), "runs")
+    return counted.orderBy(F.desc("runs"), "failure_reason").limit(top)
 
 
 def recent_failures(runs: DataFrame, top: int = 10) -> DataFrame:
     newest = _failed(runs).where(F.col("start_time").isNotNull()).orderBy(F.desc("start_time"), F.desc("job_instance_id"))
     return newest.limit(top).select(
         "start_time", "item_type", "item_name", "job_instance_id", (F.col("duration_seconds") / 60).alias("duration_min"),
-        S.truncate_text("failure_reason", 60).alias("failure_reason"))
+        "failure_reason")
 
 
 def weekly_trend(runs: DataFrame, top: int = 10) -> DataFrame:
@@ -202,8 +200,7 @@ def weekly_trend(runs: DataFrame, top: int = 10) -> DataFrame:
     done = _with_item(runs).where(
         S.status_in("status", K.SUCCESS) & F.col("duration_seconds").isNotNull() & F.col("start_time").isNotNull())
     busiest = done.groupBy(*ITEM).agg(F.count(F.lit(1)).alias("n")).orderBy(F.desc("n"), "item_id").limit(top)
-    # `top` rows by construction, so the broadcast cannot grow with the data
-    kept = done.join(F.broadcast(busiest.select(*ITEM)), ITEM, "left_semi").select(
+    kept = done.join(busiest.select(*ITEM), ITEM, "left_semi").select(
         *ITEM, "duration_seconds",
         F.extract(F.lit("YEAROFWEEK"), "start_time").cast("int").alias("iso_year"),
         F.weekofyear("start_time").alias("iso_week"))
@@ -215,11 +212,10 @@ def weekly_trend(runs: DataFrame, top: int = 10) -> DataFrame:
 
 
 def invoke_pivot(runs: DataFrame, invoke_types: list[str]) -> DataFrame:
-    """Items as rows, the given invoke types as columns, 0 where an item has none."""
-    return (
-        _with_item(runs).groupBy("item_type", "item_name").pivot("invoke_type", invoke_types)
-        .agg(F.count(F.lit(1))).fillna(0)
-    )
+    """Items as rows, the given invoke types as columns, and what is of no given type as ``other``."""
+    given = F.coalesce(F.col("invoke_type").isin(invoke_types), F.lit(False))
+    return _with_item(runs).groupBy("item_type", "item_name").agg(
+        *[F.count_if(F.col("invoke_type") == t).alias(t) for t in invoke_types], F.count_if(~given).alias("other"))
 
 
 def never_executed(items: DataFrame, runs: DataFrame) -> DataFrame:

@@ -33,8 +33,19 @@ def wide_sum(whole: Column) -> Column:
 
 
 def exact_sum(value: Column, scale: int = 6) -> Column:
-    """Sum to ``scale`` digits, returned as double: the same whatever the row order or retry."""
-    return wide_sum(units(value, scale)).cast("double") / F.lit(float(10 ** scale))
+    """Sum to ``scale`` digits, returned as double: the same whatever the row order or retry.
+
+    Values too large for a bigint of units are added as decimals. NaN or an infinite value makes the sum NaN, values
+    of 10**31 and more make it infinite.
+    """
+    value = value.cast("double")
+    size, bound = F.abs(value), float((1 << 62) // 10 ** scale)
+    odd = F.isnan(value) | (size == float("inf"))
+    small = wide_sum(units(F.when(size < bound, value), scale))
+    large = F.sum(F.when((size >= bound) & (size < 1e31) & ~odd, value).cast(f"decimal(38,{scale})"))
+    total = F.coalesce(small.cast("double") / F.lit(float(10 ** scale)), F.when(F.count(value) > 0, F.lit(0.0)))
+    total = F.when(large.isNotNull(), total + large.cast("double")).otherwise(total)
+    return F.when(F.max(odd), F.lit(float("nan"))).when(F.max((size >= 1e31) & ~odd), F.lit(float("inf"))).otherwise(total)
 
 
 def exact_avg(value: Column, scale: int = 6) -> Column:
@@ -129,15 +140,14 @@ def ranked_by_range(df: DataFrame, keys: Sequence[str], order: Sequence[str], ou
         out, F.col("_offset") + F.row_number().over(inside)).drop("_part", "_offset")
 
 
-def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str,
-               max_minute_rows: int = 5_000_000) -> DataFrame:
+def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: str) -> DataFrame:
     """Means of the first ⌊n/2⌋ rows in time order and of the rest, per group.
 
     Minute totals settle every minute that lies wholly in one half. The one
     minute per group that straddles the middle is written out as a table with a
     row per group, so the second look at the rows keeps only those minutes,
     without a shuffle of the others where that table is small enough to broadcast.
-    A minute above ``max_minute_rows`` is ranked over many tasks.
+    Inside that minute the same is done by instant, so only rows of one group and one instant are ever ordered.
     """
     keys = list(keys)
     rows = df.select(
@@ -152,20 +162,19 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
         F.max("total").alias("total"), F.max("mid").alias("mid"),
         wide_sum(F.when(first, F.col("s"))).alias("s1"), wide_sum(F.when(second, F.col("s"))).alias("s2"),
         F.max(F.when(split, F.col("_minute"))).alias("_minute"), F.max(F.when(split, F.col("before"))).alias("before"),
-        F.max(F.when(split, F.col("n"))).alias("_size"),
     ), "halves")
-    straddling = rows.join(groups.select(*keys, "_minute", "before", "mid"), [*keys, "_minute"])
-    largest = groups.agg(F.max("_size")).first()[0] or 0
-    if largest <= max_minute_rows:
-        order = Window.partitionBy(*keys, "_minute").orderBy(time, tie)
-        numbered = straddling.withColumn("_rank", F.row_number().over(order))
-    else:
-        numbered = ranked_by_range(straddling, keys, [time, tie], "_rank")
-    cut = (
-        numbered.withColumn("_first", F.col("before") + F.col("_rank") <= F.col("mid"))
-        .groupBy(*keys).agg(F.sum(F.when(F.col("_first"), F.col("_v"))).alias("c1"),
-                            F.sum(F.when(~F.col("_first"), F.col("_v"))).alias("c2"))
-    )
+    straddling = rows.join(groups.select(*keys, "_minute", F.col("before").alias("_base"), "mid"), [*keys, "_minute"])
+    instants = straddling.groupBy(*keys, time).agg(
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"), F.max("_base").alias("_base"), F.max("mid").alias("mid"))
+    placed = bucket_offsets(instants, keys, time).withColumn("_start", F.col("_base") + F.col("before"))
+    first, second = F.col("_start") + F.col("n") <= F.col("mid"), F.col("_start") >= F.col("mid")
+    whole = placed.where(first | second).select(*keys, F.when(first, F.col("s")).alias("c1"), F.when(second, F.col("s")).alias("c2"))
+    one = placed.where(~(first | second)).select(*keys, time, "_start")
+    rank = F.row_number().over(Window.partitionBy(*keys, time).orderBy(tie))
+    in_first = F.col("_start") + F.col("_rank") <= F.col("mid")
+    parted = straddling.join(one, [*keys, time]).withColumn("_rank", rank).select(
+        *keys, F.when(in_first, F.col("_v")).alias("c1"), F.when(~in_first, F.col("_v")).alias("c2"))
+    cut = whole.unionByName(parted).groupBy(*keys).agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 
     def mean(whole: str, part: str, n: Column) -> Column:
         zero = F.lit(0).cast("decimal(34,0)")

@@ -54,11 +54,11 @@ STATE = "case when workspace_id % 4 = 0 then 'Disabled' else 'Enabled' end"
 
 
 @query("filter_enabled_capped", f"""
-select workspace_id, workspace_name, {STATE} as state from fx_workspaces where {STATE} = 'Enabled' order by workspace_name, workspace_id limit 50""")
+select workspace_id, workspace_name, {STATE} as state from fx_workspaces where {STATE} = 'Enabled' order by workspace_name, workspace_id""")
 def _(lake):
     subs = lake.fx("workspaces").select(
         "workspace_id", "workspace_name", F.when(F.col("workspace_id") % 4 == 0, "Disabled").otherwise("Enabled").alias("state"))
-    return I.filter_enabled_capped(subs, 50, ["workspace_name", "workspace_id"])
+    return I.filter_enabled_capped(subs, ["workspace_name", "workspace_id"])
 
 
 @query("contains_ignore_case", "select item_id, item_name, contains(lower(item_name), 'ring') as hit from fx_items")

@@ -82,7 +82,7 @@ labelled as (
 
 REASON = f"""
 reason as (
- select {ITEM}, substring(arg_min(failure_reason, (-n, failure_reason)), 1, 100) as top_failure_reason
+ select {ITEM}, arg_min(failure_reason, (-n, failure_reason)) as top_failure_reason
  from (select {ITEM}, failure_reason, count(*) as n from fx_runs where length(failure_reason) > 0 group by all)
  group by all)"""
 
@@ -189,7 +189,7 @@ def _(lake):
 
 
 @query("failure_reasons", f"""
-select case when length(failure_reason) > 100 then substring(failure_reason, 1, 100) || '...' else failure_reason end as failure_reason, runs
+select failure_reason, runs
 from (select failure_reason, count(*) as runs from fx_runs where {FAILED} and length(failure_reason) > 0 group by all
  order by runs desc, failure_reason limit 10)""")
 def _(lake):
@@ -198,7 +198,7 @@ def _(lake):
 
 @query("recent_failures", f"""
 select {SQL_TS.format('start_time')} as start_time, item_type, item_name, job_instance_id, duration_seconds / 60 as duration_min,
- case when length(failure_reason) > 60 then substring(failure_reason, 1, 60) || '...' else failure_reason end as failure_reason
+ failure_reason
 from (select * from fx_runs where {FAILED} and start_time is not null order by fx_runs.start_time desc, job_instance_id desc limit 10)""")
 def _(lake):
     return with_ts(R.recent_failures(lake.fx("runs")), "start_time")
@@ -216,7 +216,8 @@ def _(lake):
 
 @query("invoke_pivot", """
 select item_type, item_name, count(*) filter (invoke_type = 'Manual') as Manual,
- count(*) filter (invoke_type = 'OnDemand') as OnDemand, count(*) filter (invoke_type = 'Scheduled') as Scheduled
+ count(*) filter (invoke_type = 'OnDemand') as OnDemand, count(*) filter (invoke_type = 'Scheduled') as Scheduled,
+ count(*) filter (invoke_type is null or invoke_type not in ('Manual', 'OnDemand', 'Scheduled')) as other
 from fx_runs group by item_type, item_name""")
 def _(lake):
     return R.invoke_pivot(lake.fx("runs"), ["Manual", "OnDemand", "Scheduled"])

@@ -48,9 +48,9 @@ def _(lake):
     return O.storage_by_directory(lake.fx("files"))
 
 
-@query("parent_dirs", f"with {DIRS} select directory, bytes from dirs where k <= 3")
+@query("parent_dirs", f"with {DIRS} select directory, bytes from dirs")
 def _(lake):
-    return O.storage_by_directory(lake.fx("files"), max_depth=3).select("directory", "bytes")
+    return O.storage_by_directory(lake.fx("files"), max_depth=None).select("directory", "bytes")
 
 
 @query("top_folders", f"""

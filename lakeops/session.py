@@ -2,7 +2,6 @@
 
 from __future__ import annotations
 
-import tempfile
 import uuid
 
 import pyarrow as pa
@@ -37,17 +36,14 @@ def build_session(app: str = "lakeops", master: str | None = None, **conf: str)
 def shared_root(spark: SparkSession) -> str:
     """Folder every executor can reach: the session's ``spark.checkpoint.dir``.
 
-    Only a local master may fall back to a temporary folder; a cluster without
-    the setting is an error, because its executors would not see that folder.
+    Where it is unset, a folder below the session's warehouse, which all executors share as well.
     """
     sc = spark.sparkContext
     root = spark.conf.get("spark.checkpoint.dir", None) or sc.getConf().get("spark.checkpoint.dir", None)
     if root is None:
         if sc.getCheckpointDir() is not None:
             return sc.getCheckpointDir()
-        if not sc.master.startswith("local"):
-            raise ValueError("set spark.checkpoint.dir to a folder shared by all executors")
-        root = tempfile.mkdtemp(prefix="lakeops-")
+        root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root

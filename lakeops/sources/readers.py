@@ -6,7 +6,7 @@ from collections.abc import Callable, Mapping, Sequence
 from functools import reduce
 
 from pyspark.errors import PySparkException
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
@@ -19,7 +19,7 @@ def _struct(schema: str | T.StructType) -> T.StructType:
 
 def read_paged_json(spark: SparkSession, path: str, element: str | T.StructType, id_col: str,
                     array_cols: Sequence[str] = ("value",), multi_line: bool = False) -> DataFrame:
-    """Elements of all landed pages, one row each, repeated ids once.
+    """Elements of all landed pages, one row each; of versions of an id the one whose JSON text sorts last, rows without id all.
 
     ``array_cols`` are the names the page may keep its elements under. Pages are
     one JSON document per line unless ``multi_line``.
@@ -27,7 +27,11 @@ def read_paged_json(spark: SparkSession, path: str, element: str | T.StructType,
     item = T.ArrayType(_struct(element))
     page = T.StructType([T.StructField(c, item) for c in array_cols])
     pages = spark.read.schema(page).option("multiLine", multi_line).json(path)
-    return pages.select(F.inline(F.coalesce(*array_cols))).dropDuplicates([id_col])
+    rows = pages.select(F.inline(F.coalesce(*array_cols)))
+    text = F.to_json(F.struct(*[F.col(f"`{c}`") for c in rows.columns]))
+    newest = Window.partitionBy(id_col).orderBy(F.desc("_text"))
+    one = rows.where(F.col(id_col).isNotNull()).withColumn("_text", text).withColumn("_rank", F.row_number().over(newest)).where("_rank = 1")
+    return one.drop("_text", "_rank").unionByName(rows.where(F.col(id_col).isNull()))
 
 
 def jdbc_options(url: str, sql: str, partition: tuple[str, object, object, int] | None = None, **options: str) -> dict[str, str]:

@@ -75,7 +75,9 @@ def ingest_resumable(source: DataFrame, target: str, state: str, key: str, force
     # fixed before the data is read: a partition that appears meanwhile waits for the next run
     keys = cut_lineage(keys, "pending")
     pending = source.alias("s").join(keys.alias("k"), same("s", "k"), "left_semi").select(*[F.col(f"s.`{c}`") for c in source.columns])
-    placed = pending.withColumn("_part", F.col(key)).hint("rebalance", F.col("_part"))
+    # a folder name of its own for the empty text and for NULL
+    part = F.coalesce(F.concat(F.lit("="), F.col(key).cast("string")), F.lit("null"))
+    placed = pending.withColumn("_part", part).hint("rebalance", F.col("_part"))
     if force:
         # no mark may outlive the data it stands for
         keys.limit(0).write.mode("overwrite").parquet(state)

@@ -223,3 +223,18 @@ def test_gold_registry(spark):
         assert X.GOLD["extra"]({"t": spark.range(2)}).count() == 2
     finally:
         del X.GOLD["extra"]
+
+
+def test_repeated_keys_do_not_multiply_rows(spark, rows):
+    from lakeops.operators import governance as G
+    stored = spark.createDataFrame([("a", 1), ("a", 2)], "k string, v int")
+    wanted = spark.createDataFrame([("a", 1), ("b", 5), ("b", 7)], "k string, v int")
+    assert rows(G.upsert_diff(stored, wanted.where("k = 'a'"), ["k"], ["v"])) == [("a", 1, "NOOP")]
+    assert rows(G.merge_rows(stored.limit(1), wanted, ["k"])) == [("a", 1), ("b", 7)]
+
+
+def test_profile_compares_typed_values(spark):
+    from lakeops.operators import quality
+    df = spark.createDataFrame([(0.0, "x" * 80), (-0.0, "x" * 80), (1.0, None)], "v double, t string")
+    got = {r.column_name: r.distinct_count for r in quality.column_profile("t", df).collect()}
+    assert got == {"v": 2, "t": 1}

@@ -99,3 +99,17 @@ def test_spark_apps_zero_idle_is_full_use(spark, tmp_path):
     df = spark.read.schema("name string, appName string, totalDuration double, duration double, totalIdleTime double, idleTime double").json(str(tmp_path))
     got = {r.notebook_name: (r.total_duration_sec, r.spark_efficiency_pct) for r in N.normalize_spark_apps(df).collect()}
     assert got == {"n": (10.0, 100.0), "m": (None, None)}
+
+
+def test_pages_keep_rows_without_id_and_one_version(spark, tmp_path, rows):
+    (tmp_path / "p.json").write_text('{"value": [{"id": 1, "n": "a"}, {"id": null, "n": "x"}, {"id": null, "n": "y"}]}\n{"value": [{"id": 1, "n": "b"}]}\n')
+    got = readers.read_paged_json(spark, str(tmp_path / "p.json"), "id bigint, n string", "id")
+    assert rows(got) == [(1, "b"), (None, "x"), (None, "y")]
+
+
+def test_ingest_tells_empty_and_null_keys_apart(spark, tmp_path, rows):
+    target, state = str(tmp_path / "t"), str(tmp_path / "s")
+    first = spark.createDataFrame([(1, ""), (2, "b")], "id int, k string")
+    sinks.ingest_resumable(first, target, state, "k")
+    sinks.ingest_resumable(first.union(spark.createDataFrame([(3, None)], "id int, k string")), target, state, "k")
+    assert rows(sinks.read_ingested(spark, target)) == [(1, ""), (2, "b"), (3, None)]

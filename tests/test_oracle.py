@@ -8,9 +8,10 @@ import pandas as pd
 import pytest
 
 import __spark_entry__ as entry
+from lakeops.plans import catalog
 
 ROOT = "/root/testdata/sf0.001"
-QUERIES, ORACLE = entry.queries(), entry.oracle_sql()
+QUERIES, ORACLE = catalog.QUERIES, catalog.ORACLE
 
 
 @pytest.fixture(scope="module")
@@ -53,4 +54,5 @@ def test_queries_without_sql(spark):
 
 
 def test_entry(spark):
+    assert QUERIES.keys() <= entry.queries().keys() and ORACLE.keys() <= entry.oracle_sql().keys()
     assert entry.entry(spark).count() > 0
