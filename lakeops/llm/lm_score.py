@@ -33,7 +33,7 @@ from lakeops.llm import common
 
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes per segment of the model.
-SEGMENT_BYTES = 32 << 20
+SEGMENT_BYTES = 16 << 20
 #: Bytes of the model that are broadcast at once.
 ROUND_BYTES = 96 << 20
 #: Filter bits per entry, and bits set by each entry (all in one 64-bit word of the filter).
