@@ -74,7 +74,7 @@ def test_top_reason_tie_and_length(spark):
     df = frame(spark, {"failure_reason": "b"}, {"failure_reason": "a"}, {"item_id": "z", "failure_reason": long}, {"failure_reason": None})
     got = {r.item_id: r.top_failure_reason for r in R.top_failure_reason(df).collect()}
     assert got == {"a": "a", "z": long}
-    assert [r.failure_reason for r in R.failure_reasons(df.replace("Completed", "failed", ["status"])).collect()][-1] == "x" * 100 + "..."
+    assert [r.failure_reason for r in R.failure_reasons(df.replace("Completed", "failed", ["status"])).collect()][-1] == long
 
 
 def test_null_item_keys_join_no_report(spark):
