@@ -42,7 +42,7 @@ BITS_PER_ENTRY, BITS_SET = 12, 4
 LEVEL_BASE = 1.5
 LEVELS = 64
 #: N-grams a task gathers before it packs them.
-PACK = 2_000_000
+PACK = 1_000_000
 
 _END = common.mix(np.array([0xE0D], np.uint64))[0]
 _START = common.mix(np.array([0x57A87], np.uint64))[0]
@@ -128,11 +128,14 @@ def _widen(counts: bytes, n: int) -> np.ndarray:
 
 def _sum_segment(segments: int):
     def work(table: pa.Table) -> pa.Table:
+        kinds, keys, counts = (table[name].to_pylist() for name in ("pair", "keys", "counts"))
         found = {}
         for pair in (False, True):
-            own = [(k, c) for p, k, c in zip(table["pair"].to_pylist(), table["keys"].to_pylist(), table["counts"].to_pylist(), strict=True) if p == pair]
-            arrays = [(k := np.frombuffer(a, np.uint64), _widen(c, len(k))) for a, c in own]
+            own = [np.frombuffer(k, np.uint64) for p, k in zip(kinds, keys, strict=True) if p == pair]
+            numbers = [c for p, c in zip(kinds, counts, strict=True) if p == pair]
+            arrays = [(k, _widen(c, len(k))) for k, c in zip(own, numbers, strict=True)]
             found[pair] = _count(arrays or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+            del arrays
         (words, word_counts), (pairs, pair_counts) = found[False], found[True]
         bits = build_filter([(words, levels_of(word_counts)), (pairs, levels_of(pair_counts))])
         return pa.table({
@@ -230,7 +233,7 @@ def _prober(segments: int, parts: dict, n_all: int, n_distinct: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(segments, parts)
         scale = np.log10(n_all + n_distinct + 1)
-        for batch in common.runs(batches, "text", 2 * common.RUN_BYTES):
+        for batch in common.runs(batches, "text"):
             words, pairs, begin = _grams(batch.column("text"))
             distinct, back = np.unique(words, return_inverse=True)
             counts = known.word_count(distinct)
