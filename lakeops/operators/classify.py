@@ -6,6 +6,7 @@ one aggregate over the data instead of a join that multiplies its rows.
 
 from __future__ import annotations
 
+import re
 from collections.abc import Mapping, Sequence
 from dataclasses import dataclass
 
@@ -35,10 +36,16 @@ class LabelRule:
     if_any: tuple[str, ...]
 
 
+def employee_id_rule(domain: str | None = None) -> ClassificationRule:
+    """Numbered work addresses at ``domain``; at any host where none is given."""
+    host = re.escape(domain) if domain else "[a-z0-9.-]+"
+    return ClassificationRule("INTERNAL_EMPLOYEE_ID", rf"^emp[0-9]+@{host}$", r"(?i)(corporate|internal).*email|employee.*email", 0.6, "@")
+
+
 # Classification rules, scan patterns and label rules.
 CLASSIFICATION_RULES = (
     ClassificationRule("CUSTOMER_LOYALTY_ID", r"^LOY-[0-9]{9}$", r"(?i)loyalty.*id", 0.6, "LOY-"),
-    ClassificationRule("INTERNAL_EMPLOYEE_ID", r"^emp[0-9]+@[a-z0-9.-]+$", r"(?i)(corporate|internal).*email|employee.*email", 0.6, "@"),
+    employee_id_rule(),
     ClassificationRule("HR_COMPENSATION", None, r"(?i)(salary|compensation|base_pay)", 0.8),
 )
 PII_PATTERNS = {
@@ -96,6 +103,7 @@ def auto_label(assets: DataFrame, rules: Sequence[LabelRule] = LABEL_RULES, defa
                mode: str = "first_match", priority: Mapping[str, int] = K.LABEL_PRIORITY) -> DataFrame:
     """Label per asset from its ``classifications`` array.
 
+    A classification matches a rule by its whole name, or by the name without its leading (vendor) segment.
     ``first_match`` takes the first rule in order; ``highest_priority`` the most sensitive matching rule.
     """
     if mode not in ("first_match", "highest_priority"):
@@ -104,6 +112,7 @@ def auto_label(assets: DataFrame, rules: Sequence[LabelRule] = LABEL_RULES, defa
     if mode == "highest_priority":
         ordered.sort(key=lambda r: -priority[r.label])
     have = F.coalesce("classifications", F.array().cast("array<string>"))
+    have = F.concat(have, F.transform(have, lambda c: F.regexp_replace(c, r"^[^.]+\.", "")))
     picks = [F.when(F.arrays_overlap(have, F.array(*map(F.lit, r.if_any))), r.label) for r in ordered]
     return assets.withColumn("label", F.coalesce(*picks, F.lit(default)))
 

@@ -115,7 +115,8 @@ def schema_audit(columns: DataFrame, by: list[str], string_limit: int = K.STRING
 def contract_schema_drift(df: DataFrame, contract: Contract) -> DataFrame:
     """Missing columns, base-type drift, and NULLs where the contract forbids them.
 
-    A column file formats call nullable drifts only if it really holds a NULL.
+    A column file formats call nullable drifts only if it really holds a NULL. Timestamps with and without
+    a zone are one base type. ``df`` must carry the table's own schema, not a declared one.
     """
     have = {f.name: f.dataType.simpleString() for f in df.schema.fields}
     required = [c for c in contract.columns if c.name in have and not c.nullable]
@@ -128,7 +129,7 @@ def contract_schema_drift(df: DataFrame, contract: Contract) -> DataFrame:
         if actual is None:
             parts.append((F.lit(c.name), F.lit("missing column"), F.lit(c.type), none, F.lit(True)))
             continue
-        if actual.split("(")[0] != c.type.split("(")[0].lower():
+        if actual.split("(")[0].removesuffix("_ntz") != c.type.split("(")[0].lower():
             parts.append((F.lit(c.name), F.lit("type drift"), F.lit(c.type), F.lit(actual), F.lit(True)))
         if c.name in nulls:
             parts.append((F.lit(c.name), F.lit("nullability drift"), F.lit("NOT NULL"),

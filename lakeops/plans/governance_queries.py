@@ -46,11 +46,15 @@ def _(lake):
 select 'documents' as table_name, source as part, count(*) as rows, {', '.join(f"count(*) filter (regexp_matches(text, '{p}')) as {k}_rows" for k, p in C.PII_PATTERNS.items())}
 from documents group by source
 union all select 'conversations', role, count(*), {', '.join(f"count(*) filter (regexp_matches(text, '{p}'))" for p in C.PII_PATTERNS.values())}
-from conversations group by role""")
+from conversations group by role
+union all select 'pages', 'html', count(*), {', '.join(f"count(*) filter (regexp_matches(html, '{p}'))" for p in C.PII_PATTERNS.values())}
+from pages having count(*) > 0""")
 def _(lake):
     docs = C.pii_scan(lake.table("documents").withColumnRenamed("source", "part"), "text", ["part"])
     talks = C.pii_scan(lake.table("conversations").withColumnRenamed("role", "part"), "text", ["part"])
-    return docs.withColumn("table_name", F.lit("documents")).unionByName(talks.withColumn("table_name", F.lit("conversations")))
+    pages = C.pii_scan(lake.table("pages").withColumn("part", F.lit("html")), "html", ["part"])
+    return docs.withColumn("table_name", F.lit("documents")).unionByName(
+        talks.withColumn("table_name", F.lit("conversations"))).unionByName(pages.withColumn("table_name", F.lit("pages")))
 
 
 #: assets: one per document, classified by what it holds
@@ -114,11 +118,17 @@ def _(lake):
 
 @query("integrity_checks", f"""
 with {CLASSIFY},
+labels_of as (select table_name, column_name, bool_or(classification = 'HR_COMPENSATION') as restricted,
+ case when bool_or(classification in ('CUSTOMER_LOYALTY_ID', 'PERSONAL.EMAIL', 'PERSONAL.PHONE_NUMBER', 'GOVERNMENT.US.SOCIAL_SECURITY_NUMBER')) then 'Confidential-PII'
+  when bool_or(classification in ('FINANCIAL.CREDIT_CARD_NUMBER', 'HR_COMPENSATION')) then 'Highly-Confidential-Restricted'
+  when bool_or(classification = 'INTERNAL_EMPLOYEE_ID') then 'Confidential-PII' else 'Internal' end as label
+ from classified group by table_name, column_name),
 checks(check_name, measure) as (
  select 'customers row count > 0', count(*)::double from customer
  union all select 'orders.customer_id integrity pct', (count(*) filter (o_custkey in (select c_custkey from customer)))::double / count(*)::double * 100 from orders
  union all select 'pii columns classified pct', count(distinct column_name)::double / 3.0::double * 100 from classified where column_name in ('c_name', 'text', 'html')
- union all select 'restricted columns labelled pct', case when count(*) = 0 then 100.0 else 100.0 end from classified where classification = 'HR_COMPENSATION')
+ union all select 'restricted columns labelled pct', case when count(*) = 0 then 100.0::double
+  else (count(*) filter (label = 'Highly-Confidential-Restricted'))::double / count(*)::double * 100 end from labels_of where restricted)
 select *, case when check_name like '%> 0' then measure > 0 else measure >= 100 end as passed from checks""")
 def _(lake):
     orders = lake.table("orders").select(F.col("o_custkey").alias("customer_id"))

@@ -57,16 +57,17 @@ def _(lake):
 
 
 @query("read_tolerant", """
-select 'reports' as name, cast(null as varchar) as error, count(*) as rows from fx_items where item_type = 'Report'
-union all select 'lost', 'PATH_NOT_FOUND', 0
-union all select 'notebooks', null, count(*) from fx_items where item_type = 'Notebook'""")
+select case item_type when 'Report' then 'reports' when 'Notebook' then 'notebooks' else 'others' end as name, cast(null as varchar) as error,
+ count(*) over (partition by case item_type when 'Report' then 'reports' when 'Notebook' then 'notebooks' else 'others' end) as rows, cast(item_id as varchar) as item_id from fx_items
+union all select 'lost', 'PATH_NOT_FOUND', 0, null""")
 def _(lake):
     items, spark = lake.fx("items"), lake.spark
     absent = scratch_path(spark, "absent")
-    _data, status = readers.read_tolerant(spark, {
+    named = F.coalesce(F.col("item_type").isin("Report", "Notebook"), F.lit(False))
+    data, status = readers.read_tolerant(spark, {
         "reports": lambda: items.where(F.col("item_type") == "Report"), "lost": lambda: spark.read.parquet(absent),
-        "notebooks": lambda: items.where(F.col("item_type") == "Notebook")})
-    return status
+        "notebooks": lambda: items.where(F.col("item_type") == "Notebook"), "others": lambda: items.where(~named)})
+    return status.join(data.select(F.col("source").alias("name"), F.col("item_id").cast("string").alias("item_id")), "name", "left")
 
 
 @query("union_tagged", """

@@ -148,6 +148,10 @@ class Lake:
     def table(self, name: str) -> DataFrame:
         return self.spark.read.schema(SCHEMAS[name]).parquet(f"{self.root}/{name}.parquet")
 
+    def raw(self, name: str) -> DataFrame:
+        """A table with the schema its own files declare."""
+        return self.spark.read.parquet(f"{self.root}/{name}.parquet")
+
     def fx(self, name: str) -> DataFrame:
         """Derived view ``fx_<name>``."""
         key = f"fx_{name}"

@@ -251,10 +251,11 @@ def _(lake):
 
 
 FREQUENCY = f"""
+steps as (select *, epoch_us(start_time) - epoch_us(lag(start_time) over (partition by item_id order by start_time)) as step
+ from fx_runs where start_time is not null),
 gaps as (
- select {ITEM}, count(*) as runs,
-  cast(epoch_us(max(start_time)) - epoch_us(min(start_time)) as double) / cast(count(*) - 1 as double) / 1000000.0 as avg_gap_seconds
- from fx_runs where start_time is not null group by all having count(*) >= 2),
+ select {ITEM}, count(*) as runs, cast(sum(step) as double) / cast(count(*) - 1 as double) / 1000000.0 as avg_gap_seconds
+ from steps group by all having count(*) >= 2),
 freq as (select *, case when avg_gap_seconds <= 3600 then 'sub-hourly' when avg_gap_seconds <= 86400 then 'daily'
  when avg_gap_seconds <= 604800 then 'weekly' else 'infrequent' end as frequency from gaps)"""
 

@@ -20,6 +20,9 @@ DEFAULTS = {
     # split a hot join key even where that costs one more shuffle downstream
     "spark.sql.adaptive.forceOptimizeSkewedJoin": "true",
     "spark.sql.adaptive.optimizeSkewsInRebalancePartitions.enabled": "true",
+    # weeks of ids remembered by a stream do not fit in the heap
+    "spark.sql.streaming.stateStore.providerClass":
+        "org.apache.spark.sql.execution.streaming.state.RocksDBStateStoreProvider",
 }
 
 

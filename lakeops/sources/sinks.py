@@ -15,7 +15,7 @@ from lakeops.session import cut_lineage
 
 
 def write_table_overwrite(df: DataFrame, path: str, fmt: str = "parquet", partition_by: Sequence[str] = ()) -> str:
-    """Replace the table at ``path``. ``fmt`` may be ``delta`` where its jar is present."""
+    """Replace the table at ``path``."""
     df.write.mode("overwrite").format(fmt).partitionBy(*partition_by).save(path)
     return path
 
@@ -93,13 +93,6 @@ def read_ingested(spark: SparkSession, target: str) -> DataFrame:
 def merge_apply(spark: SparkSession, current: str, new: str, desired: DataFrame, keys: Sequence[str], fmt: str = "parquet") -> str:
     """Upsert ``desired`` into the table at ``current``.
 
-    Plain files cannot be replaced while they are read, so the result goes to
-    ``new`` for the caller to switch to. With Delta the table is merged in place.
+    Files cannot be replaced while they are read, so the result goes to ``new`` for the caller to switch to.
     """
-    if fmt == "delta":
-        desired.createOrReplaceTempView("_desired")
-        on = " AND ".join(f"t.`{k}` <=> s.`{k}`" for k in keys)
-        spark.sql(f"MERGE INTO delta.`{current}` t USING _desired s ON {on} "
-                  "WHEN MATCHED THEN UPDATE SET * WHEN NOT MATCHED THEN INSERT *")
-        return current
     return write_table_overwrite(merge_rows(spark.read.format(fmt).load(current), desired, keys), new, fmt)

@@ -14,6 +14,7 @@ from lakeops.operators import inventory as I
 from lakeops.operators import quality as Q
 from lakeops.operators import sales as X
 from lakeops.operators import storage as O
+from lakeops.plans.catalog import QUERIES
 
 
 # -- labels
@@ -28,6 +29,19 @@ def test_first_match_and_highest_priority(spark):
         C.auto_label(df, mode="other")
 
 
+def test_label_rules_ignore_a_leading_vendor_segment(spark):
+    df = spark.createDataFrame([(1, ["VENDOR.PERSONAL.EMAIL"]), (2, ["VENDOR.FINANCIAL.CREDIT_CARD_NUMBER", None]), (3, ["EMAIL"]), (4, [None])],
+                               "id int, classifications array<string>")
+    assert {r.id: r.label for r in C.auto_label(df).collect()} == {
+        1: "Confidential-PII", 2: "Highly-Confidential-Restricted", 3: "Internal", 4: "Internal"}
+
+
+def test_employee_ids_at_one_domain(spark, rows):
+    df = spark.createDataFrame([("emp1@a.com", "emp1@b.com"), ("emp2@a.com", "emp2@axcom")], "own string, other string")
+    assert rows(C.classify_columns("t", df, [C.employee_id_rule("a.com")]), "column_name", "match_ratio") == [("own", 1.0)]
+    assert rows(C.classify_columns("t", df, [C.employee_id_rule()]), "column_name") == [("other",), ("own",)]
+
+
 def test_classify_by_value_share_and_by_name(spark, rows):
     df = spark.createDataFrame([("LOY-123456789", 1), ("LOY-000000001", 2), ("no", 3), (None, 4)], "code string, base_pay int")
     assert rows(C.classify_columns("t", df), "column_name", "classification", "by_name") == [
@@ -49,6 +63,13 @@ def test_schema_drift(spark, rows):
     assert Q.contract_schema_drift(df, Q.Contract("t", (Q.ColumnRule("id", "int"),))).count() == 0
 
 
+def test_schema_drift_sees_what_the_files_hold(spark, rows, tmp_path):
+    spark.createDataFrame([(1, 5.0)], "o_orderkey bigint, o_totalprice double").withColumn(
+        "o_orderdate", F.lit("2024-01-01").cast("timestamp_ntz")).write.parquet(f"{tmp_path}/orders.parquet")
+    got = rows(QUERIES["contract_schema_drift"](spark, str(tmp_path)), "column_name", "kind")
+    assert ("o_custkey", "missing column") in got and not [r for r in got if r[0] == "o_orderdate"]
+
+
 def test_value_checks(spark):
     df = spark.createDataFrame([(1, 10, 5.0), (1, 11, -1.0), (2, None, None)], "id int, parent int, amount double")
     c = Q.Contract("t", (Q.ColumnRule("id", "int", nullable=False, pk=True), Q.ColumnRule("parent", "int", fk=("p", "k")),
