@@ -177,13 +177,23 @@ class Model:
         self.segments = segments
         self.parts = {segment: part.value for segment, part in parts.items()}
 
+    def owns(self, keys: np.ndarray) -> np.ndarray:
+        """Positions of the keys that belong to these segments."""
+        if len(self.parts) == self.segments:
+            return np.arange(len(keys))
+        held = np.zeros(self.segments, bool)
+        held[list(self.parts)] = True
+        return np.flatnonzero(held[(keys % np.uint64(self.segments)).astype(np.int64)])
+
     def _by_segment(self, keys: np.ndarray):
-        where = (keys % np.uint64(self.segments)).astype(np.int64)
+        # two bytes are sorted by radix, in linear time
+        where = (keys % np.uint64(self.segments)).astype(np.uint16 if self.segments < 1 << 16 else np.int64)
         order = np.argsort(where, kind="stable")
-        cuts = np.searchsorted(where[order], np.arange(self.segments + 1))
-        for segment, part in self.parts.items():
-            if cuts[segment] < cuts[segment + 1]:
-                yield order[cuts[segment]:cuts[segment + 1]], part
+        ids = np.array(list(self.parts), where.dtype)
+        lows, highs = (np.searchsorted(where[order], ids, side) for side in ("left", "right"))
+        for part, low, high in zip(self.parts.values(), lows, highs, strict=True):
+            if low < high:
+                yield order[low:high], part
 
     def word_count(self, keys: np.ndarray) -> np.ndarray:
         """Exact counts of words of these segments; 0 for others."""
@@ -235,11 +245,15 @@ def _prober(segments: int, parts: dict, n_all: int, n_distinct: int):
         scale = np.log10(n_all + n_distinct + 1)
         for batch in common.runs(batches, "text", 2 * common.RUN_BYTES):
             words, pairs, begin = _grams(batch.column("text"))
-            distinct, back = np.unique(words, return_inverse=True)
+            # a round looks at the n-grams of its own segments only, so that all rounds together probe each one once
+            at, pair_at = known.owns(words), known.owns(pairs)
+            distinct, back = np.unique(words[at], return_inverse=True)
             counts = known.word_count(distinct)
-            base = np.add.reduceat(np.log10(counts + 1.0)[back], begin[:-1])
-            seen = np.add.reduceat((counts > 0)[back].astype(np.int64), begin[:-1])
-            one, two = known.level(distinct)[back], known.level(pairs)
+            logs, held = np.zeros(len(words)), np.zeros(len(words), np.int64)
+            logs[at], held[at] = np.log10(counts + 1.0)[back], (counts > 0)[back]
+            base, seen = np.add.reduceat(logs, begin[:-1]), np.add.reduceat(held, begin[:-1])
+            one, two = np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8)
+            one[at], two[pair_at] = known.level(distinct)[back], known.level(pairs[pair_at])
             tokens = np.diff(begin)
             old = {name: batch.column(name) for name in ("base", "n_known", "levels")}
             if old["levels"].null_count < batch.num_rows:
