@@ -24,7 +24,7 @@ from pyspark.sql import functions as F
 from lakeops.llm import common
 
 FOLDS, HELD_OUT = 3, 1
-#: Training texts per language, at most (up to 1,000 Spark keeps only that many per task before its shuffle).
+#: Training texts per language, at most.
 TRAIN_PER_LANG = 1000
 SLOTS = 1 << 16
 ORDERS = 3
@@ -168,8 +168,14 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     seen, texts = document_frequencies(rows)
     idf = np.log((1 + texts) / (1 + seen)) + 1
     rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    # ids first (a few numbers a row, cut to per_lang a language in each task), then only the chosen texts
-    chosen = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", F.col("lang").alias("chosen_lang"), "rank")
+    # ids first (a few numbers a row), then only the chosen texts. Hashes spread evenly, so the wanted smallest ones lie
+    # below a language's share of all; one task then ranks about per_lang ids, however many rows and tasks there are;
+    # there is one share a language, and the model holds far more than that of each
+    share = (F.lit(1.25 * per_lang + 50) / F.col("texts")).alias("share")
+    shares = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).select("lang", share)
+    near = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).join(F.broadcast(shares), "lang").where(
+        F.col("order").cast("double") / F.lit(2.0 ** 64) + 0.5 < F.col("share"))
+    chosen = near.select("doc_id", "lang", "order").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", F.col("lang").alias("chosen_lang"), "rank")
     texts_of = rows.join(F.broadcast(chosen), (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (rows["lang"] == chosen["chosen_lang"])).select("lang", "rank", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
