@@ -131,7 +131,10 @@ def fingerprints(data: np.ndarray, starts: np.ndarray, ends: np.ndarray) -> np.n
     if not len(starts):
         return np.zeros(0, np.uint64)
     sums = np.zeros(len(data) + 1, np.uint64)
-    np.cumsum((data.astype(np.uint64) + np.uint64(1)) * _power_table(_BASE, len(data))[:len(data)], out=sums[1:])
+    terms = sums[1:]
+    np.add(data, np.uint64(1), out=terms)
+    terms *= _power_table(_BASE, len(data))[:len(data)]
+    np.cumsum(terms, out=terms)
     return mix((sums[ends] - sums[starts]) * _power_table(_INVERSE, len(data))[starts] + (ends - starts).astype(np.uint64))
 
 

@@ -81,7 +81,7 @@ def _count(arrays: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     order = np.argsort(keys)
     keys, counts = keys[order], counts[order]
     first = np.flatnonzero(np.concatenate(([True], keys[1:] != keys[:-1]))) if len(keys) else np.zeros(0, np.int64)
-    return keys[first], np.add.reduceat(counts, first) if len(first) else counts
+    return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
 def _counter(segments: int):
@@ -122,19 +122,20 @@ def _narrow(counts: np.ndarray) -> bytes:
     return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
 
 
-def _widen(counts: bytes, n: int) -> np.ndarray:
-    return np.frombuffer(counts, np.uint8 if len(counts) == n else np.uint32).astype(np.int64)
+def _widen(counts: pa.Buffer, n: int) -> np.ndarray:
+    return np.frombuffer(counts, np.uint8 if len(counts) == n else np.uint32).astype(np.uint32)
 
 
 def _sum_segment(segments: int):
     def work(table: pa.Table) -> pa.Table:
-        kinds, keys, counts = (table[name].to_pylist() for name in ("pair", "keys", "counts"))
+        kinds = table["pair"].to_pylist()
         found = {}
         for pair in (False, True):
-            own = [np.frombuffer(k, np.uint64) for p, k in zip(kinds, keys, strict=True) if p == pair]
-            numbers = [c for p, c in zip(kinds, counts, strict=True) if p == pair]
+            # keys are views of the Arrow buffers; counts stay 32 bits wide until they are added
+            own = [np.frombuffer(k.as_buffer(), np.uint64) for p, k in zip(kinds, table["keys"], strict=True) if p == pair]
+            numbers = [c.as_buffer() for p, c in zip(kinds, table["counts"], strict=True) if p == pair]
             arrays = [(k, _widen(c, len(k))) for k, c in zip(own, numbers, strict=True)]
-            found[pair] = _count(arrays or [(np.zeros(0, np.uint64), np.zeros(0, np.int64))])
+            found[pair] = _count(arrays or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))])
             del arrays
         (words, word_counts), (pairs, pair_counts) = found[False], found[True]
         bits = build_filter([(words, levels_of(word_counts)), (pairs, levels_of(pair_counts))])
@@ -243,7 +244,7 @@ def _prober(segments: int, parts: dict, n_all: int, n_distinct: int):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         known = Model(segments, parts)
         scale = np.log10(n_all + n_distinct + 1)
-        for batch in common.runs(batches, "text", 2 * common.RUN_BYTES):
+        for batch in common.runs(batches, "text"):
             words, pairs, begin = _grams(batch.column("text"))
             # a round looks at the n-grams of its own segments only, so that all rounds together probe each one once
             at, pair_at = known.owns(words), known.owns(pairs)
