@@ -205,16 +205,23 @@ def warehouse_checks(log: DataFrame, stats: DataFrame, schema_issues: DataFrame,
     ]
 
 
-def recommend_warehouse(checks: list[DataFrame]) -> DataFrame:
-    """Firing checks with a sentence each, most urgent first."""
-    texts = {
-        "Cold Cache": "statements read from remote storage; judge them on a warm run and consider warming the cache",
-        "Query Performance": "query patterns run long; review their plans, joins and clustering",
-        "Statistics": "statistics changed since their last update; refresh them in a maintenance window",
-        "Data Types": "string columns are oversized; declare the length the data needs",
-        "Compaction": "tables hold small row groups; compact them and batch their writes",
-        "Locking": "lock requests are blocked; find the long transaction and keep transactions short",
-        "Soft Delete": "deleted files still use storage; recover what is needed before they expire",
+def recommend_warehouse(checks: list[DataFrame], cold_mb: float = K.COLD_CACHE_MB, long_sec: float = K.LONG_QUERY_SECONDS,
+                        string_limit: int = K.STRING_LIMIT) -> DataFrame:
+    """Firing checks, most urgent first, with what was measured and the limit that ``findings`` objects exceed."""
+    limits = {
+        "Cold Cache": ("remote MB of a statement", cold_mb),
+        "Query Performance": ("median seconds of a pattern", long_sec),
+        "Statistics": ("changed rows of a statistic", 0),
+        "Data Types": ("length of a text column", string_limit),
+        "Compaction": ("small row groups of a table", 0),
+        "Locking": ("waiting requests of a lock", 0),
+        "Soft Delete": ("deleted files", 0),
     }
     ranked = prioritize_recommendations(union_recommendations(checks))
-    return ranked.withColumn("recommendation", F.concat_ws(" ", F.col("findings").cast("string"), S.lookup("area", texts)))
+    measure = S.lookup("area", {area: what for area, (what, _) in limits.items()})
+    limit = S.lookup("area", {area: float(at) for area, (_, at) in limits.items()})
+    shown = S.lookup("area", {area: f"{what} above {at:g}" for area, (what, at) in limits.items()})
+    return ranked.withColumns({
+        "measure": measure, "threshold": limit,
+        "recommendation": F.concat_ws(": ", "area", F.concat_ws(" x ", F.col("findings").cast("string"), shown)),
+    })

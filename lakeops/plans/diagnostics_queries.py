@@ -276,18 +276,15 @@ def _(lake):
 
 
 @query("recommend_warehouse", f"""
-with {CHECKS}
-select *, {RANK} as severity_rank, concat(findings, ' ', case area
- when 'Cold Cache' then 'statements read from remote storage; judge them on a warm run and consider warming the cache'
- when 'Query Performance' then 'query patterns run long; review their plans, joins and clustering'
- when 'Statistics' then 'statistics changed since their last update; refresh them in a maintenance window'
- when 'Data Types' then 'string columns are oversized; declare the length the data needs'
- when 'Compaction' then 'tables hold small row groups; compact them and batch their writes'
- when 'Locking' then 'lock requests are blocked; find the long transaction and keep transactions short'
- else 'deleted files still use storage; recover what is needed before they expire' end) as recommendation
-from checks where findings > 0""")
+with {CHECKS}, limits(area, measure, threshold) as (values
+ ('Cold Cache', 'remote MB of a statement', 100), ('Query Performance', 'median seconds of a pattern', 30),
+ ('Statistics', 'changed rows of a statistic', 0), ('Data Types', 'length of a text column', 4000),
+ ('Compaction', 'small row groups of a table', 0), ('Locking', 'waiting requests of a lock', 0), ('Soft Delete', 'deleted files', 0))
+select checks.*, {RANK} as severity_rank, measure, cast(threshold as double) as threshold,
+ concat(checks.area, ': ', findings, ' x ', measure, ' above ', threshold) as recommendation
+from checks join limits using (area) where findings > 0""")
 def _(lake):
-    return D.recommend_warehouse(_checks(lake))
+    return D.recommend_warehouse(_checks(lake), long_sec=30)
 
 
 @query("severity_rank", f"select event_type, count(*) as n, {RANK} as severity_rank from (select event_type, case event_type when 'error' then 'Critical' when 'click' then 'Info' else event_type end as priority from events) group by all")
