@@ -22,10 +22,12 @@ def lineage_edges(processes: DataFrame) -> DataFrame:
     return reads.unionByName(writes)
 
 
-def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distance: int | None = None) -> DataFrame:
+def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distance: int | None = None,
+                    seeds: DataFrame | None = None) -> DataFrame:
     """Every ``node, reached`` pair with its shortest ``distance``; cycles end because a known pair is not taken again.
 
-    ``edges`` has ``src`` and ``dst``. Unbounded unless ``max_distance`` is given.
+    ``edges`` has ``src`` and ``dst``. Unbounded unless ``max_distance`` is given. With ``seeds`` (a column ``node``,
+    repeats and NULLs allowed) only pairs that start there are followed, so the result grows with what they reach.
     """
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
     step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
@@ -33,6 +35,8 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
     step, rows = cut_lineage_counted(step)
     frontier = step.where(F.col("_from") != F.col("_to")).select(
         F.col("_from").alias("node"), F.col("_to").alias("reached"), F.lit(1).alias("distance"))
+    if seeds is not None:
+        frontier = cut_lineage(frontier.join(seeds.select("node"), "node", "left_semi"))
     known, distance = frontier, 1
     while rows and (max_distance is None or distance < max_distance):
         distance += 1

@@ -156,6 +156,13 @@ def test_closure_takes_the_shortest_way(spark):
     assert {(r.node, r.reached): r.distance for r in L.lineage_closure(e).collect()}[(1, 4)] == 2
 
 
+def test_closure_from_seeds_keeps_their_pairs_only(spark, rows):
+    e = spark.createDataFrame([("a", "b"), ("b", "c"), ("x", "y"), ("y", "x")], "src string, dst string")
+    seeds = spark.createDataFrame([("a",), ("a",), (None,), ("nowhere",)], "node string")
+    assert rows(L.lineage_closure(e, seeds=seeds), "node", "reached", "distance") == [("a", "b", 1), ("a", "c", 2)]
+    assert rows(L.lineage_closure(e, "upstream", seeds=seeds), "node", "reached") == []
+
+
 def test_glossary_orphans_and_cycles(spark, rows):
     t = spark.createDataFrame([("root", None), ("kid", "root"), ("lost", "nowhere"), ("x", "y"), ("y", "x")], "term string, parent_term string")
     assert rows(L.glossary_tree(t), "term", "level", "orphan") == [
