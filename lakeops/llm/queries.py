@@ -57,7 +57,7 @@ def op5_secret_scans(spark, sf_dir):
 
 @query
 def op6_token_id_output(spark, sf_dir):
-    return token_output.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"))
+    return token_output.materialise(table(spark, sf_dir, "documents"), scratch_path(spark, "token-shards"), tokenizer=TOKENIZER)
 
 
 @query

@@ -9,8 +9,13 @@ A shard file holds ``per_shard`` slots in order, each at ``slot % per_shard * st
 its own and renames it when it is whole, so retries and speculative tasks do no harm. Reading is sequential, and resumes
 at any slot. A file of the right size is not written again with ``resume``.
 
-The ids of the registered query are the UTF-8 bytes themselves (one byte each; 0xFF ends a text and 0xFE fills its last
-sequence, neither is ever part of UTF-8). Any other encoder is a parameter.
+The ids are those of a tokenizer file (``tokenizer``; the registered query names the public vocabulary), little-endian in 2
+or 4 bytes each, whichever the vocabulary needs. The two largest values of that width mark the end of a text and fill its
+last sequence; they are never ids, also where a text holds the string of a special token. Without a tokenizer the ids are
+the UTF-8 bytes themselves (0xFF ends and 0xFE fills, neither is ever part of UTF-8).
+
+Texts are encoded once: their ids are written to the shared folder with the number of sequences before them in their
+split. The sequences of each split are added up from there, so slots follow from the real token counts.
 
 Cases: a null or empty text is one sequence with only the end; repeated rows and null ids are sequences like others; a
 very long text is as many sequences as it needs; an empty table writes nothing; other columns are ignored.
@@ -18,8 +23,10 @@ very long text is as many sequences as it needs; an empty table writes nothing;
 
 from __future__ import annotations
 
+import json
 import uuid
 from collections.abc import Iterator
+from itertools import chain
 
 import numpy as np
 import pyarrow as pa
@@ -27,12 +34,11 @@ from pyarrow import fs
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from lakeops.llm import common
+from lakeops.llm import bpe, common
 
 LENGTH = 512
 PER_SHARD = 16_384
 KEY = 0x5EED
-END, FILL = 0xFF, 0xFE
 ROUNDS = 6
 
 
@@ -52,19 +58,60 @@ def permute(numbers: np.ndarray, n: int, key: int = KEY) -> np.ndarray:
     return out.astype(np.int64)
 
 
+def id_type(tokenizer: str | None) -> np.dtype:
+    """How an id is stored: the narrowest of 2 and 4 bytes that leaves two values free, one byte without a tokenizer."""
+    if tokenizer is None:
+        return np.dtype("u1")
+    with open(tokenizer, encoding="utf-8") as f:
+        spec = json.load(f)
+    largest = max(chain(spec["model"]["vocab"].values(), (t["id"] for t in spec["added_tokens"])))
+    return np.dtype("<u2" if largest < 0xFFFE else "<u4")
+
+
+def end_and_fill(kind: np.dtype) -> tuple[int, int]:
+    """The values after a text and after its end: the two largest of the width."""
+    return int(np.iinfo(kind).max), int(np.iinfo(kind).max) - 1
+
+
 def _spans(docs: DataFrame) -> DataFrame:
     return docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
-def materialise(docs: DataFrame, out_dir: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, resume: bool = False) -> DataFrame:
-    """Write the shards of ``docs`` (read from files) below ``out_dir`` when the result is computed.
+def _encoded(docs: DataFrame, tokenizer: str | None, ids: np.dtype, length: int) -> DataFrame:
+    """(doc_id, file, block, before, many, ids): the ids of each row's text, its sequences and those before it in its split."""
+    spans = _spans(docs)
+
+    def encode(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        done: dict[tuple[str, int], int] = {}
+        for batch in common.runs(batches, "text", bpe.TRIE_BYTES if tokenizer else common.RUN_BYTES):
+            if tokenizer:
+                texts = [t or "" for t in batch.column("text").to_pylist()]
+                bodies = [np.fromiter(chain.from_iterable(pieces), ids).tobytes() for pieces in bpe.load(tokenizer).encode_batch(texts)]
+            else:
+                bodies = [b or b"" for b in batch.column("text").cast(pa.binary()).to_pylist()]
+            many = [(len(body) // ids.itemsize + length) // length for body in bodies]
+            before = []
+            for place, n in zip(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True), many, strict=True):
+                before.append(done.get(place, 0))
+                done[place] = before[-1] + n
+            yield pa.RecordBatch.from_arrays(
+                [batch.column("doc_id"), batch.column("file"), batch.column("block"), pa.array(before, pa.int64()), pa.array(many, pa.int64()), pa.array(bodies, pa.binary())],
+                names=["doc_id", "file", "block", "before", "many", "ids"])
+
+    return spans.mapInArrow(encode, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, file string, block bigint, before bigint, many bigint, ids binary")
+
+
+def materialise(docs: DataFrame, out_dir: str, key: int = KEY, length: int = LENGTH, per_shard: int = PER_SHARD, resume: bool = False, tokenizer: str | None = None) -> DataFrame:
+    """Encode the texts of ``docs`` (read from files), and write the shards below ``out_dir`` when the result is computed.
 
     One row per sequence: doc_id, seq (its number in the text), n_tokens (with the end), slot, shard, offset (bytes).
     """
-    spans = _spans(docs)
+    ids = id_type(tokenizer)
+    end, fill = end_and_fill(ids)
+    stride = length * ids.itemsize
+    encoded = common.cut(_encoded(docs, tokenizer, ids, length), "token-ids")
     # sequences before each split of each file: as many rows as there are splits
-    count = F.floor((F.coalesce(F.octet_length("text"), F.lit(0)) + length) / length).cast("bigint")
-    splits = spans.groupBy("file", "block").agg(F.sum(count).alias("n")).orderBy("file", "block").collect()
+    splits = encoded.groupBy("file", "block").agg(F.sum("many").alias("n")).orderBy("file", "block").collect()
     before, total = {}, 0
     for r in splits:
         before[r.file, r.block] = total
@@ -73,42 +120,38 @@ def materialise(docs: DataFrame, out_dir: str, key: int = KEY, length: int = LEN
     kind = docs.schema["doc_id"].dataType.simpleString()
 
     def number(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        done: dict[tuple[str, int], int] = {}
-        for batch in common.runs(batches, "text"):
-            data, offsets = common.raw_bytes_of(batch.column("text"))
-            size = np.diff(offsets)
-            many = (size + length) // length
+        for batch in common.runs(batches, "ids"):
+            data, offsets = common.raw_bytes_of(batch.column("ids"))
+            data, offsets = data.view(ids), offsets // ids.itemsize
+            size, many = np.diff(offsets), batch.column("many").to_numpy()
             first = np.concatenate(([0], np.cumsum(many)))
-            body = np.full((int(first[-1]), length), FILL, np.uint8)
+            body = np.full((int(first[-1]), length), fill, ids)
             flat = body.reshape(-1)
             where = np.repeat(first[:-1] * length - offsets[:-1], size) + np.arange(len(data))
             flat[where] = data
-            flat[first[:-1] * length + size] = END
-            base = np.empty(batch.num_rows, np.int64)
-            places = list(zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True))
-            for k, place in enumerate(places):
-                base[k] = known.value[place] + done.get(place, 0)
-                done[place] = done.get(place, 0) + int(many[k])
+            flat[first[:-1] * length + size] = end
+            places = zip(batch.column("file").to_pylist(), batch.column("block").to_pylist(), strict=True)
+            base = np.array([known.value[place] for place in places], np.int64) + batch.column("before").to_numpy()
             owner = np.repeat(np.arange(batch.num_rows), many)
             seq = np.arange(len(owner)) - first[owner]
             slots = permute(base[owner] + seq, total, key)
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id").take(pa.array(owner)), pa.array(seq.astype(np.int32)), pa.array(np.minimum(size[owner] + 1 - seq * length, length).astype(np.int32)),
                 pa.array(slots), pa.array((slots // per_shard).astype(np.int32)),
-                pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, body.size + 1, length, dtype=np.int32)), pa.py_buffer(body)])],
+                pa.Array.from_buffers(pa.binary(), len(body), [None, pa.py_buffer(np.arange(0, body.nbytes + 1, stride, dtype=np.int32)), pa.py_buffer(body)])],
                 names=["doc_id", "seq", "n_tokens", "slot", "shard", "body"])
 
-    numbered = spans.mapInArrow(number, f"doc_id {kind}, seq int, n_tokens int, slot bigint, shard int, body binary")
+    numbered = encoded.mapInArrow(number, f"doc_id {kind}, seq int, n_tokens int, slot bigint, shard int, body binary")
     shards = max(1, -(-total // per_shard))
     dealt = numbered.repartitionById(shards, F.col("shard")).sortWithinPartitions("slot")
-    return dealt.mapInArrow(_writer(out_dir, length, per_shard, total, resume), f"doc_id {kind}, seq int, n_tokens int, slot bigint, shard int, offset bigint")
+    return dealt.mapInArrow(_writer(out_dir, stride, per_shard, total, resume), f"doc_id {kind}, seq int, n_tokens int, slot bigint, shard int, offset bigint")
 
 
 def shard_name(shard: int) -> str:
     return f"shard-{shard:06d}.bin"
 
 
-def _writer(out_dir: str, length: int, per_shard: int, total: int, resume: bool):
+def _writer(out_dir: str, stride: int, per_shard: int, total: int, resume: bool):
     def write(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         store, root = fs.FileSystem.from_uri(out_dir)
         store.create_dir(root, recursive=True)
@@ -130,27 +173,27 @@ def _writer(out_dir: str, length: int, per_shard: int, total: int, resume: bool)
                     if open_ is not None:
                         close()
                     open_ = None
-                    whole = min(per_shard, total - shard * per_shard) * length
+                    whole = min(per_shard, total - shard * per_shard) * stride
                     if not (resume and store.get_file_info(f"{root}/{shard_name(shard)}").size == whole):
                         name = f"{root}/.{shard_name(shard)}.{uuid.uuid4().hex}"
                         open_ = shard, name, store.open_output_stream(name)
                 if open_ is not None:
                     open_[2].write(b"".join(batch.column("body").slice(a, b - a).to_pylist()))
             slots = batch.column("slot").to_numpy()
-            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("doc_id", "seq", "n_tokens", "slot", "shard")], pa.array(slots % per_shard * length)], names=["doc_id", "seq", "n_tokens", "slot", "shard", "offset"])
+            yield pa.RecordBatch.from_arrays([*[batch.column(k) for k in ("doc_id", "seq", "n_tokens", "slot", "shard")], pa.array(slots % per_shard * stride)], names=["doc_id", "seq", "n_tokens", "slot", "shard", "offset"])
         if open_ is not None:
             close()
 
     return write
 
 
-def read_slots(out_dir: str, first: int, end: int, length: int = LENGTH, per_shard: int = PER_SHARD) -> Iterator[bytes]:
-    """Sequences ``first`` to ``end`` in training order, shard after shard; reading resumes at any slot."""
+def read_slots(out_dir: str, first: int, end: int, length: int = LENGTH, per_shard: int = PER_SHARD, width: int = 1) -> Iterator[bytes]:
+    """Sequences ``first`` to ``end`` in training order, shard after shard; reading resumes at any slot. ``width``: bytes an id."""
     store, root = fs.FileSystem.from_uri(out_dir)
     while first < end:
         shard, last = first // per_shard, min(end, (first // per_shard + 1) * per_shard)
         with store.open_input_file(f"{root}/{shard_name(shard)}") as f:
-            f.seek(first % per_shard * length)
+            f.seek(first % per_shard * length * width)
             for _ in range(first, last):
-                yield f.read(length)
+                yield f.read(length * width)
         first = last

@@ -235,6 +235,28 @@ def test_token_output(spark, edge, tmp_path):
         assert ordered(map(tuple, again)) == ordered(map(tuple, rows))
 
 
+def test_token_ids_of_a_vocabulary(spark, edge, tmp_path):
+    special = spark.createDataFrame([(20, "before <|endoftext|> after")], "doc_id bigint, text string")
+    edge.select("doc_id", "text").union(special).repartition(3).write.parquet(str(tmp_path / "docs"))
+    plain, ids = Tokenizer.from_file(TOKENIZER), token_output.id_type(TOKENIZER)
+    end, fill = token_output.end_and_fill(ids)
+    assert ids.itemsize == 2 and plain.get_vocab_size() <= fill
+    for k, docs in enumerate((table(spark, ROOT, "documents"), spark.read.parquet(str(tmp_path / "docs")))):
+        out = str(tmp_path / f"ids{k}")
+        rows = token_output.materialise(docs, out, per_shard=100, tokenizer=TOKENIZER).collect()
+        assert sorted(r.slot for r in rows) == list(range(len(rows)))
+        assert all(r.shard == r.slot // 100 and r.offset == r.slot % 100 * token_output.LENGTH * 2 for r in rows)
+        stored = [np.frombuffer(x, ids).tolist() for x in token_output.read_slots(out, 0, len(rows), per_shard=100, width=2)]
+        parts = collections.defaultdict(list)
+        for r in rows:
+            assert set(stored[r.slot][r.n_tokens:]) <= {fill}
+            parts[r.doc_id].append((r.seq, stored[r.slot][:r.n_tokens]))
+        texts = [(r.doc_id, r.text or "") for r in docs.select("doc_id", "text").collect()]
+        once = [i for i, n in collections.Counter(i for i, _ in texts).items() if n == 1]
+        whole = {i: [*plain.encode(t, add_special_tokens=False).ids, end] for i, t in texts}
+        assert all([x for _, part in sorted(parts[i]) for x in part] == whole[i] for i in once)
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 def test_language(spark, edge):
