@@ -1,7 +1,7 @@
 """Token-ID / binary output in training order: a keyed Feistel permutation gives every sequence a global slot.
 
 Texts become token ids, ids become sequences of a fixed length, and sequence number i of the stored table (files by
-name, rows in file order) gets the slot that the permutation maps i to: a Feistel network over the smallest even number
+path, rows in file order) gets the slot that the permutation maps i to: a Feistel network over the smallest even number
 of bits that holds all numbers, walked on until it lands below their count. So the slots are a permutation, any of them
 can be worked out alone, and they depend on key and stored files only, not on how Spark splits the files.
 
@@ -74,7 +74,7 @@ def end_and_fill(kind: np.dtype) -> tuple[int, int]:
 
 
 def _spans(docs: DataFrame) -> DataFrame:
-    return docs.select("doc_id", "text", F.col("_metadata.file_name").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    return docs.select("doc_id", "text", F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
 
 
 def _encoded(docs: DataFrame, tokenizer: str | None, ids: np.dtype, length: int) -> DataFrame:

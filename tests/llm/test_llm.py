@@ -257,6 +257,18 @@ def test_token_ids_of_a_vocabulary(spark, edge, tmp_path):
         assert all([x for _, part in sorted(parts[i]) for x in part] == whole[i] for i in once)
 
 
+def test_token_output_of_a_partitioned_table(spark, tmp_path):
+    rows = [(k, f"text {k} " * (k * 7 % 400), "de" if k % 3 else "en") for k in range(300)]
+    spark.createDataFrame(rows, "doc_id bigint, text string, lang string").coalesce(1).write.partitionBy("lang").parquet(str(tmp_path / "docs"))
+    assert len({p.name for p in (tmp_path / "docs").glob("*/*.parquet")}) == 1
+    got = token_output.materialise(spark.read.parquet(str(tmp_path / "docs")), str(tmp_path / "out"), per_shard=100).collect()
+    assert sorted(r.slot for r in got) == list(range(len(got)))
+    stored = list(token_output.read_slots(str(tmp_path / "out"), 0, len(got), per_shard=100))
+    for k, text, _ in rows:
+        mine = sorted((r.seq, stored[r.slot][:r.n_tokens]) for r in got if r.doc_id == k)
+        assert b"".join(x for _, x in mine) == text.encode() + b"\xff"
+
+
 # 7 ------------------------------------------------------------------------------------------------------------------
 
 def test_language(spark, edge):
