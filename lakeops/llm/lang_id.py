@@ -3,12 +3,12 @@
 Letters are lower-cased, everything else is a space and runs of spaces are one; n-grams of one to three characters are
 counted in 2^16 slots by hash. Document frequencies come from all training texts. The weights are fitted by
 follow-the-regularised-leader (per-coordinate steps, L1 makes them sparse, L2 shrinks them) on at most
-``TRAIN_PER_LANG`` texts per language, whole texts all of them, those with the smallest hash of their id. A tenth of
+``TRAIN_PER_LANG`` texts per language, whole texts all of them, those with the smallest hash of id and text together. A tenth of
 that sample is kept apart to fit the temperature that calibrates the probabilities.
 
 Cases: a null text, or one without a letter, is ``und`` with score 0; null languages are not learnt from; with one
 language all texts get it; without any they are ``und``; repeated rows are predicted alike; ties go to the language
-that sorts first; other columns are ignored.
+that sorts first; null and repeated ids are sampled by their texts, rows equal in both once; other columns are ignored.
 """
 
 from __future__ import annotations
@@ -167,16 +167,18 @@ def train(docs: DataFrame, per_lang: int = TRAIN_PER_LANG) -> Model:
     rows = docs.select("doc_id", "text", "lang").where((common.fold_of(F.col("doc_id"), FOLDS) != HELD_OUT) & F.col("lang").isNotNull())
     seen, texts = document_frequencies(rows)
     idf = np.log((1 + texts) / (1 + seen)) + 1
-    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order", "doc_id"))
-    # ids first (a few numbers a row), then only the chosen texts. Hashes spread evenly, so the wanted smallest ones lie
-    # below a language's share of all; one task then ranks about per_lang ids, however many rows and tasks there are;
-    # there is one share a language, and the model holds far more than that of each
+    rank = F.row_number().over(Window.partitionBy("lang").orderBy("order"))
+    # hashes first (a few numbers a row), then only the chosen texts. Different hashes spread evenly, so the wanted smallest
+    # ones lie below a language's share of all; one task then ranks about per_lang of them, however many rows and tasks
+    # there are; there is one share a language, and the model holds far more than that of each
+    hashed = rows.withColumn("order", F.xxhash64("doc_id", "text"))
+    distinct = common.cut(hashed.select("lang", "order").distinct(), "language-rows")
     share = (F.lit(1.25 * per_lang + 50) / F.col("texts")).alias("share")
-    shares = rows.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).select("lang", share)
-    near = rows.select("doc_id", "lang", F.xxhash64("doc_id").alias("order")).join(F.broadcast(shares), "lang").where(
+    shares = distinct.groupBy("lang").agg(F.count(F.lit(1)).alias("texts")).select("lang", share)
+    near = distinct.join(F.broadcast(shares), "lang").where(
         F.col("order").cast("double") / F.lit(2.0 ** 64) + 0.5 < F.col("share"))
-    chosen = near.select("doc_id", "lang", "order").withColumn("rank", rank).where(F.col("rank") <= per_lang).select("doc_id", F.col("lang").alias("chosen_lang"), "rank")
-    texts_of = rows.join(F.broadcast(chosen), (rows["doc_id"].eqNullSafe(chosen["doc_id"])) & (rows["lang"] == chosen["chosen_lang"])).select("lang", "rank", "text")
+    chosen = near.select("lang", "order").withColumn("rank", rank).where(F.col("rank") <= per_lang)
+    texts_of = hashed.join(F.broadcast(chosen), ["lang", "order"]).select("lang", "rank", "text")
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.runs(batches, "text"):

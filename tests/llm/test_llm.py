@@ -281,6 +281,19 @@ def test_language(spark, edge):
     assert lang_id.report(edge.limit(0)).count() == 0
 
 
+def test_language_of_null_and_repeated_ids(spark):
+    docs = table(spark, "/root/testdata/sf0.01", "documents").select("doc_id", "text", "lang").where("lang is not null")
+    lang = docs.groupBy("lang").count().orderBy("count", ascending=False).first().lang
+    texts = [r.text for r in docs.where(docs.lang == lang).limit(40).collect()]
+    for same in ("null", "1"):  # both are training rows
+        model = lang_id.train(docs.selectExpr(f"if(lang = '{lang}', {same}, doc_id) doc_id", "text", "lang"), 40)
+        assert np.mean([model.predict(t)[0] == lang for t in texts]) > 0.9
+    # one row repeated very often does not hide the others of its language
+    often = docs.where(docs.lang == lang).limit(1).selectExpr("doc_id", "text", "lang", "explode(sequence(1, 3000))").drop("col")
+    model = lang_id.train(docs.union(often), 40)
+    assert np.mean([model.predict(t)[0] == lang for t in texts]) > 0.9
+
+
 def test_calibration():
     rng = np.random.default_rng(0)
     logits = rng.normal(size=(4000, 3))
