@@ -147,7 +147,8 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     minute per group that straddles the middle is written out as a table with a
     row per group, so the second look at the rows keeps only those minutes,
     without a shuffle of the others where that table is small enough to broadcast.
-    Inside that minute the same is done by instant, so only rows of one group and one instant are ever ordered.
+    Inside that minute the same is done by instant. Only rows of the instant that straddles the middle are ordered, by
+    ranges, so many rows of one group and one instant are spread over tasks as well.
     """
     keys = list(keys)
     rows = df.select(
@@ -170,9 +171,8 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     first, second = F.col("_start") + F.col("n") <= F.col("mid"), F.col("_start") >= F.col("mid")
     whole = placed.where(first | second).select(*keys, F.when(first, F.col("s")).alias("c1"), F.when(second, F.col("s")).alias("c2"))
     one = placed.where(~(first | second)).select(*keys, time, "_start")
-    rank = F.row_number().over(Window.partitionBy(*keys, time).orderBy(tie))
     in_first = F.col("_start") + F.col("_rank") <= F.col("mid")
-    parted = straddling.join(one, [*keys, time]).withColumn("_rank", rank).select(
+    parted = ranked_by_range(straddling.join(one, [*keys, time]), [*keys, time], [tie, "_v"], "_rank").select(
         *keys, F.when(in_first, F.col("_v")).alias("c1"), F.when(~in_first, F.col("_v")).alias("c2"))
     cut = whole.unionByName(parted).groupBy(*keys).agg(F.sum("c1").alias("c1"), F.sum("c2").alias("c2"))
 

@@ -67,6 +67,28 @@ def test_rank_over_ranges(data):
 
 
 
+def test_half_means_of_one_instant(spark, monkeypatch):
+    rows = [("hot", i, T0, float(i % 13)) for i in range(6001)] + [("a", 1, T0, 4.0)]
+    parts, cut = [], skew.cut_lineage
+
+    def spy(df, tag):
+        out = cut(df, tag)
+        if tag == "ranged":
+            parts.extend(r["count"] for r in out.where("k = 'hot'").groupBy("_part").count().collect())
+        return out
+
+    monkeypatch.setattr(skew, "cut_lineage", spy)
+    spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "false")
+    try:
+        df = spark.createDataFrame(rows, "k string, id int, t timestamp, v double").repartition(7)
+        got = {r.k: (r.first_half_mean, r.second_half_mean) for r in skew.half_means(df, ["k"], "t", "id", "v").collect()}
+    finally:
+        spark.conf.set("spark.sql.adaptive.coalescePartitions.enabled", "true")
+    assert len(parts) > 1 and max(parts) < 4000 and sum(parts) == 6001
+    hot = [v for *_, v in rows[:6001]]
+    assert got["hot"] == pytest.approx((statistics.mean(hot[:3000]), statistics.mean(hot[3000:]))) and got["a"] == (None, 4.0)
+
+
 def test_half_means(data):
     rows, df = data
     got = {r.k: r for r in skew.half_means(df.where("v is not null"), ["k"], "t", "id", "v").collect()}
