@@ -7,7 +7,7 @@ from collections.abc import Callable
 import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 
-from lakeops.llm import ann, bpe, common, decontam, lang_id, lm_score, quality, secret_scan, sharding, simhash, token_output
+from lakeops.llm import ann, bpe, common, decontam, lang_id, lm_score, minhash, periodic, phrases, quality, secret_scan, sharding, simhash, token_output
 from lakeops.session import scratch_path
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -78,3 +78,21 @@ def op9_simhash_near_dedup(spark, sf_dir):
 @query
 def op10_quality_classifier(spark, sf_dir):
     return quality.report(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
+@query
+def op11_phrase_collocations(spark, sf_dir):
+    return phrases.collocations(table(spark, sf_dir, "documents"))
+
+
+ORACLE["op11_phrase_collocations"] = phrases.ORACLE_SQL
+
+
+@query
+def op12_document_fingerprints(spark, sf_dir):
+    return minhash.report(table(spark, sf_dir, "documents"))
+
+
+@query
+def op13_periodic_runs(spark, sf_dir):
+    return periodic.report(table(spark, sf_dir, "documents"))

@@ -39,7 +39,7 @@ def given(spark, edge):
 
 
 def test_registered():
-    assert {f"op{k}" for k in range(1, 11)} == {n.split("_")[0] for n in QUERIES}
+    assert {f"op{k}" for k in range(1, 14)} == {n.split("_")[0] for n in QUERIES}
     assert set(QUERIES) | {"pipeline"} <= set(entry.queries())
 
 
