@@ -79,10 +79,13 @@ def _(lake):
     return readers.union_tagged(frames, "warehouse")
 
 
-@query("read_file_listing")
+@query("read_file_listing", "select distinct 'parquet' as ext, o_orderstatus, o_orderpriority, year(o_orderdate) as year, true as filled from orders")
 def _(lake):
-    return readers.read_file_listing(lake.spark, lake.root).select(
-        S.file_extension("file_path").alias("ext"), "file_path", "size_bytes")
+    root, parts = scratch_path(lake.spark, "by-folder"), ["o_orderstatus", "o_orderpriority", "year"]
+    lake.table("orders").withColumn("year", F.year("o_orderdate")).write.partitionBy(*parts).parquet(root)
+    files = readers.read_file_listing(lake.spark, root)
+    named = [F.regexp_extract("file_path", f"/{c}=([^/]*)/", 1).alias(c) for c in parts]
+    return files.groupBy(S.file_extension("file_path").alias("ext"), *named).agg((F.sum("size_bytes") > 0).alias("filled")).withColumn("year", F.col("year").cast("bigint"))
 
 
 @query("read_csv_table", "select account_id, account_name, industry, country, annual_revenue_usd from fx_accounts")
@@ -372,47 +375,59 @@ def _(lake):
     return with_ts(lake.spark.read.schema(runs.schema).parquet(out), "start_time")
 
 
+@query("ingest_file_stream", "select p_partkey as item_id, p_name as item_name, p_partkey % 25 as capacity_id from part")
+def _(lake):
+    items = lake.table("part").select(F.col("p_partkey").alias("item_id"), F.col("p_name").alias("item_name"), (F.col("p_partkey") % 25).alias("capacity_id"))
+    src, target, state = _stream_dirs(lake, "arrivals")
+    # two arrivals, a run after each, and one that finds nothing
+    for arrived in (F.col("capacity_id") < 10, F.col("capacity_id") >= 10, F.lit(False)):
+        items.where(arrived).write.mode("append").parquet(src)
+        jobs.ingest_files(jobs.file_stream(lake.spark, src, items.schema, max_files=4), target, state)
+    return jobs.read_ingested_files(lake.spark, target, items.schema)
+
+
 @query("stream_call_rate", f"""
 with windows as (select tenant, time_bucket(interval 5 minute, call_ts) - to_minutes(cast(5 * k as bigint)) as window_start from fx_api_calls, range(0, 12) r(k)),
 counted as (select window_start, window_start + interval 1 hour as window_end, tenant, count(*) as calls from windows group by all)
-select {SQL_TS.format('window_start')} as window_start, {SQL_TS.format('window_end')} as window_end, tenant, calls from counted
-where window_end <= (select max(call_ts) - interval 10 minute from fx_api_calls)""")
+select {SQL_TS.format('window_start')} as window_start, {SQL_TS.format('window_end')} as window_end, tenant, calls,
+ window_end <= (select max(call_ts) - interval 10 minute from fx_api_calls) as final from counted""")
 def _(lake):
     calls = lake.fx("api_calls")
     src, out, state = _stream_dirs(lake, "calls")
     calls.write.parquet(src)
-    rated = jobs.call_rate(jobs.file_stream(lake.spark, src, calls.schema), "10 minutes")
-    jobs.run_available(rated, out, state)
-    return with_ts(lake.spark.read.schema(rated.schema).parquet(out), "window_start", "window_end")
+    jobs.run_available(jobs.call_rate(jobs.file_stream(lake.spark, src, calls.schema), "10 minutes"), out, state)
+    return with_ts(jobs.all_call_rates(lake.spark, out, state), "window_start", "window_end")
 
 
 @query("stream_run_health", f"""
 select {SQL_TS.format("date_trunc('day', start_time)")} as day, item_id, count(*) as runs, count(*) filter ({SUCCESS}) as success_count,
- count(*) filter ({FAILED_M}) as failure_count from fx_runs
-where date_trunc('day', start_time) + interval 1 day <= (select max(start_time) - interval 2 hour from fx_runs) group by all""")
+ count(*) filter ({FAILED_M}) as failure_count,
+ date_trunc('day', start_time) + interval 1 day <= (select max(start_time) - interval 2 hour from fx_runs) as final from fx_runs group by all""")
 def _(lake):
     runs = lake.fx("runs").select("item_id", "status", "start_time")
     src, out, state = _stream_dirs(lake, "health")
     runs.write.parquet(src)
-    daily = jobs.run_health(jobs.file_stream(lake.spark, src, runs.schema), "2 hours")
-    jobs.run_available(daily, out, state)
-    return with_ts(lake.spark.read.schema(daily.schema).parquet(out), "day")
+    jobs.run_available(jobs.run_health(jobs.file_stream(lake.spark, src, runs.schema), "2 hours"), out, state)
+    return with_ts(jobs.all_run_health(lake.spark, out, state), "day")
 
 
 @query("stream_late_runs", f"""
 with ontime as (select max(start_time) as newest from fx_runs where job_instance_id % 50 <> 0)
-select job_instance_id, {SQL_TS.format('start_time')} as start_time from fx_runs, ontime
+select job_instance_id, {SQL_TS.format('start_time')} as start_time,
+ (select count(*) from fx_runs, ontime where job_instance_id % 50 = 0 and start_time <= newest - interval 2 hour) as dropped_rows from fx_runs, ontime
 where job_instance_id % 50 <> 0 or start_time > newest - interval 2 hour""")
 def _(lake):
     runs = lake.fx("runs").select("job_instance_id", "start_time")
     src, out, state = _stream_dirs(lake, "late")
+    progress = scratch_path(lake.spark, "late-progress")
 
     def feed():
         return jobs.ingest_runs(jobs.file_stream(lake.spark, src, runs.schema), "2 hours")
 
     # every 50th run arrives after all others; only those within two hours of the newest still count
     runs.where("job_instance_id % 50 <> 0").write.parquet(src)
-    jobs.run_available(feed(), out, state)
+    jobs.run_available(feed(), out, state, progress)
     runs.where("job_instance_id % 50 = 0").write.mode("append").parquet(src)
-    jobs.run_available(feed(), out, state)
-    return with_ts(lake.spark.read.schema(runs.schema).parquet(out), "start_time")
+    jobs.run_available(feed(), out, state, progress)
+    dropped = lake.spark.read.schema(jobs.PROGRESS).parquet(progress).agg(F.sum("dropped_rows").alias("n"))
+    return with_ts(lake.spark.read.schema(runs.schema).parquet(out), "start_time").withColumn("dropped_rows", dropped.scalar())
