@@ -1,9 +1,10 @@
 """Lineage edges, closures, trees and term links.
 
-Iterative operators grow one level per round and write each level to the shared
-folder, so a lost executor costs one level at most and a plan holds one leaf per
-level. A round joins the newest level with the edges: broadcast while that level
-is small, else a shuffle whose hot nodes adaptive execution splits.
+Iterative operators write each round to the shared folder, so a lost executor
+costs one round at most and a plan holds one leaf per round. Trees double their
+pointers (log2(depth) rounds); closures join the newest level with the edges:
+broadcast while that level is small, else a shuffle whose hot nodes adaptive
+execution splits.
 """
 
 from __future__ import annotations
@@ -50,28 +51,34 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
 
 
 def walk_tree(nodes: DataFrame, node_id: str, parent_id: str, label: str, inherit: str | None = None,
-              default: str = "") -> DataFrame:
+              default: str = "", paths: bool = True) -> DataFrame:
     """Nodes reachable from a root: ``id, parent, name, depth, path, inherited``.
 
-    A root has no parent. ``inherit`` names a column a node takes from its
-    parent where its own value is missing, the root from ``default``. Nodes whose
-    chain never reaches a root (a missing parent, or a cycle) are not returned.
+    A root has no parent. ``path`` joins the names from the root down (a missing name is left out). ``inherit`` names a
+    column a node takes from its nearest ancestor where its own value is missing, the root from ``default``. Nodes
+    whose chain never reaches a root (a missing parent, or a cycle) are not returned.
+
+    Pointer doubling: every node knows an ancestor ``jump`` some ``hops`` above, and what lies between as a product of
+    its steps (names, first own value). A round multiplies a node's product with that of the node it points to, so
+    hops double and log2(depth) + 1 rounds reach every root. A round settles the depths 2^(k-1) to 2^k - 1; chains that
+    lead to a root have all depths, so the first round that settles none is the last, whatever cycles remain.
     """
     own = F.col(inherit) if inherit else F.lit(None).cast("string")
-    base = cut_lineage(nodes.select(
-        F.col(node_id).alias("id"), F.col(parent_id).alias("parent"), F.col(label).cast("string").alias("name"), own.alias("own")))
-    level, rows = cut_lineage_counted(base.where(F.col("parent").isNull()).select(
-        "id", "parent", "name", F.lit(0).alias("depth"), F.col("name").alias("path"),
-        F.coalesce("own", F.lit(default)).alias("inherited")))
-    out, depth = level, 0
-    while rows:
-        depth += 1
-        up = level.select(F.col("id").alias("_pid"), F.col("path").alias("_path"), F.col("inherited").alias("_inherited"))
-        level, rows = cut_lineage_counted(base.join(up, base["parent"] == up["_pid"]).select(
-            "id", "parent", "name", F.lit(depth).alias("depth"), F.concat_ws("/", "_path", "name").alias("path"),
-            F.coalesce("own", "_inherited").alias("inherited")))
-        out = out.unionByName(level)
-    return out
+    name = F.col(label).cast("string")
+    names = F.array_compact(F.array(name)) if paths else F.array().cast("array<string>")
+    state, settled = cut_lineage_counted(nodes.select(
+        F.col(node_id).alias("id"), F.col(parent_id).alias("parent"), name.alias("name"), F.col(parent_id).alias("jump"),
+        F.col(parent_id).isNotNull().cast("int").alias("hops"), names.alias("names"), own.alias("own")), "tree", F.col("jump").isNull())
+    done, pending = state.where(F.col("jump").isNull()), state.where(F.col("jump").isNotNull())
+    while settled:
+        up = done.unionByName(pending).select(
+            F.col("id").alias("_id"), F.col("jump").alias("_jump"), F.col("hops").alias("_hops"), F.col("names").alias("_names"), F.col("own").alias("_own"))
+        state, settled = cut_lineage_counted(pending.join(up, F.col("jump") == F.col("_id")).select(
+            "id", "parent", "name", F.col("_jump").alias("jump"), (F.col("hops") + F.col("_hops")).alias("hops"),
+            F.concat("_names", "names").alias("names"), F.coalesce("own", "_own").alias("own")), "tree", F.col("jump").isNull())
+        done, pending = done.unionByName(state.where(F.col("jump").isNull())), state.where(F.col("jump").isNotNull())
+    path = F.array_join("names", "/") if paths else F.lit(None).cast("string")
+    return done.select("id", "parent", "name", F.col("hops").alias("depth"), path.alias("path"), F.coalesce("own", F.lit(default)).alias("inherited"))
 
 
 def domain_flatten(domains: DataFrame, owners: str | None = None, default_owner: str = "") -> DataFrame:
@@ -81,7 +88,7 @@ def domain_flatten(domains: DataFrame, owners: str | None = None, default_owner:
 
 def glossary_tree(terms: DataFrame) -> DataFrame:
     """Terms (``term, parent_term``) with their level; ``orphan`` marks those that never reach a root."""
-    tree = walk_tree(terms, "term", "parent_term", "term").select(F.col("id").alias("term"), F.col("depth").alias("level"))
+    tree = walk_tree(terms, "term", "parent_term", "term", paths=False).select(F.col("id").alias("term"), F.col("depth").alias("level"))
     return terms.join(tree, "term", "left").withColumn("orphan", F.col("level").isNull())
 
 

@@ -5,7 +5,7 @@ from __future__ import annotations
 import uuid
 
 import pyarrow as pa
-from pyspark.sql import DataFrame, Observation, SparkSession
+from pyspark.sql import Column, DataFrame, Observation, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.pandas.types import to_arrow_type
@@ -67,10 +67,10 @@ def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:
     return cut_lineage_counted(df, tag)[0]
 
 
-def cut_lineage_counted(df: DataFrame, tag: str = "cut") -> tuple[DataFrame, int]:
-    """:func:`cut_lineage` with the number of rows, observed while they are written."""
+def cut_lineage_counted(df: DataFrame, tag: str = "cut", which: Column | None = None) -> tuple[DataFrame, int]:
+    """:func:`cut_lineage` with the number of rows (those where ``which`` holds), observed while they are written."""
     path, seen = scratch_path(df.sparkSession, tag), Observation()
-    df.observe(seen, F.count(F.lit(1)).alias("n")).write.parquet(path)
+    df.observe(seen, F.count_if(F.lit(True) if which is None else which).alias("n")).write.parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path), seen.get["n"]
 
 

@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 from lakeops.session import small_frame
+from lakeops.sources.listing import list_files
 
 
 def _struct(schema: str | T.StructType) -> T.StructType:
@@ -89,8 +90,18 @@ def read_tolerant(spark: SparkSession, sources: Mapping[str, Callable[[], DataFr
     return data, status.join(counts, "name", "left").fillna(0, ["rows"])
 
 
+#: Stores whose folders tasks can list themselves.
+LISTED_BY_TASKS = ("", "file", "hdfs", "s3", "gs", "abfs", "abfss")
+
+
 def read_file_listing(spark: SparkSession, root: str) -> DataFrame:
-    """Files below ``root`` with size and time; the content column is pruned, so no file is opened."""
+    """Files below ``root`` with size and time; no file is opened.
+
+    Tasks list the folders. A store that only Spark's own readers reach is listed by its reader, which holds the names
+    on the driver.
+    """
+    if root.partition(":")[0] in LISTED_BY_TASKS or ":" not in root:
+        return list_files(spark, root)
     return spark.read.format("binaryFile").option("recursiveFileLookup", True).load(root).select(
         F.col("path").alias("file_path"), F.col("length").alias("size_bytes"), F.col("modificationTime").alias("modified"))
 

@@ -266,3 +266,38 @@ def test_profile_compares_typed_values(spark):
     df = spark.createDataFrame([(0.0, "x" * 80), (-0.0, "x" * 80), (1.0, None)], "v double, t string")
     got = {r.column_name: r.distinct_count for r in quality.column_profile("t", df).collect()}
     assert got == {"v": 2, "t": 1}
+
+
+def test_deep_chain_takes_few_rounds(spark, monkeypatch):
+    rounds = []
+    cut = L.cut_lineage_counted
+    monkeypatch.setattr(L, "cut_lineage_counted", lambda *a: rounds.append(1) or cut(*a))
+    chain = spark.range(1000).selectExpr("id", "nullif(id - 1, -1) as parent_id", "cast(id as string) as name", "if(id % 300 = 7, concat('o', id), null) as owner")
+    got = {r.id: r for r in L.domain_flatten(chain, "owner", "none").collect()}
+    assert len(rounds) <= 12
+    for k in (0, 1, 6, 7, 8, 511, 512, 999):
+        owners = [j for j in range(7, k + 1, 300)]
+        assert got[k].depth == k and got[k].path == "/".join(map(str, range(k + 1))) and got[k].owner == (f"o{owners[-1]}" if owners else "none")
+    assert len(got) == 1000
+
+
+def test_random_forests_with_cycles_and_gaps(spark):
+    import random
+
+    rng = random.Random(5)
+    for n in (1, 40, 90):
+        parent = {k: rng.choice([None, n + 5, *([rng.randrange(n)] * 6)]) for k in range(n)}
+        name = {k: rng.choice([None, f"n{k}"]) for k in parent}
+        want = set()
+        for k in parent:
+            chain, at = [k], parent[k]
+            while at is not None and at in parent and at not in chain:
+                chain.append(at)
+                at = parent[at]
+            if at is None:
+                want.add((k, len(chain) - 1, "/".join(name[c] for c in reversed(chain) if name[c])))
+        df = spark.createDataFrame([(k, parent[k], name[k]) for k in parent], "id int, parent_id int, name string")
+        assert {(r.id, r.depth, r.path) for r in L.domain_flatten(df).collect()} == want
+        terms = {(r.term, r.level, r.orphan) for r in L.glossary_tree(df.selectExpr("id as term", "parent_id as parent_term")).collect()}
+        level = {k: d for k, d, _ in want}
+        assert terms == {(k, level.get(k), k not in level) for k in parent}

@@ -113,3 +113,25 @@ def test_ingest_tells_empty_and_null_keys_apart(spark, tmp_path, rows):
     sinks.ingest_resumable(first, target, state, "k")
     sinks.ingest_resumable(first.union(spark.createDataFrame([(3, None)], "id int, k string")), target, state, "k")
     assert rows(sinks.read_ingested(spark, target)) == [(1, ""), (2, "b"), (3, None)]
+
+
+def test_listing_over_tasks(spark, tmp_path, rows):
+    import os
+
+    names = ["a.txt", "b/c.parquet", "b/d e/f.json", "b/k=v/_part=1/g.csv", "_hidden/x", ".h", "b/_SUCCESS"]
+    for n in names:
+        (tmp_path / n).parent.mkdir(parents=True, exist_ok=True)
+        (tmp_path / n).write_text(n)
+    (tmp_path / "empty" / "inner").mkdir(parents=True)
+    (tmp_path / "loop").symlink_to(tmp_path, target_is_directory=True)
+    got = {r.file_path: r for r in readers.read_file_listing(spark, str(tmp_path)).collect()}
+    seen = {n for n in names if not n.startswith(("_", ".")) and "_SUCCESS" not in n}
+    assert set(got) == {f"file:{tmp_path}/{n}" for n in seen | {"loop"}}
+    for n in seen:
+        r = got[f"file:{tmp_path}/{n}"]
+        assert r.size_bytes == len(n) and abs(r.modified.replace(tzinfo=dt.UTC).timestamp() - os.path.getmtime(tmp_path / n)) < 1e-3
+    from lakeops.sources.listing import list_files
+    assert list_files(spark, f"file://{tmp_path}", hidden=True).count() == len(names) + 1
+    assert readers.read_file_listing(spark, f"{tmp_path}/empty").count() == 0
+    with pytest.raises(Exception, match="No such file"):
+        readers.read_file_listing(spark, f"{tmp_path}/gone")
