@@ -146,11 +146,10 @@ def usable(vector: Column) -> Column:
 
 
 def nodes(vectors: DataFrame, k: int = K) -> DataFrame:
-    """(ids, vector): distinct vectors with the ``k`` + 1 smallest ids that share each."""
+    """(ids, vector): distinct vectors with the ``k`` + 1 smallest ids of the rows that share each, repeats included."""
     fine = vectors.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
-    one = fine.groupBy("vec_id").agg(F.min("vector").alias("vector"))
     rank = F.row_number().over(Window.partitionBy("vector").orderBy("vec_id"))
-    return one.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
+    return fine.withColumn("rank", rank).where(F.col("rank") <= k + 1).groupBy("vector").agg(F.sort_array(F.collect_list("vec_id")).alias("ids"))
 
 
 def build_index(found: DataFrame, shards: int) -> DataFrame:
@@ -185,28 +184,33 @@ def _searcher(k: int, width: int):
                     q = np.array(query["vector"], np.float64)
                     rows = graph.ask(q, width)
                     d = np.sqrt(((graph.vectors[rows] - q) ** 2).sum(axis=1)).tolist()
-                    best = sorted((x, i) for x, r in zip(d, rows, strict=True) for i in ids[r] if i != query["vec_id"])[:k]
-                    out += [(query["vec_id"], i, x) for x, i in best]
-                yield pa.RecordBatch.from_arrays([pa.array([o[0] for o in out], pa.int64()), pa.array([o[1] for o in out], pa.int64()), pa.array([o[2] for o in out], pa.float64())], names=["query_id", "vec_id", "score"])
+                    best = []
+                    for x, r in zip(d, rows, strict=True):
+                        near = list(ids[r])
+                        if query["vec_id"] in near and np.array_equal(graph.vectors[r], q):
+                            near.remove(query["vec_id"])  # the query's own row; rows like it stay
+                        best += [(x, i) for i in near]
+                    out += [(query["vec_id"], query["part"], i, x) for x, i in sorted(best)[:k]]
+                yield pa.RecordBatch.from_arrays([pa.array([o[c] for o in out], t) for c, t in enumerate((pa.int64(), pa.int64(), pa.int64(), pa.float64()))], names=["query_id", "part", "vec_id", "score"])
 
     return work
 
 
 def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int = SHARD_ROWS, block: int = BLOCK, width: int = WIDTH_ASK) -> DataFrame:
-    """(query_id, rank, vec_id, score): for each query row its ``k`` nearest rows with another id."""
+    """(query_id, rank, vec_id, score): for each distinct query row its ``k`` nearest rows but itself."""
     found = common.cut(nodes(vectors, k), "ann-nodes")
     shards = max(1, -(-found.count() // shard_rows))
     index = common.cut(build_index(found, shards), "ann-index")
     asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
-    asked = common.cut(asked.groupBy("vec_id").agg(F.min("vector").alias("vector")), "ann-queries")
+    asked = common.cut(asked.distinct().withColumn("part", F.xxhash64("vector")), "ann-queries")
     blocks = max(1, -(-asked.count() // block))
     # a block goes to each shard there is: shards x blocks rows, each answered by one graph
     dealt = (
-        asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "vector")).alias("queries"))
+        asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "part", "vector")).alias("queries"))
         .select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
     )
-    answers = dealt.join(index, ["dim", "shard"]).select("dim", "shard", "entry", "vectors", "ids", "levels", "queries").mapInArrow(_searcher(k, width), "query_id bigint, vec_id bigint, score double")
-    rank = F.row_number().over(Window.partitionBy("query_id").orderBy("score", "vec_id"))
+    answers = dealt.join(index, ["dim", "shard"]).select("dim", "shard", "entry", "vectors", "ids", "levels", "queries").mapInArrow(_searcher(k, width), "query_id bigint, part bigint, vec_id bigint, score double")
+    rank = F.row_number().over(Window.partitionBy("query_id", "part").orderBy("score", "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 
 

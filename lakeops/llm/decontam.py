@@ -22,6 +22,7 @@ import numpy as np
 import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
+from pyspark.sql.pandas.types import to_arrow_type
 
 from lakeops.llm import common
 
@@ -133,16 +134,17 @@ def _found(docs: DataFrame, items: DataFrame, window: int, block_bytes: int, kee
     sc = docs.sparkSession.sparkContext
     docs = docs.select("doc_id", "text")
     kind = docs.schema["doc_id"].dataType.simpleString()
-    schema = f"doc_id {kind}, text string, n_words bigint, hit_words array<int>, items array<bigint>"
+    item = items.schema["item_id"].dataType.simpleString()
+    schema = f"doc_id {kind}, text string, n_words bigint, hit_words array<int>, items array<{item}>"
     blocks = item_blocks(items, block_bytes)
-    out = docs.withColumns({"n_words": F.lit(0).cast("bigint"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast("array<bigint>")}) if not blocks[0] else docs
+    out = docs.withColumns({"n_words": F.lit(0).cast("bigint"), "hit_words": F.array().cast("array<int>"), "items": F.array().cast(f"array<{item}>")}) if not blocks[0] else docs
     for n, block in enumerate(blocks):
         # a later block adds to what the earlier ones found in the same row
-        out = out.mapInArrow(_searcher(sc.broadcast(block), window, keep_text or n + 1 < len(blocks)), schema)
+        out = out.mapInArrow(_searcher(sc.broadcast(block), window, keep_text or n + 1 < len(blocks), to_arrow_type(items.schema["item_id"].dataType)), schema)
     return out
 
 
-def _searcher(block, window: int, keep_text: bool):
+def _searcher(block, window: int, keep_text: bool, item: pa.DataType):
     def search(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         matcher = Matcher(block.value, window)
         for batch in common.runs(batches, "text"):
@@ -157,7 +159,7 @@ def _searcher(block, window: int, keep_text: bool):
             yield pa.RecordBatch.from_arrays([
                 batch.column("doc_id"), batch.column("text") if keep_text else pa.nulls(batch.num_rows, pa.string()),
                 pa.array(np.diff(at), pa.int64()), pa.array([p.astype(np.int32) for p in positions], pa.list_(pa.int32())),
-                pa.array([sorted(f, key=str) for f in found], pa.list_(pa.int64()))], names=["doc_id", "text", "n_words", "hit_words", "items"])
+                pa.array([sorted(f, key=str) for f in found], pa.list_(item))], names=["doc_id", "text", "n_words", "hit_words", "items"])
 
     return search
 

@@ -246,11 +246,14 @@ def train(docs: DataFrame, labels: DataFrame, most_rows: int = TRAIN_ROWS, folds
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in common.runs(batches, "text"):
             yield pa.RecordBatch.from_arrays(
-                [batch.column("doc_id"), batch.column("quality"), pa.array(list(features_of(batch.column("text"))), pa.list_(pa.float64()))],
-                names=["doc_id", "quality", "x"])
-
-    rows = texts.select("doc_id", "quality", "text").mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, x array<double>")
-    rows = sorted(rows.dropDuplicates(["doc_id"]).collect())
+                [batch.column("doc_id"), batch.column("quality"), batch.column("hash"), pa.array(list(features_of(batch.column("text"))), pa.list_(pa.float64()))],
+                names=["doc_id", "quality", "hash", "x"])
+
+    texts = texts.select("doc_id", "quality", F.xxhash64("text").alias("hash"), "text")
+    rows = texts.mapInArrow(work, f"doc_id {docs.schema['doc_id'].dataType.simpleString()}, quality int, hash bigint, x array<double>")
+    # of the texts of one id the one with the smallest hash, whatever order the rows come in
+    one = rows.groupBy("doc_id").agg(F.min(F.struct("hash", "quality", "x")).alias("row")).select("doc_id", "row.quality", "row.x")
+    rows = sorted(one.collect())
     return fit(np.array([r.x for r in rows]).reshape(len(rows), len(FEATURES)), np.array([r.quality for r in rows], float))
 
 

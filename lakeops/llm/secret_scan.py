@@ -114,6 +114,32 @@ def candidates(docs: DataFrame, rules: tuple[Rule, ...]) -> tuple[DataFrame | No
     return hits.groupBy("key").agg(F.collect_set("kind").alias("kinds")), queries
 
 
+def _let(value: Column, body) -> Column:
+    """``body(value)`` with ``value`` computed once a row."""
+    return F.transform(F.array(value), body)[0]
+
+
+def running(values: Column, combine, start: Column, levels: int = 3, block: int = 32) -> Column:
+    """``combine`` (associative, ``start`` neutral) of the values before each one.
+
+    A state that grows by one value a step would copy itself each time; blocks are folded first, so the work is linear
+    in the number of values up to some block ** levels of them and one level's square beyond.
+    """
+
+    def grown(part: Column) -> Column:
+        return F.aggregate(part, F.array(start), lambda out, v: F.concat(out, F.array(combine(F.element_at(out, -1), v))))
+
+    def body(all_values: Column) -> Column:
+        if not levels:
+            return F.slice(grown(all_values), 1, F.size(all_values))
+        parts = F.transform(F.sequence(F.lit(0), F.floor((F.size(all_values) - 1) / block).cast("int")), lambda b: F.slice(all_values, b * block + 1, block))
+        return _let(parts, lambda p: _let(
+            running(F.transform(p, lambda part: F.aggregate(part, start, combine)), combine, start, levels - 1, block),
+            lambda before: F.flatten(F.transform(p, lambda part, k: F.transform(F.slice(grown(part), 1, F.size(part)), lambda v: combine(before[k], v))))))
+
+    return _let(values, lambda v: F.when(F.size(v) > 0, body(v)).otherwise(F.slice(v, 1, 0)))
+
+
 def spans_of(text: Column, rule: Rule) -> Column:
     """Array of (start, end) in code points of a rule's matches, end exclusive."""
     pattern = F.lit(rule.exact or rule.pattern)
@@ -121,20 +147,21 @@ def spans_of(text: Column, rule: Rule) -> Column:
     pieces = F.split(text, rule.exact or rule.pattern, -1)
     kept = F.regexp_extract_all(text, pattern, F.lit(rule.group)) if rule.group else found
     empty = F.array().cast("array<struct<start:int,end:int>>")
-    walked = F.aggregate(
+    sizes = F.transform(
         F.arrays_zip(F.slice(pieces, 1, F.size(found)).alias("piece"), found.alias("whole"), kept.alias("part")),
-        F.struct(F.lit(0).alias("at"), empty.alias("out")),
-        lambda state, m: F.struct(
-            (state["at"] + F.length(m["piece"]) + F.length(m["whole"])).alias("at"),
-            F.when(F.length(m["part"]) < rule.least, state["out"]).otherwise(F.concat(state["out"], F.array(F.struct(
-                (state["at"] + F.length(m["piece"])).alias("start"),
-                (state["at"] + F.length(m["piece"]) + F.length(m["whole"])).alias("end"))))).alias("out")),
-        lambda state: state["out"])
-    return F.when(F.regexp_like(text, pattern), walked).otherwise(empty)
-
-
-def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
-    """``docs`` with ``secret_spans``: array of (start, end, rank, kind), by start and order of the rules."""
+        lambda m: F.struct(F.length(m["piece"]).alias("gap"), F.length(m["whole"]).alias("long"), (F.length(m["part"]) >= rule.least).alias("kept")))
+
+    def placed(matches: Column) -> Column:
+        before = running(F.transform(matches, lambda m: m["gap"] + m["long"]), lambda a, b: a + b, F.lit(0))
+        spans = F.zip_with(matches, before, lambda m, at: F.struct(
+            (at + m["gap"]).alias("start"), (at + m["gap"] + m["long"]).alias("end"), m["kept"].alias("kept")))
+        return F.transform(F.filter(spans, lambda s: s["kept"]), lambda s: F.struct(s["start"].alias("start"), s["end"].alias("end")))
+
+    return F.when(F.regexp_like(text, pattern), _let(sizes, placed)).otherwise(empty)
+
+
+def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES, out: str = "secret_spans") -> DataFrame:
+    """``docs`` with ``out``: array of (start, end, rank, kind), by start and order of the rules."""
     may, queries = candidates(docs, rules)
     text = F.coalesce(F.col("text"), F.lit(""))
     with_kinds = docs.withColumn("__scan_key", _key(text))
@@ -149,7 +176,7 @@ def find_secrets(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
         if rule.kind in queries:
             found = F.when(F.array_contains("__scan_kinds", rule.kind), found).otherwise(none)
         parts.append(_ranked(found, rank, rule.kind))
-    return with_kinds.withColumn("secret_spans", F.array_sort(F.concat(*parts))).drop("__scan_key", "__scan_kinds")
+    return with_kinds.withColumn(out, F.array_sort(F.concat(*parts))).drop("__scan_key", "__scan_kinds")
 
 
 def _ranked(spans: Column, rank: int, kind: str) -> Column:
@@ -176,16 +203,13 @@ def report(docs: DataFrame, rules: tuple[Rule, ...] = RULES) -> DataFrame:
 
 def redact(docs: DataFrame, rules: tuple[Rule, ...] = RULES, mask: str = "[SECRET]") -> DataFrame:
     """``docs`` with every span (overlapping ones as one) replaced by ``mask``; n_chars follows where it is a column."""
-    found = find_secrets(docs, rules)
-    text = F.col("text")
-    done = F.aggregate(
-        "secret_spans", F.struct(F.lit(0).alias("at"), F.array().cast("array<string>").alias("out")),
-        lambda state, s: F.struct(
-            F.greatest(state["at"], s["end"]).alias("at"),
-            F.when(s["start"] < state["at"], state["out"]).otherwise(F.concat(state["out"], F.array(
-                F.substring(text, state["at"] + 1, s["start"] - state["at"]), F.lit(mask)))).alias("out")),
-        lambda state: F.concat(F.array_join(state["out"], ""), F.substring(text, state["at"] + 1, F.length(text))))
-    changed = F.size("secret_spans") > 0
+    found = find_secrets(docs, rules, "__scan_spans")  # a column of the documents' own may be called secret_spans
+    text, spans = F.col("text"), F.col("__scan_spans")
+    before = running(F.transform(spans, lambda s: s["end"]), lambda a, b: F.greatest(a, b), F.lit(0))
+    pieces = F.zip_with(spans, before, lambda s, at: F.when(s["start"] < at, F.lit("")).otherwise(
+        F.concat(F.substring(text, at + 1, s["start"] - at), F.lit(mask))))
+    done = F.concat(F.array_join(pieces, ""), F.substring(text, F.array_max(F.transform(spans, lambda s: s["end"])) + 1, F.length(text)))
+    changed = F.size("__scan_spans") > 0
     out = found.withColumn("text", F.when(changed, done).otherwise(text))
     if "n_chars" in docs.columns:
         out = out.withColumn("n_chars", F.when(changed, F.length("text").cast(docs.schema["n_chars"].dataType)).otherwise(F.col("n_chars")))

@@ -247,12 +247,13 @@ def report(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
 
 
 def keep_one(docs: DataFrame, radius: int = RADIUS) -> DataFrame:
-    """``docs`` with one row of each group: the smallest id (then the smallest text hash), all columns as they are."""
+    """``docs`` with one row of each group: the smallest id, then the smallest hash of the text, then of all columns."""
     names = docs.columns
     first = groups(docs, radius).groupBy("root").agg(F.min(F.struct(F.col("doc_id").isNull().alias("none"), "doc_id", "text_hash")).alias("row"))
     key = F.coalesce(F.col("doc_id").cast("string"), F.lit(""))
     kept = first.select("row.*").select(key.alias("__id"), F.col("text_hash").alias("__hash"))
     return (
         docs.withColumns({"__id": key, "__hash": F.xxhash64("text")})
-        .join(kept, ["__id", "__hash"], "left_semi").dropDuplicates(["__id", "__hash"]).select(names)
+        .join(kept, ["__id", "__hash"], "left_semi").groupBy("__id", "__hash")
+        .agg(F.min_by(F.struct(*names), F.xxhash64(*names)).alias("__row")).select("__row.*")
     )

@@ -10,6 +10,7 @@ import zlib
 import numpy as np
 import pytest
 import xxhash
+from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
@@ -201,6 +202,27 @@ def test_secrets(spark, edge, frame):
     assert {r.text for r in clean.where("doc_id = 3").collect()} == {"[SECRET] [SECRET]"}
 
 
+def test_secrets_of_a_text_of_many(spark, frame):
+    text = "x ".join(f"{k:032x}" for k in range(20_000))
+    [r] = secret_scan.report(frame([(1, text)])).collect()
+    assert r.n_hex == 20_000 and r.spans.startswith("hex:0:32,hex:34:66,") and r.spans.endswith(f"hex:{len(text) - 32}:{len(text)}")
+    short = " ".join(f"{k:032x}" for k in range(700))
+    assert secret_scan.redact(frame([(1, short)])).first().text == " ".join(["[SECRET]"] * 700)
+
+
+def test_running_sums(spark):
+    values = [[], [5], *([k % 7 for k in range(n)] for n in (31, 32, 33, 1024, 1100))]
+    df = spark.createDataFrame([(v,) for v in values], "v array<int>")
+    got = df.select("v", secret_scan.running(F.col("v"), lambda a, b: a + b, F.lit(0), block=4).alias("s")).collect()
+    assert all(r.s == [sum(r.v[:k]) for k in range(len(r.v))] for r in got)
+
+
+def test_redact_keeps_columns_of_its_own_names(frame):
+    docs = frame([(1, "secret=abcdefghi x")]).withColumn("secret_spans", F.lit("mine"))
+    r = secret_scan.redact(docs).first()
+    assert r.secret_spans == "mine" and r.text == "[SECRET] x"
+
+
 def test_trigram_queries():
     assert secret_scan.trigram_query("AKIA[A-Z0-9]+") == [frozenset({"aki", "kia"})]
     assert secret_scan.trigram_query("[0-9a-f]+") == [frozenset()]
@@ -328,8 +350,16 @@ def test_neighbours_of_odd_vectors(spark):
     got = {(r.query_id, r["rank"]): (r.vec_id, r.score) for r in ann.report(vectors).collect()}
     assert {q for q, _ in got} == {0, 100, 200, 400}
     assert [got[100, k][0] for k in range(1, 11)] == list(range(10)) and [got[0, k][0] for k in range(1, 11)] == list(range(1, 11))
-    assert got[400, 1] == (0, 1.0) and nan != nan
-    assert ann.report(vectors.limit(0)).count() == 0 and ann.report(vectors.where("vec_id = 400")).count() == 0
+    assert got[400, 1] == (400, 0.0) and got[400, 2] == (0, 1.0) and nan != nan
+    assert ann.report(vectors.limit(0)).count() == 0 and ann.report(vectors.where("vec_id = 400").limit(1)).count() == 0
+
+
+def test_neighbours_of_repeated_ids(spark):
+    rows = [(7, [1.0, 2.1]), (7, [1.0, 9.0]), (100, [1.0, 2.0]), (100, [1.0, 8.0]), (100, [1.0, 8.0])]
+    got = ann.report(spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")).collect()
+    # every row but the query's own is a candidate, also one of the same id; a query row that repeats is answered once
+    assert sorted((r.query_id, r["rank"], r.vec_id, round(r.score, 6)) for r in got) == sorted(
+        [(100, 1, 7, 0.1), (100, 2, 100, 6.0), (100, 3, 100, 6.0), (100, 4, 7, 7.0), (100, 1, 100, 0.0), (100, 2, 7, 1.0), (100, 3, 7, 5.9), (100, 4, 100, 6.0)])
 
 
 # 9 ------------------------------------------------------------------------------------------------------------------
@@ -410,6 +440,28 @@ def test_tables_learn_steps_and_interactions():
     assert (1, 2) in {(i, j) for i, j, _ in model.pairs}
 
 
+def test_repeated_ids_do_not_depend_on_partitions(spark):
+    docs, labels = table(spark, ROOT, "documents"), table(spark, ROOT, "labels")
+    twice = docs.union(docs.withColumn("text", F.reverse("text")))
+    a, b = (quality.train(d, labels) for d in (twice.repartition(3), twice.orderBy(F.desc("doc_id")).repartition(5)))
+    x = np.random.default_rng(0).random((50, len(quality.FEATURES))) * 10
+    assert (a.score(x) == b.score(x)).all()
+
+
+def test_one_of_equal_rows_is_always_the_same(frame):
+    docs = frame([(1, "same words here")] * 3).withColumn("source", F.concat(F.lit("s"), F.monotonically_increasing_id() % 3))
+    kept = {tuple(simhash.keep_one(d).collect()[0]) for d in (docs.repartition(1), docs.repartition(2, "source"), docs.orderBy(F.desc("source")))}
+    assert len(kept) == 1
+
+
+def test_items_may_be_named_by_text(spark):
+    docs = table(spark, ROOT, "documents")
+    items = table(spark, ROOT, "benchmark")
+    named = items.withColumn("item_id", F.concat(F.lit("item "), F.col("item_id")))
+    want = {r.doc_id: {f"item {k}" for k in r["items"]} for r in decontam.find_items(docs, items).collect()}
+    assert {r.doc_id: set(r["items"]) for r in decontam.find_items(docs, named).collect()} == want and any(want.values())
+
+
 # pipeline -----------------------------------------------------------------------------------------------------------
 
 def test_pipeline(spark):
