@@ -42,7 +42,7 @@ SHARDS = 10
 #: Bits of the map of frequent phrases.
 BITS = 1 << 27
 #: Bytes of text coded in one block.
-BLOCK_BYTES = 16 << 20
+BLOCK_BYTES = 4 << 20
 _CHUNK = 1 << 15
 
 #: Bytes that end a piece; spaces and tabs end words within one.
@@ -88,7 +88,11 @@ def _words_array(joined: bytes, begin: np.ndarray) -> pa.Array:
 
 def _word_keys(lang: str, dictionary: pa.Array) -> np.ndarray:
     data, offsets = common.raw_bytes_of(dictionary)
-    return common.mix(common.fingerprints(data, offsets[:-1], offsets[1:]) ^ np.uint64(zlib.crc32(lang.encode())))
+    return _keys_of(lang, common.fingerprints(data, offsets[:-1], offsets[1:]))
+
+
+def _keys_of(lang: str, prints: np.ndarray) -> np.ndarray:
+    return common.mix(prints ^ np.uint64(zlib.crc32(lang.encode())))
 
 
 def _longer(keys: np.ndarray, words: np.ndarray) -> np.ndarray:
@@ -109,7 +113,7 @@ def _in_map(chunks: dict[int, bytes], keys: np.ndarray, bits: int) -> np.ndarray
 
 
 def block_counts(blocks: DataFrame, size: int, known, bits: int = BITS) -> DataFrame:
-    """(lang, phrase, shard, c, place): phrases of ``size`` words in each block whose parts are in the map ``known``."""
+    """(lang, phrase, shard, c): phrases of ``size`` words in each block whose parts are in the map ``known``."""
 
     def count(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
@@ -119,13 +123,13 @@ def block_counts(blocks: DataFrame, size: int, known, bits: int = BITS) -> DataF
                 codes = np.frombuffer(batch.column("codes")[k].as_buffer(), np.int32)
                 yield from _counted(lang, shard, words, codes, size, known.value if known else None, bits)
 
-    return blocks.select("lang", "shard", "dictionary", "codes").mapInArrow(count, "lang string, phrase string, shard int, c bigint, place bigint")
+    return blocks.select("lang", "shard", "dictionary", "codes").mapInArrow(count, "lang string, phrase string, shard int, c bigint")
 
 
 def _counted(lang, shard, words, codes, size, chunks, bits) -> Iterator[pa.RecordBatch]:
     if size == 1:
         counts = np.bincount(codes[codes >= 0], minlength=len(words))
-        parts, keys = [words], _word_keys(lang, words)
+        parts = [words]
     else:
         own = np.append(_word_keys(lang, words), np.uint64(0))  # the last one stands for -1
         # places where a phrase of size - 1 words lies in one piece and is frequent
@@ -145,33 +149,43 @@ def _counted(lang, shard, words, codes, size, chunks, bits) -> Iterator[pa.Recor
         parts_at[number] = at
         counts = np.bincount(number, minlength=len(distinct))
         parts = [words.take(pa.array(codes[parts_at + j])) for j in range(size)]
-        keys = own[codes[parts_at]]
-        for j in range(1, size):
-            keys = _longer(keys, own[codes[parts_at + j]])
     phrases = pc.binary_join_element_wise(*parts, " ") if size > 1 else parts[0]
-    places = (keys % np.uint64(bits)).astype(np.int64)
     for a in range(0, len(counts), 1 << 16):
         b = min(a + (1 << 16), len(counts))
         yield pa.RecordBatch.from_arrays([
             pa.array([lang] * (b - a), pa.string()), phrases.slice(a, b - a).cast(pa.string()), pa.array(np.full(b - a, shard, np.int32)),
-            pa.array(counts[a:b], pa.int64()), pa.array(places[a:b])], names=["lang", "phrase", "shard", "c", "place"])
+            pa.array(counts[a:b], pa.int64())], names=["lang", "phrase", "shard", "c"])
 
 
 def frequent(counts: DataFrame, shares: DataFrame, least: int = LEAST) -> DataFrame:
-    """(lang, phrase, a, place), written: phrases at local support in some shard, and with ``least`` occurrences in all."""
+    """(lang, phrase, a), written: phrases at local support in some shard, and with ``least`` occurrences in all."""
     local = (
-        counts.repartition("lang", "phrase").groupBy("lang", "phrase", "shard").agg(F.sum("c").alias("c"), F.min("place").alias("place"))
+        counts.repartition("lang", "phrase").groupBy("lang", "phrase", "shard").agg(F.sum("c").alias("c"))
         .join(shares, ["lang", "shard"])
     )
     whole = local.groupBy("lang", "phrase").agg(
-        F.sum("c").alias("a"), F.min("place").alias("place"), F.max(F.col("c") >= F.col("support")).alias("candidate"))
+        F.sum("c").alias("a"), F.max(F.col("c") >= F.col("support")).alias("candidate"))
     return common.cut(whole.where(F.col("candidate") & (F.col("a") >= least)).drop("candidate"), "frequent-phrases")
 
 
-def bitmap(found: DataFrame) -> dict[int, bytes]:
-    """The places of the phrases as bits, in chunks; no more than ``BITS`` bits are ever held."""
-    return {r.chunk - 1: bytes(r.bits) for r in found.groupBy(F.bitmap_bucket_number(F.col("place") + 1).alias("chunk")).agg(
-        F.bitmap_construct_agg(F.bitmap_bit_position(F.col("place") + 1)).alias("bits")).toLocalIterator()}
+def bitmap(found: DataFrame, bits: int = BITS) -> dict[int, bytes]:
+    """The places of the phrases as bits, in chunks; no more than ``bits`` bits are ever held."""
+
+    def places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            langs = batch.column("lang").dictionary_encode()
+            for k, lang in enumerate(langs.dictionary.to_pylist()):
+                data, offsets = common.raw_bytes_of(batch.column("phrase").filter(pc.equal(langs.indices, k)))
+                starts, ends, at = common.words_of(data, offsets, _WORD)
+                own, size = _keys_of(lang, common.fingerprints(data, starts, ends)), np.diff(at)
+                keys = own[at[:-1]]
+                for j in range(1, int(size.max())):
+                    keys = np.where(size > j, _longer(keys, own[np.minimum(at[:-1] + j, len(own) - 1)]), keys)
+                yield pa.RecordBatch.from_arrays([pa.array((keys % np.uint64(bits)).astype(np.int64) + 1)], names=["place"])
+
+    place = found.select("lang", "phrase").mapInArrow(places, "place bigint")
+    chunks = place.groupBy(F.bitmap_bucket_number("place").alias("chunk")).agg(F.bitmap_construct_agg(F.bitmap_bit_position("place")).alias("bits"))
+    return {r.chunk - 1: bytes(r.bits) for r in chunks.toLocalIterator()}
 
 
 def shard_supports(blocks: DataFrame, least: int = LEAST) -> DataFrame:
@@ -192,7 +206,7 @@ def frequent_phrases(docs: DataFrame, least: int = LEAST, words: int = WORDS, bl
         part = level.select("lang", "phrase", F.lit(size).alias("size"), "a")
         out = part if out is None else out.union(part)
         if size < words:
-            known = docs.sparkSession.sparkContext.broadcast(bitmap(level))
+            known = docs.sparkSession.sparkContext.broadcast(bitmap(level, bits))
     return out, supports
 
 
