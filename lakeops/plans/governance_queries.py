@@ -2,6 +2,10 @@
 
 from __future__ import annotations
 
+import re
+from functools import reduce
+
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from lakeops.functions import constants as K
@@ -10,6 +14,7 @@ from lakeops.operators import classify as C
 from lakeops.operators import governance as G
 from lakeops.operators import graph as L
 from lakeops.operators import quality as Q
+from lakeops.plans.lake import SCHEMAS
 from lakeops.plans.registry import query
 from lakeops.session import scratch_path, small_frame
 
@@ -37,9 +42,26 @@ def _classified(lake):
     return parts[0].unionByName(parts[1]).unionByName(parts[2])
 
 
-@query("classify_columns", f"with {CLASSIFY} select * from classified")
+def _all_ratios() -> str:
+    """Every rule on every column of every table, as SQL."""
+    parts = []
+    for t, ddl in SCHEMAS.items():
+        for c, kind in (d.split(" ", 1) for d in ddl.split(", ")):
+            for r in RULES:
+                by_name = bool(r.column_pattern and re.search(r.column_pattern, c))
+                if r.value_pattern and kind == "string":
+                    ratio = f"coalesce((count(*) filter (regexp_matches({c}, '{r.value_pattern}')))::double / nullif(count({c}), 0)::double, 0.0)"
+                    parts.append(f"select '{t}' as table_name, '{c}' as column_name, '{r.name}' as classification, {ratio} as match_ratio, {by_name} as by_name, {r.min_match} as lim from {t}")
+                elif by_name:
+                    parts.append(f"select '{t}', '{c}', '{r.name}', 0.0, true, {r.min_match}")
+    return " union all ".join(parts)
+
+
+@query("classify_columns", f"""
+with ratios as ({_all_ratios()})
+select table_name, column_name, classification, match_ratio, by_name from ratios where match_ratio >= lim or by_name""")
 def _(lake):
-    return _classified(lake)
+    return reduce(DataFrame.unionByName, [C.classify_columns(t, lake.table(t), RULES) for t in SCHEMAS])
 
 
 @query("pii_scan", f"""

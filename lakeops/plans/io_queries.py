@@ -20,6 +20,7 @@ from lakeops.operators.diagnostics import maintenance_flags
 from lakeops.plans.governance_queries import STORED, accounts_pair
 from lakeops.plans.inventory_queries import MOVABILITY, MOVABLE
 from lakeops.plans.registry import query
+from lakeops.plans.sales_queries import BOOKED, OPEN, TIER
 from lakeops.plans.run_queries import FAILED_M, PER_ITEM, SQL_TS, SUCCESS, dsum, ts_text, with_ts
 from lakeops.session import scratch_path
 from lakeops.sources import readers, sinks
@@ -96,26 +97,39 @@ def _(lake):
 
 
 @query("write_table_overwrite", f"""
+with {BOOKED}
 select 'fact_pipeline_by_stage' as gold_table, stage as key, count(opportunity_id) as n, {dsum('amount', 4)} as amount from fx_opportunities
-where stage not in ('ClosedWon', 'ClosedLost') group by stage
+where {OPEN} group by stage
 union all select 'fact_revenue_by_quarter', quarter, count(*), {dsum('amount', 4)} from fx_fact_sales group by quarter
-union all select 'dim_account', revenue_tier, count(*), {dsum('annual_revenue_usd', 2)} from (select *, case when annual_revenue_usd is null or annual_revenue_usd <= 0 then null
- when annual_revenue_usd <= 50000000 then 'SMB' when annual_revenue_usd <= 500000000 then 'MidMarket' when annual_revenue_usd <= 5000000000 then 'Enterprise' else 'Strategic' end as revenue_tier from fx_accounts) group by revenue_tier""")
+union all select 'dim_account', revenue_tier, count(*), {dsum('annual_revenue_usd', 2)} from (select *, {TIER} as revenue_tier from fx_accounts) group by revenue_tier
+union all select 'dim_sales_rep', segment, count(*), cast(sum(date_diff('day', cast(hire_date as date), date '2001-08-01')) as double) from fx_reps group by segment
+union all select 'fact_rep_performance', q.quarter, count(*), {dsum('coalesce(booked, 0.0)', 4)} from fx_fact_quota q left join booked b on q.rep_id = b.rep_id and q.quarter = b.quarter group by q.quarter
+union all select 'fact_account_pipeline', country, count(distinct a.account_id), {dsum(f'case when {OPEN} then amount else 0.0 end', 4)}
+from fx_accounts a left join fx_opportunities o on a.account_id = o.account_id group by country
+union all select 'fact_lead_funnel', source, count(lead_id), cast(count(*) filter (lead_score >= 70) as double) from fx_leads group by source""")
 def _(lake):
     silver = {"accounts": lake.fx("accounts"), "sales_reps": lake.fx("reps"), "opportunities": lake.fx("opportunities"),
               "leads": lake.fx("leads"), "fact_quota": lake.fx("fact_quota"), "fact_sales": lake.fx("fact_sales")}
-    base, read = scratch_path(lake.spark, "gold"), lake.spark.read
+    base = scratch_path(lake.spark, "gold")
     for name, df in G.build_gold(silver, as_of=dt.date(2001, 8, 1)).items():
         for _again in range(2):  # the second write replaces the first
             sinks.write_table_overwrite(df, f"{base}/{name}")
-    acc = read.parquet(f"{base}/dim_account").groupBy(F.col("revenue_tier").alias("key")).agg(
-        F.count(F.lit(1)).alias("n"), F.sum(F.col("annual_revenue_usd").cast("decimal(28,2)")).cast("double").alias("amount"))
+    one = F.count(F.lit(1))
+
+    def money(c, scale=4):
+        return F.sum(F.col(c).cast(f"decimal(28,{scale})")).cast("double")
+
+    # every table is read back: rows and a total per value of one of its columns
+    read_back = {"fact_pipeline_by_stage": ("stage", F.sum("open_opps"), money("total_amount")),
+                 "fact_revenue_by_quarter": ("quarter", F.sum("deals_won"), money("revenue_usd")),
+                 "dim_account": ("revenue_tier", one, money("annual_revenue_usd", 2)),
+                 "dim_sales_rep": ("segment", one, F.sum(F.round(F.col("tenure_years") * 365.25)).cast("double")),
+                 "fact_rep_performance": ("quarter", one, money("actual")),
+                 "fact_account_pipeline": ("country", one, money("open_pipeline")),
+                 "fact_lead_funnel": ("source", F.sum("total_leads"), F.sum("qualified").cast("double"))}
     return readers.union_tagged({
-        "fact_pipeline_by_stage": read.parquet(f"{base}/fact_pipeline_by_stage").select(
-            F.col("stage").alias("key"), F.col("open_opps").alias("n"), F.col("total_amount").alias("amount")),
-        "fact_revenue_by_quarter": read.parquet(f"{base}/fact_revenue_by_quarter").select(
-            F.col("quarter").alias("key"), F.col("deals_won").alias("n"), F.col("revenue_usd").alias("amount")),
-        "dim_account": acc}, "gold_table")
+        name: lake.spark.read.parquet(f"{base}/{name}").groupBy(F.col(key).alias("key")).agg(n.alias("n"), amount.alias("amount"))
+        for name, (key, n, amount) in read_back.items()}, "gold_table")
 
 
 @query("write_csv_export", """
@@ -238,7 +252,7 @@ RAW_APP = ("name string, appName string, id string, appId string, state string,
 
 def _apps(lake):
     """Application records in four historic shapes, by id."""
-    r = lake.fx("runs").where(F.col("duration_seconds").isNotNull())
+    r = lake.fx("runs")
     k, dur = F.col("job_instance_id") % 4, F.col("duration_seconds")
     idle = dur * (F.col("job_instance_id") % 10) / F.lit(10.0)
     ident = F.col("job_instance_id").cast("string")
@@ -254,7 +268,7 @@ def _apps(lake):
 
 
 APPS = """
-raw as (select *, job_instance_id % 4 as k, duration_seconds * (job_instance_id % 10) / 10.0::double as idle from fx_runs where duration_seconds is not null),
+raw as (select *, job_instance_id % 4 as k, duration_seconds * (job_instance_id % 10) / 10.0::double as idle from fx_runs),
 apps as (
  select item_name as notebook_name, cast(job_instance_id as varchar) as app_id, status as state, case when k <> 3 then duration_seconds end as total_duration_sec,
   case when k <> 3 then idle end as total_idle_sec,
