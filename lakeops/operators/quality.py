@@ -44,6 +44,15 @@ def catalog_rows(name: str, df: DataFrame) -> list[tuple[str, str, int, str]]:
     return [(name, f.name, i, f.dataType.simpleString()) for i, f in enumerate(df.schema.fields, 1)]
 
 
+DECLARED_COLUMNS = "table_name string, column_name string, data_type string, declared_length int, precision int, scale int"
+
+
+def declared_columns(name: str, schema: T.StructType) -> list[tuple]:
+    """(table, column, base type, declared length, precision, scale) of a declared schema; what a type lacks is None."""
+    return [(name, f.name, f.dataType.simpleString().partition("(")[0], getattr(f.dataType, "length", None),
+             getattr(f.dataType, "precision", None), getattr(f.dataType, "scale", None)) for f in schema.fields]
+
+
 def column_catalog(spark: SparkSession, tables: Mapping[str, DataFrame]) -> DataFrame:
     """One row per column with its ordinal, declared type and the row count of its table.
 
@@ -62,31 +71,6 @@ def _stack(one_row: DataFrame, parts: Sequence[tuple], names: Sequence[str]) ->
     return one_row.select(F.explode(rows).alias("r")).select("r.*")
 
 
-def column_profile(name: str, df: DataFrame) -> DataFrame:
-    """Rows, NULLs, distinct values, length range and value range of every column.
-
-    All but the distinct counts come from one aggregate. Values are compared with
-    their own type, so 0.0 and -0.0 are one; a very common value costs nothing.
-    """
-    cols = df.columns
-    text = {c: F.col(f"`{c}`").cast("string") for c in cols}
-    aggs = [F.count(F.lit(1)).alias("_rows")]
-    for i, c in enumerate(cols):
-        aggs += [F.count(text[c]).alias(f"_n{i}"), F.min(F.length(text[c])).alias(f"_lo{i}"),
-                 F.max(F.length(text[c])).alias(f"_hi{i}"), F.min(F.col(f"`{c}`")).cast("string").alias(f"_min{i}"),
-                 F.max(F.col(f"`{c}`")).cast("string").alias(f"_max{i}")]
-    stats = _stack(df.agg(*aggs), [
-        (F.lit(c), F.lit(i + 1), F.col("_rows"), F.col("_rows") - F.col(f"_n{i}"), F.col(f"_lo{i}"), F.col(f"_hi{i}"),
-         F.col(f"_min{i}"), F.col(f"_max{i}")) for i, c in enumerate(cols)],
-        ["column_name", "ordinal", "row_count", "null_count", "min_length", "max_length", "min_value", "max_value"])
-    # per column one scan of that column alone; its values shrink to the distinct ones in every task before the shuffle
-    distinct = reduce(DataFrame.union, [
-        df.select(F.col(f"`{c}`").alias("v")).where(F.col("v").isNotNull()).distinct()
-        .agg(F.count(F.lit(1)).alias("distinct_count")).select(F.lit(c).alias("column_name"), "distinct_count") for c in cols])
-    return stats.join(distinct, "column_name", "left").fillna(0, ["distinct_count"]).withColumns({
-        "table_name": F.lit(name), "null_pct": S.pct("null_count", "row_count")})
-
-
 def schema_audit(columns: DataFrame, by: list[str], string_limit: int = K.STRING_LIMIT, char_limit: int = 20,
                  nullable_pct: float = 80) -> DataFrame:
     """Issues in a column frame (``data_type, max_length, precision, scale, is_nullable``).

@@ -3,14 +3,18 @@
 from __future__ import annotations
 
 import datetime as dt
+from concurrent.futures import ThreadPoolExecutor
 
 from pyspark.sql import functions as F
+from pyspark.sql import types as T
 
 from lakeops.functions import scalars as S
 from lakeops.operators import diagnostics as D
+from lakeops.operators import profiles as P
 from lakeops.operators import quality as Q
+from lakeops.plans.lake import SCHEMAS
 from lakeops.plans.registry import query
-from lakeops.session import small_frame
+from lakeops.session import scratch_path, small_frame
 from lakeops.plans.run_queries import SQL_TS, dsum, quantile, with_ts
 
 PATTERNS = f"""
@@ -190,55 +194,77 @@ def _(lake):
 
 # -- schema and contracts ----------------------------------------------------------
 
-PROFILED = {"customer": ["c_custkey", "c_name", "c_nationkey", "c_acctbal", "c_mktsegment"],
-            "documents": ["doc_id", "text", "lang", "source", "n_chars"],
-            "part": ["p_partkey", "p_name", "p_brand", "p_type", "p_size"]}
-KIND = {"c_name": "varchar", "c_mktsegment": "char", "text": "varchar", "lang": "varchar", "source": "varchar", "p_name": "varchar",
-        "p_brand": "char", "p_type": "varchar"}
+#: tables whose columns are profiled in one go; the stored profiles below cover all
+PROFILED = ("customer", "documents", "part")
+#: how a warehouse would declare their columns
+DECLARED = {
+    "customer": "c_custkey decimal(18,0), c_name varchar(25), c_nationkey decimal(10,0), c_acctbal decimal(15,2), c_mktsegment char(10)",
+    "documents": "doc_id decimal(18,0), text varchar(65535), lang varchar(8), source varchar(64), n_chars decimal(18,0)",
+    "part": "p_partkey decimal(18,0), p_name varchar(55), p_brand char(10), p_type varchar(25), p_size decimal(10,0), p_retailprice decimal(18,2)",
+}
 
 
 def profile_sql(tables) -> str:
     parts = []
     for t in tables:
-        for i, c in enumerate(PROFILED[t], 1):
-            x = f"cast({c} as varchar)"
+        for i, (c, kind) in enumerate((d.split(" ", 1) for d in SCHEMAS[t].split(", ")), 1):
+            shown = f"cast({c} as decimal(38,6))" if kind == "double" else c
+            text = f"cast({shown} as varchar)"
+            length, least, most = f"length({text})", f"cast(min({shown}) as varchar)", f"cast(max({shown}) as varchar)"
+            if kind.startswith("array"):
+                length, least, most = f"len({c})", "cast(null as varchar)", "cast(null as varchar)"
             parts.append(f"""
 select '{t}' as table_name, '{c}' as column_name, cast({i} as int) as ordinal, count(*) as row_count, count(*) - count({c}) as null_count,
- count(distinct {c}) as distinct_count, cast(min(length({x})) as int) as min_length, cast(max(length({x})) as int) as max_length,
- cast(min({c}) as varchar) as min_value, cast(max({c}) as varchar) as max_value,
+ count(distinct {c}) as distinct_count, cast(min({length}) as int) as min_length, cast(max({length}) as int) as max_length,
+ {least} as min_value, {most} as max_value,
  cast(count(*) - count({c}) as double) / cast(count(*) as double) * 100 as null_pct from {t}""")
     return " union all ".join(parts)
 
 
 def _profile(lake, tables):
-    return [Q.column_profile(t, lake.table(t).select(*PROFILED[t])) for t in tables]
+    return P.union_all([P.column_profile(t, lake.table(t)) for t in tables])
 
 
 @query("column_profile", profile_sql(["customer", "documents"]))
 def _(lake):
-    a, b = _profile(lake, ["customer", "documents"])
-    return a.unionByName(b)
+    return _profile(lake, ["customer", "documents"])
 
 
-#: column frame of the audit: bigint columns stand for decimal(18,0), short columns with repeats for nullable ones
+@query("column_profile_stored", profile_sql(SCHEMAS))
+def _(lake):
+    store, spark = scratch_path(lake.spark, "profiles"), lake.spark
+
+    def one(t):
+        path, schema = f"{lake.root}/{t}.parquet", T.StructType.fromDDL(SCHEMAS[t])
+        # the second run finds every file profiled
+        if P.refresh(spark, path, f"{store}/{t}", schema) and P.refresh(spark, path, f"{store}/{t}", schema):
+            raise RuntimeError(f"files of {t} were profiled twice")
+        return P.stored_profile(spark, t, path, f"{store}/{t}", schema)
+
+    with ThreadPoolExecutor(4) as side_by_side:  # tables do not wait for each other's small jobs
+        return P.union_all(list(side_by_side.map(one, SCHEMAS)))
+
+
+_DECLARED_SQL = ", ".join(
+    f"('{c}', '{kind.partition('(')[0]}', {kind.startswith('decimal(18,0)')})" for ddl in DECLARED.values() for c, kind in (d.split(" ", 1) for d in ddl.split(", ")))
+#: column frame of the audit: columns whose values repeat stand for nullable ones
 AUDIT = f"""
 cols as (
- select table_name, column_name, case {' '.join(f"when column_name = '{c}' then '{k}'" for c, k in KIND.items())} else 'decimal' end as data_type,
-  max_length, distinct_count < row_count as is_nullable from ({profile_sql(PROFILED)})),
+ select table_name, column_name, data_type, wide_whole, max_length, distinct_count < row_count as is_nullable
+ from ({profile_sql(PROFILED)}) join (values {_DECLARED_SQL}) as declared(column_name, data_type, wide_whole) using (column_name)),
 issues as (
  select table_name, column_name, 'oversized string' as issue, 'High' as severity from cols where data_type = 'varchar' and max_length > 4000
- union all select table_name, column_name, 'decimal(18,0)', 'Medium' from cols where data_type = 'decimal'
+ union all select table_name, column_name, 'decimal(18,0)', 'Medium' from cols where wide_whole
  union all select table_name, column_name, 'long fixed-length text', 'Medium' from cols where data_type = 'char' and max_length > 8
  union all select table_name, '(multiple)', 'mostly nullable', 'Medium' from cols group by table_name
   having cast(count(*) filter (is_nullable) as double) / count(*) * 100 > 60)"""
 
 
 def _issues(lake):
-    a, b, c = _profile(lake, PROFILED)
-    cols = a.unionByName(b).unionByName(c).select(
-        "table_name", "column_name", S.lookup("column_name", KIND, "decimal").alias("data_type"), "max_length",
-        F.lit(18).alias("precision"), F.lit(0).alias("scale"), (F.col("distinct_count") < F.col("row_count")).alias("is_nullable"))
-    return Q.schema_audit(cols, ["table_name"], char_limit=8, nullable_pct=60)
+    declared = small_frame(
+        lake.spark, [r for t, ddl in DECLARED.items() for r in Q.declared_columns(t, T.StructType.fromDDL(ddl))], Q.DECLARED_COLUMNS)
+    cols = _profile(lake, PROFILED).select("table_name", "column_name", "max_length", (F.col("distinct_count") < F.col("row_count")).alias("is_nullable"))
+    return Q.schema_audit(cols.join(declared, ["table_name", "column_name"]), ["table_name"], char_limit=8, nullable_pct=60)
 
 
 @query("schema_audit", f"with {AUDIT} select * from issues")
@@ -428,8 +454,7 @@ def _(lake):
              ("Fax Number", [("Customer", "CFax")])]
     rows = [(e, [{"dataset": d, "column_name": c} for d, c in cols]) for e, cols in bound]
     elements = small_frame(lake.spark, rows, "element string, columns array<struct<dataset: string, column_name: string>>")
-    a, b = _profile(lake, ["customer", "part"])
-    return Q.cde_coverage(elements, a.unionByName(b), normalize_names=True)
+    return Q.cde_coverage(elements, _profile(lake, ["customer", "part"]), normalize_names=True)
 
 
 @query("reconcile_tables", f"""

@@ -32,8 +32,12 @@ def folder_entries(folder: str, hidden: bool = False) -> Iterator[tuple[str, int
     """(path, size, modified in microseconds, is folder) of one folder; links to folders are not followed."""
     parts = urlsplit(folder)
     if parts.scheme in ("", "file"):
-        path = folder.removeprefix("file:") if parts.scheme else folder
-        with os.scandir("/" + path.lstrip("/")) as entries:
+        path = "/" + (folder.removeprefix("file:") if parts.scheme else folder).lstrip("/")
+        if os.path.isfile(path):  # a root may be a file
+            stat = os.stat(path)
+            yield "file:" + path, stat.st_size, stat.st_mtime_ns // 1000, False
+            return
+        with os.scandir(path) as entries:
             for e in entries:
                 if hidden or not _skipped(e.name):
                     stat = e.stat(follow_symlinks=False)
@@ -43,6 +47,10 @@ def folder_entries(folder: str, hidden: bool = False) -> Iterator[tuple[str, int
 
     store, path = fs.FileSystem.from_uri(f"{parts.scheme}://{parts.netloc}{quote(parts.path)}")
     base = folder.rstrip("/")
+    at = store.get_file_info(path)
+    if at.is_file:
+        yield folder, at.size or 0, (at.mtime_ns or 0) // 1000, False
+        return
     for info in store.get_file_info(fs.FileSelector(path)):
         if hidden or not _skipped(info.base_name):
             yield f"{base}/{info.base_name}", info.size or 0, (info.mtime_ns or 0) // 1000, info.type == fs.FileType.Directory

@@ -11,6 +11,7 @@ from lakeops.operators import diagnostics as D
 from lakeops.operators import governance as G
 from lakeops.operators import graph as L
 from lakeops.operators import inventory as I
+from lakeops.operators import profiles as P
 from lakeops.operators import quality as Q
 from lakeops.operators import sales as X
 from lakeops.operators import storage as O
@@ -88,10 +89,10 @@ def test_type_policy(spark, rows):
 
 def test_profile(spark):
     df = spark.createDataFrame([("a" * 100, 1), ("a" * 100, 2), (None, 2)], "s string, n int")
-    got = {r.column_name: r for r in Q.column_profile("t", df).collect()}
+    got = {r.column_name: r for r in P.column_profile("t", df).collect()}
     assert (got["s"].distinct_count, got["s"].null_count, got["s"].max_length) == (1, 1, 100)
     assert (got["n"].distinct_count, got["n"].min_value, got["n"].max_value) == (2, "1", "2")
-    empty = Q.column_profile("t", df.limit(0)).collect()
+    empty = P.column_profile("t", df.limit(0)).collect()
     assert [(r.row_count, r.distinct_count, r.null_pct) for r in empty] == [(0, 0, 0.0)] * 2
 
 
@@ -264,7 +265,7 @@ def test_repeated_keys_do_not_multiply_rows(spark, rows):
 def test_profile_compares_typed_values(spark):
     from lakeops.operators import quality
     df = spark.createDataFrame([(0.0, "x" * 80), (-0.0, "x" * 80), (1.0, None)], "v double, t string")
-    got = {r.column_name: r.distinct_count for r in quality.column_profile("t", df).collect()}
+    got = {r.column_name: r.distinct_count for r in P.column_profile("t", df).collect()}
     assert got == {"v": 2, "t": 1}
 
 
