@@ -42,6 +42,18 @@ def mean_of_means(value: Column) -> Column:
     return F.round(F.avg(value), 6)
 
 
+def _facets(runs: DataFrame) -> DataFrame:
+    """Runs per item, status, invoke type and failure reason: numbers only, so it is a hash aggregate that shrinks
+    map-side. Every count of an item comes from here, so a report reads and shuffles the runs once for all of them."""
+    valid = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
+    u = units(valid)
+    reason = F.when(F.length("failure_reason") > 0, F.col("failure_reason")).alias("failure_reason")
+    return runs.select(*ITEM, "status", "invoke_type", reason, "start_time", valid.alias("_valid"), u.alias("_u")).groupBy(
+        *ITEM, "status", "invoke_type", "failure_reason").agg(
+        F.count(F.lit(1)).alias("n"), F.count("_valid").alias("timed"), wide_sum(F.col("_u")).alias("micros"),
+        F.min("_valid").alias("shortest"), F.max("_valid").alias("longest"), F.max("start_time").alias("latest"))
+
+
 def _per_status(runs: DataFrame) -> DataFrame:
     """Runs per item and status: numbers only, so it is a hash aggregate that shrinks map-side."""
     valid = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
@@ -57,11 +69,16 @@ def _last_status() -> Column:
 
 
 def _counts(runs: DataFrame) -> DataFrame:
+    return _count_columns(_per_status(runs))
+
+
+def _count_columns(parts: DataFrame) -> DataFrame:
+    """Counts and durations per item from partial counts that name a status."""
     def runs_in(names) -> Column:
         return F.coalesce(F.sum(F.when(S.status_in("status", names), F.col("n"))), F.lit(0))
 
     seconds = F.coalesce(F.sum("micros").cast("double") / F.lit(1e6), F.lit(0.0))
-    return _per_status(runs).groupBy(*ITEM).agg(
+    return parts.groupBy(*ITEM).agg(
         F.sum("n").alias("total_runs"),
         runs_in(K.SUCCESS).alias("success_count"),
         runs_in(K.FAILURE_METRICS).alias("failure_count"),
@@ -104,8 +121,12 @@ def invoke_distribution(runs: DataFrame) -> DataFrame:
 
 def invoke_map(runs: DataFrame) -> DataFrame:
     """One map per item; its size is the number of invoke types, never of runs."""
+    return _as_map(invoke_distribution(runs))
+
+
+def _as_map(distribution: DataFrame) -> DataFrame:
     entry = F.struct("invoke_type", "runs")
-    return invoke_distribution(runs).where(F.col("invoke_type").isNotNull()).groupBy(*ITEM).agg(
+    return distribution.where(F.col("invoke_type").isNotNull()).groupBy(*ITEM).agg(
         F.map_from_entries(F.array_sort(F.collect_list(entry))).alias("invoke_types"))
 
 
@@ -117,12 +138,16 @@ def duration_quantiles(runs: DataFrame) -> DataFrame:
 def run_metrics(runs: DataFrame) -> DataFrame:
     """One row per item: counts, success rate, durations, last run, trend, top failure, invoke types."""
     base = _with_item(runs)
+    facets = _facets(base)
+    reasons = facets.where(F.col("failure_reason").isNotNull()).groupBy(*ITEM, "failure_reason").agg(F.sum("n").alias("_n"))
+    top = reasons.groupBy(*ITEM).agg(F.min_by("failure_reason", F.struct(-F.col("_n"), F.col("failure_reason"))).alias("top_failure_reason"))
+    invoked = facets.groupBy(*ITEM, "invoke_type").agg(F.sum("n").alias("runs"))
     return (
-        _counts(base)
+        _count_columns(facets)
         .join(duration_quantiles(base), ITEM, "left")
         .join(duration_trend(base), ITEM, "left")
-        .join(top_failure_reason(base), ITEM, "left")
-        .join(invoke_map(base), ITEM, "left")
+        .join(top, ITEM, "left")
+        .join(_as_map(invoked), ITEM, "left")
         .select(
             *ITEM, "total_runs", "success_count", "failure_count", "in_progress_count", "success_rate_pct",
             "avg_duration_min", "p50_duration_min", "p95_duration_min", "min_duration_min", "max_duration_min",

@@ -43,9 +43,11 @@ def exact_sum(value: Column, scale: int = 6) -> Column:
     odd = F.isnan(value) | (size == float("inf"))
     small = wide_sum(units(F.when(size < bound, value), scale))
     large = F.sum(F.when((size >= bound) & (size < 1e31) & ~odd, value).cast(f"decimal(38,{scale})"))
-    total = F.coalesce(small.cast("double") / F.lit(float(10 ** scale)), F.when(F.count(value) > 0, F.lit(0.0)))
+    # what kinds of values there are: 1 NaN or infinite, 2 too large to add, 4 others
+    kinds = F.bit_or(F.when(value.isNull(), 0).when(odd, 1).when(size >= 1e31, 2).otherwise(4))
+    total = F.coalesce(small.cast("double") / F.lit(float(10 ** scale)), F.when(kinds > 0, F.lit(0.0)))
     total = F.when(large.isNotNull(), total + large.cast("double")).otherwise(total)
-    return F.when(F.max(odd), F.lit(float("nan"))).when(F.max((size >= 1e31) & ~odd), F.lit(float("inf"))).otherwise(total)
+    return F.when(kinds.bitwiseAND(F.lit(1)) > 0, F.lit(float("nan"))).when(kinds.bitwiseAND(F.lit(2)) > 0, F.lit(float("inf"))).otherwise(total)
 
 
 def exact_avg(value: Column, scale: int = 6) -> Column:
@@ -187,15 +189,14 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
         mean("s2", "c2", F.col("total") - F.col("mid")).alias("second_half_mean"))
 
 
-def trailing_counts(df: DataFrame, key: str, time: str, seconds: int, out: str,
-                    bucket_seconds: int = 60) -> DataFrame:
+def trailing_counts(df: DataFrame, key: str, time: str, seconds: int, out: str) -> DataFrame:
     """Rows of the same key in ``[t - seconds, t]`` for every row, both ends included.
 
-    Rows first shrink to instants. Each instant asks two running counts, one at
-    its own time and one just before the window opens. Both are a bucket offset
-    plus a count inside one (key, bucket), so a busy key spreads over as many
-    tasks as it has buckets, and a burst at one instant is a single row. Rows
-    without a key or a time have no count.
+    Rows first shrink to instants (microseconds). Each instant asks two running counts, one at its own time and one
+    just before the window opens. Both add up over buckets of falling width: minutes before inside the key, seconds
+    before inside the minute (at most 60), instants before inside the second (at most a million, each with one window
+    opening). So no task orders more than one key's minutes or one second's instants, whatever share of all rows a key
+    or a minute holds. Rows without a key or a time have no count.
     """
     stamped = df.withColumn("_at", F.unix_micros(time))
     instants = stamped.groupBy(key, "_at").agg(F.count(F.lit(1)).alias("_n"))
@@ -205,13 +206,15 @@ def trailing_counts(df: DataFrame, key: str, time: str, seconds: int, out: str,
             F.struct(F.lit(1).alias("call"), F.col("_at").alias("at"), F.col("_n").alias("n")),
             F.struct(F.lit(0).alias("call"), (F.col("_at") - F.lit(seconds * MICROS)).alias("at"), F.lit(0).cast("bigint").alias("n")),
         )).alias("p"),
-    ).select(key, "_at", "p.call", "p.at", F.col("p.n").alias("_n"),
-             F.floor(F.col("p.at") / F.lit(bucket_seconds * MICROS)).alias("_bucket"))
-    sizes = points.groupBy(key, "_bucket").agg(F.sum("_n").alias("n"))
-    offsets = bucket_offsets(sizes, [key], "_bucket").select(key, "_bucket", "before")
+    ).select(key, "_at", "p.call", "p.at", F.col("p.n").alias("_n"), F.floor(F.col("p.at") / F.lit(MICROS)).alias("_second"))
+    sizes = points.groupBy(key, "_second").agg(F.sum("_n").alias("n")).withColumn("_minute", F.floor(F.col("_second") / 60))
+    minutes = bucket_offsets(sizes.groupBy(key, "_minute").agg(F.sum("n").alias("n")), [key], "_minute")
+    offsets = bucket_offsets(sizes, [key, "_minute"], "_second").join(
+        minutes.select(key, "_minute", F.col("before").alias("_base")), [key, "_minute"]).select(
+        key, "_second", (F.col("_base") + F.col("before")).alias("before"))
     # a window opening sorts before calls of the same instant, so it does not count them
-    upto = Window.partitionBy(key, "_bucket").orderBy("at", "call").rowsBetween(Window.unboundedPreceding, 0)
-    placed = points.join(offsets, [key, "_bucket"]).withColumn("_seen", F.col("before") + F.sum("_n").over(upto))
+    upto = Window.partitionBy(key, "_second").orderBy("at", "call").rowsBetween(Window.unboundedPreceding, 0)
+    placed = points.join(offsets, [key, "_second"]).withColumn("_seen", F.col("before") + F.sum("_n").over(upto))
     signed = placed.select(key, "_at", F.when(F.col("call") == 1, F.col("_seen")).otherwise(-F.col("_seen")).alias("_seen"))
     counted = signed.groupBy(key, "_at").agg(F.sum("_seen").alias(out))
     return stamped.join(counted, [key, "_at"], "left").select(*[F.col(c) for c in df.columns], out)
