@@ -10,6 +10,7 @@ from pyspark.sql import types as T
 
 from lakeops.functions import scalars as S
 from lakeops.operators import diagnostics as D
+from lakeops.operators import drift
 from lakeops.operators import profiles as P
 from lakeops.operators import quality as Q
 from lakeops.plans.lake import SCHEMAS
@@ -367,6 +368,20 @@ def _(lake):
     return Q.contract_schema_drift(_orders(lake, own_schema=True), CONTRACT)
 
 
+@query("contract_drift_by_file", """
+select 'o_totalprice' as column_name, 'type drift' as kind, 'double' as expected, 'string' as actual, count(*) as rows from orders where o_orderkey % 3 = 1
+union all select 'o_orderpriority', 'missing column', 'string', null, count(*) from orders where o_orderkey % 3 = 2
+union all select 'o_channel', 'unknown column', null, 'string', count(*) from orders where o_orderkey % 3 = 2""")
+def _(lake):
+    path, orders = scratch_path(lake.spark, "drifting"), lake.table("orders")
+    # three writers of one table: the second sends amounts as text, the third renames a column
+    orders.where("o_orderkey % 3 = 0").write.parquet(path)
+    orders.where("o_orderkey % 3 = 1").withColumn("o_totalprice", F.col("o_totalprice").cast("string")).write.mode("append").parquet(path)
+    orders.where("o_orderkey % 3 = 2").withColumnRenamed("o_orderpriority", "o_channel").write.mode("append").parquet(path)
+    declared = Q.Contract("orders", tuple(Q.ColumnRule(f.name, f.dataType.simpleString()) for f in orders.schema.fields))
+    return drift.drift_summary(drift.drift_by_file(lake.spark, path, declared)).drop("files", "example")
+
+
 _VALUE = Q.Contract(CONTRACT.table, tuple(c for c in CONTRACT.columns if c.name != "o_channel"), CONTRACT.row_count_min,
                     CONTRACT.completeness_pct, CONTRACT.freshness_hours, CONTRACT.freshness_column, CONTRACT.unique)
 _complete = " union all ".join(
@@ -467,3 +482,19 @@ def _(lake):
     left = lake.table("lineitem")
     copy = left.where((F.col("l_returnflag") != "N") & ~((F.col("l_returnflag") == "R") & (F.col("l_linenumber") == 7)))
     return Q.reconcile_tables(left, copy, ["l_returnflag"], ["l_quantity"])
+
+
+@query("reconcile_rows", f"""
+with other as (select * replace (case when l_orderkey % 997 = 5 then l_quantity + 1 else l_quantity end as l_quantity) from lineitem where l_orderkey % 1501 <> 7
+ union all select * from lineitem where l_orderkey % 1999 = 11),
+side as (select l_orderkey, count(*) as n, {dsum('l_quantity', 4)} as q from lineitem group by all),
+twin as (select l_orderkey, count(*) as n, {dsum('l_quantity', 4)} as q from other group by all)
+select l_orderkey, coalesce(a.n, 0) as rows_left, coalesce(b.n, 0) as rows_right, coalesce(a.q, 0.0) as l_quantity_left,
+ coalesce(b.q, 0.0) as l_quantity_right, coalesce(b.n, 0) - coalesce(a.n, 0) as row_delta, false as matches
+from side a full join twin b using (l_orderkey) where a.n is distinct from b.n or a.q is distinct from b.q""")
+def _(lake):
+    left, k = lake.table("lineitem"), F.col("l_orderkey")
+    # a copy that lost some orders, changed others and repeated a few
+    copy = left.where(k % 1501 != 7).withColumn("l_quantity", F.when(k % 997 == 5, F.col("l_quantity") + 1).otherwise(F.col("l_quantity"))).unionByName(
+        left.where(k % 1999 == 11))
+    return Q.reconcile_rows(left, copy, "l_orderkey", ["l_quantity"], leaf=4096)
