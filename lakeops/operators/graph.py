@@ -9,10 +9,13 @@ execution splits.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+import uuid
+from functools import reduce
+
+from pyspark.sql import DataFrame, Observation
 from pyspark.sql import functions as F
 
-from lakeops.session import cut_lineage, cut_lineage_counted
+from lakeops.session import cut_lineage, cut_lineage_counted, scratch_path
 
 
 def lineage_edges(processes: DataFrame) -> DataFrame:
@@ -23,31 +26,66 @@ def lineage_edges(processes: DataFrame) -> DataFrame:
     return reads.unionByName(writes)
 
 
+#: Written levels that a round of the closure looks through before they are merged into one.
+LEVELS = 6
+_PAIR = ("node", "reached")
+
+
+def _bucketed(pairs: DataFrame, buckets: int) -> tuple[DataFrame, str, str, int]:
+    """Pairs written in buckets of (node, reached): (as a bucketed table, its name, its path, its rows)."""
+    spark, seen = pairs.sparkSession, Observation()
+    name, path = f"lakeops_closure_{uuid.uuid4().hex}", scratch_path(pairs.sparkSession, "closure")
+    pairs.observe(seen, F.count(F.lit(1)).alias("n")).write.format("parquet").bucketBy(buckets, *_PAIR).sortBy(*_PAIR).option("path", path).saveAsTable(name)
+    return spark.table(name), name, path, seen.get["n"]
+
+
 def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distance: int | None = None,
                     seeds: DataFrame | None = None) -> DataFrame:
     """Every ``node, reached`` pair with its shortest ``distance``; cycles end because a known pair is not taken again.
 
     ``edges`` has ``src`` and ``dst``. Unbounded unless ``max_distance`` is given. With ``seeds`` (a column ``node``,
-    repeats and NULLs allowed) only pairs that start there are followed, so the result grows with what they reach.
+    repeats and NULLs allowed) only pairs that start there are followed, so the result grows with what they reach;
+    without them it is all pairs, which suits small or shallow graphs only.
+
+    Pairs of every level are kept in as many buckets as a shuffle has partitions. A round deals its new pairs into the
+    same buckets once; removing repeats and known pairs then needs no further shuffle, and what is known never moves.
+    Every ``LEVELS`` rounds the levels become one table.
     """
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
-    step = edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
-        F.col(a).alias("_from"), F.col(b).alias("_to")).distinct()
-    step, rows = cut_lineage_counted(step)
-    frontier = step.where(F.col("_from") != F.col("_to")).select(
+    spark = edges.sparkSession
+    buckets = int(spark.conf.get("spark.sql.shuffle.partitions"))
+    step = cut_lineage(edges.where(F.col(a).isNotNull() & F.col(b).isNotNull()).select(
+        F.col(a).alias("_from"), F.col(b).alias("_to")).distinct())
+    first = step.where(F.col("_from") != F.col("_to")).select(
         F.col("_from").alias("node"), F.col("_to").alias("reached"), F.lit(1).alias("distance"))
     if seeds is not None:
-        frontier = cut_lineage(frontier.join(seeds.select("node"), "node", "left_semi"))
-    known, distance = frontier, 1
-    while rows and (max_distance is None or distance < max_distance):
-        distance += 1
-        further = frontier.join(step, frontier["reached"] == step["_from"]).select(
-            "node", F.col("_to").alias("reached")).where(F.col("node") != F.col("reached")).distinct()
-        new = further.join(known, ["node", "reached"], "left_anti").withColumn("distance", F.lit(distance))
-        frontier, rows = cut_lineage_counted(new)
-        # a union of written levels: its plan holds one leaf per level
-        known = known.unionByName(frontier)
-    return known
+        first = first.join(seeds.select("node"), "node", "left_semi")
+    schema, names, paths, levels, distance = first.schema, [], [], [], 1
+    new = first.repartition(buckets, *_PAIR)
+    try:
+        while True:
+            frontier, name, path, rows = _bucketed(new, buckets)
+            names.append(name)
+            if rows or not paths:
+                paths.append(path)
+                levels.append(frontier)
+            if not rows or distance == max_distance:
+                break
+            distance += 1
+            if len(levels) > LEVELS:
+                # the newest level stays apart, the others become one
+                merged, name, _, _ = _bucketed(reduce(DataFrame.unionByName, levels[:-1]).repartition(buckets, *_PAIR), buckets)
+                names.append(name)
+                levels = [merged, levels[-1]]
+            new = frontier.join(step, frontier["reached"] == step["_from"]).select(
+                "node", F.col("_to").alias("reached")).where(F.col("node") != F.col("reached")).repartition(buckets, *_PAIR).dropDuplicates(_PAIR)
+            for known in levels:
+                new = new.join(known.select(*_PAIR), list(_PAIR), "left_anti")
+            new = new.select(*_PAIR, F.lit(distance).alias("distance"))
+    finally:
+        for name in names:  # the files stay for the result, the names go
+            spark.sql(f"drop table if exists {name}")
+    return spark.read.schema(schema).parquet(*paths)
 
 
 def walk_tree(nodes: DataFrame, node_id: str, parent_id: str, label: str, inherit: str | None = None,

@@ -275,9 +275,18 @@ def _edges(lake):
     return lake.fx("employees").select(F.col("employee_id").alias("src"), F.col("manager_id").alias("dst"))
 
 
-@query("lineage_closure", f"with {TREE} select node, reached, cast(distance as int) as distance from up")
+@query("lineage_closure", f"with {TREE} select node, reached, cast(distance as int) as distance from up where node in (select o_custkey from orders)")
 def _(lake):
-    return L.lineage_closure(_edges(lake))
+    # upward from every customer that ordered
+    return L.lineage_closure(_edges(lake), seeds=lake.table("orders").select(F.col("o_custkey").alias("node")).distinct())
+
+
+@query("lineage_within", f"""
+with {TREE} select reached as node, node as reached, cast(distance as int) as distance from up
+where distance <= 3 and reached in (select s_suppkey from supplier)""")
+def _(lake):
+    # downward at most three levels from the nodes that a given table names
+    return L.lineage_closure(_edges(lake), "upstream", max_distance=3, seeds=lake.table("supplier").select(F.col("s_suppkey").alias("node")))
 
 
 @query("assets_without_lineage", "select employee_id, department from fx_employees where employee_id not in (select manager_id from fx_employees where manager_id is not null)")

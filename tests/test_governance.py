@@ -164,6 +164,43 @@ def test_closure_from_seeds_keeps_their_pairs_only(spark, rows):
     assert rows(L.lineage_closure(e, "upstream", seeds=seeds), "node", "reached") == []
 
 
+def test_closure_of_random_graphs_over_merged_levels(spark, monkeypatch, rows):
+    import random
+
+    rng = random.Random(2)
+    monkeypatch.setattr(L, "LEVELS", 2)
+    edges = [(k, k + 1) for k in range(9)] + [(9, 0)] + [(rng.randrange(14), rng.randrange(14)) for _ in range(8)]
+    df = spark.createDataFrame(edges, "src int, dst int")
+    nodes, want = range(14), {}
+    for n in nodes:
+        level, seen, d = {n}, {n}, 0
+        while level:
+            d += 1
+            level = {b for a, b in edges if a in level} - seen
+            seen |= level
+            want.update({(n, m): d for m in level})
+    got = L.lineage_closure(df)
+    assert {(r.node, r.reached): r.distance for r in got.collect()} == want and got.count() == len(want)
+    seeds = spark.createDataFrame([(3,), (12,), (99,)], "node int")
+    got = L.lineage_closure(df, max_distance=3, seeds=seeds)
+    assert {(r.node, r.reached): r.distance for r in got.collect()} == {p: d for p, d in want.items() if p[0] in (3, 12) and d <= 3}
+    assert not [t.name for t in spark.catalog.listTables() if t.name.startswith("lakeops_closure")]
+    assert L.lineage_closure(df.limit(0)).count() == 0
+
+
+def test_known_pairs_do_not_move(spark):
+    df = spark.range(2000).selectExpr("id as node", "id + 1 as reached", "1 as distance")
+    known, name, _, n = L._bucketed(df.repartition(4, "node", "reached"), 4)
+    spark.conf.set("spark.sql.autoBroadcastJoinThreshold", "-1")
+    try:
+        new = df.repartition(4, "node", "reached").dropDuplicates(["node", "reached"]).join(known.select("node", "reached"), ["node", "reached"], "left_anti")
+        plan = new._jdf.queryExecution().executedPlan().toString()
+        assert n == 2000 and plan.count("Exchange") == 1 and new.count() == 0
+    finally:
+        spark.conf.unset("spark.sql.autoBroadcastJoinThreshold")
+        spark.sql(f"drop table {name}")
+
+
 def test_glossary_orphans_and_cycles(spark, rows):
     t = spark.createDataFrame([("root", None), ("kid", "root"), ("lost", "nowhere"), ("x", "y"), ("y", "x")], "term string, parent_term string")
     assert rows(L.glossary_tree(t), "term", "level", "orphan") == [
