@@ -34,15 +34,30 @@ def query_patterns(log: DataFrame) -> DataFrame:
     })
 
 
+def _told(patterns: DataFrame, log: DataFrame) -> DataFrame:
+    """The picked patterns with the text of their newest statement and their median row count, where the log has these.
+
+    Only statements of picked patterns are looked at again; a text is read once per pattern, not carried by all.
+    """
+    keys = ["warehouse_name", "query_hash"]
+    own = log.join(patterns.select(*keys), keys, "left_semi")
+    if "query_text" in log.columns:
+        newest = own.groupBy(*keys).agg(F.max_by("query_text", F.struct("start_time", "statement_id")).alias("query_text"))
+        patterns = patterns.join(newest, keys, "left")
+    if "row_count" in log.columns:
+        patterns = patterns.join(exact_quantiles(own, keys, "row_count", {"median_row_count": 0.5}), keys, "left")
+    return patterns
+
+
 def long_running_queries(log: DataFrame, threshold_sec: float = K.LONG_QUERY_SECONDS, top: int = 20) -> DataFrame:
     """Slowest patterns per warehouse by median, flagged above the threshold."""
     slow = top_n_per_group(query_patterns(log), ["warehouse_name"], [F.desc("median_duration_ms"), F.col("query_hash")], top)
-    return slow.withColumn("is_long", F.col("median_duration_sec") > threshold_sec)
+    return _told(slow, log).withColumn("is_long", F.col("median_duration_sec") > threshold_sec)
 
 
 def frequent_queries(log: DataFrame, top: int = 20) -> DataFrame:
     """Most executed patterns per warehouse."""
-    return top_n_per_group(query_patterns(log), ["warehouse_name"], [F.desc("execution_count"), F.col("query_hash")], top)
+    return _told(top_n_per_group(query_patterns(log), ["warehouse_name"], [F.desc("execution_count"), F.col("query_hash")], top), log)
 
 
 def top_n_remote_sql(table: str, columns: list[str], where: str, order_by: str, n: int, dialect: str = "ansi") -> str:
@@ -79,8 +94,9 @@ def stale_statistics(stats: DataFrame) -> DataFrame:
 
 
 def sort_catalog(stats: DataFrame) -> DataFrame:
-    """Most modified first, then by schema, table and name."""
-    return stats.orderBy(F.desc("modification_counter"), "schema_name", "table_name", "stats_name")
+    """Most modified first, then the one updated longest ago (where that is known), then by schema, table and name."""
+    age = ["last_updated"] if "last_updated" in stats.columns else []
+    return stats.orderBy(F.desc("modification_counter"), *age, "schema_name", "table_name", "stats_name")
 
 
 # -- locks ------------------------------------------------------------------------

@@ -35,21 +35,25 @@ def _(lake):
 
 
 def _pattern_sql(order: str, extra: str = "") -> str:
+    told = f"""{PATTERNS.replace('fx_query_log', 'fx_request_history')},
+told as (select warehouse_name, query_hash, first(query_text order by start_time desc, statement_id desc) as query_text,
+ {quantile('row_count', 0.5)} as median_row_count from fx_request_history group by all)"""
     return f"""
-with {PATTERNS}
-select warehouse_name, query_hash, execution_count, max_duration_ms, {SQL_TS.format('last_execution')} as last_execution,
- median_duration_ms, median_duration_sec, max_duration_sec, cast(rk as int) as rank{extra}
-from (select *, row_number() over (partition by warehouse_name order by {order} desc, query_hash) as rk from timed) where rk <= 20"""
+with {told}
+select warehouse_name, query_hash, query_text, execution_count, max_duration_ms, {SQL_TS.format('last_execution')} as last_execution,
+ median_duration_ms, median_duration_sec, max_duration_sec, median_row_count, cast(rk as int) as rank{extra}
+from (select *, row_number() over (partition by warehouse_name order by {order} desc, query_hash) as rk from timed)
+join told using (warehouse_name, query_hash) where rk <= 20"""
 
 
 @query("long_running_queries", _pattern_sql("median_duration_ms", ", median_duration_sec > 30 as is_long"))
 def _(lake):
-    return with_ts(D.long_running_queries(lake.fx("query_log"), threshold_sec=30), "last_execution")
+    return with_ts(D.long_running_queries(lake.fx("request_history"), threshold_sec=30), "last_execution")
 
 
 @query("frequent_queries", _pattern_sql("execution_count"))
 def _(lake):
-    return with_ts(D.frequent_queries(lake.fx("query_log")), "last_execution")
+    return with_ts(D.frequent_queries(lake.fx("request_history")), "last_execution")
 
 
 @query("top_n_remote", """
@@ -87,7 +91,7 @@ def _(lake):
     return D.stale_statistics(lake.fx("stats"))
 
 
-@query("sort_catalog", "select * from fx_stats order by modification_counter desc, schema_name, table_name, stats_name")
+@query("sort_catalog", "select * from fx_stats order by modification_counter desc, last_updated, schema_name, table_name, stats_name")
 def _(lake):
     return D.sort_catalog(lake.fx("stats"))
 
@@ -173,7 +177,7 @@ report as (
 
 def _report(lake):
     items = settings(lake)
-    n = lake.table("supplier").count()
+    n = lake.table("supplier").agg(F.count(F.lit(1))).scalar()
     metrics = lake.fx("partition_stats").select(
         "schema_name", F.concat_ws("_", "table_name", "partition_number").alias("table_name"), "row_count",
         (F.col("partition_number") % n).cast("bigint").alias("item_id")).join(items.drop("config"), "item_id")

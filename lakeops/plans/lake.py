@@ -46,6 +46,10 @@ from events""",
 select concat('wh_', user_id % 5) as warehouse_name, concat('q_', user_id) as query_hash, event_id as statement_id,
  ts as start_time, value as data_scanned_remote_storage_mb, value * 1000 as duration_ms, event_type as status
 from events""",
+    "fx_request_history": """
+select concat('wh_', user_id % 5) as warehouse_name, concat('q_', user_id) as query_hash, event_id as statement_id,
+ ts as start_time, value * 1000 as duration_ms, concat('select ', event_type, ' where props = ', props) as query_text,
+ event_id % 1000 as row_count from events""",
     "fx_accounts": """
 select c_custkey as account_id, c_name as account_name, c_mktsegment as industry, n_name as country,
  c_acctbal * 1000000 as annual_revenue_usd from customer join nation on c_nationkey = n_nationkey""",
@@ -102,7 +106,8 @@ select l_returnflag as schema_name, concat(l_returnflag, l_linestatus) as table_
 from lineitem group by l_returnflag, concat(l_returnflag, l_linestatus), year(l_shipdate) * 100 + month(l_shipdate)""",
     "fx_stats": """
 select p_type as schema_name, p_brand as table_name, concat('st_', p_partkey) as stats_name, p_size * 100 as row_cnt,
- (p_partkey % 40) * p_size as modification_counter from part""",
+ p_size * 10 * (1 + p_partkey % 10) as rows_sampled, (p_partkey % 40) * p_size as modification_counter,
+ concat('2024-', lpad(concat('', 1 + p_partkey % 12), 2, '0'), '-', lpad(concat('', 1 + p_partkey % 28), 2, '0')) as last_updated from part""",
     "fx_locks": """
 select o_orderkey as request_id, o_orderpriority as resource_type,
  case when o_orderkey % 2 = 0 then 'X' else 'S' end as request_mode,
