@@ -149,7 +149,8 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     minute per group that straddles the middle is written out as a table with a
     row per group, so the second look at the rows keeps only those minutes,
     without a shuffle of the others where that table is small enough to broadcast.
-    Inside that minute the same is done by instant. Only rows of the instant that straddles the middle are ordered, by
+    Inside that minute the same is done by instant, second by second, so no task orders more than the 60 seconds of a
+    minute or the million instants of a second. Only rows of the instant that straddles the middle are ordered, by
     ranges, so many rows of one group and one instant are spread over tasks as well.
     """
     keys = list(keys)
@@ -168,8 +169,13 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
     ), "halves")
     straddling = rows.join(groups.select(*keys, "_minute", F.col("before").alias("_base"), "mid"), [*keys, "_minute"])
     instants = straddling.groupBy(*keys, time).agg(
-        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"), F.max("_base").alias("_base"), F.max("mid").alias("mid"))
-    placed = bucket_offsets(instants, keys, time).withColumn("_start", F.col("_base") + F.col("before"))
+        F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"), F.max("_base").alias("_base"), F.max("mid").alias("mid")).withColumn(
+        "_second", F.floor(F.unix_micros(time) / F.lit(MICROS)))
+    seconds = bucket_offsets(instants.groupBy(*keys, "_second").agg(F.sum("n").alias("n")), keys, "_second").select(
+        *keys, "_second", F.col("before").alias("_sooner"))
+    inside = Window.partitionBy(*keys, "_second").orderBy(time).rowsBetween(Window.unboundedPreceding, -1)
+    placed = instants.join(seconds, [*keys, "_second"]).withColumn(
+        "_start", F.col("_base") + F.col("_sooner") + F.coalesce(F.sum("n").over(inside), F.lit(0)))
     first, second = F.col("_start") + F.col("n") <= F.col("mid"), F.col("_start") >= F.col("mid")
     whole = placed.where(first | second).select(*keys, F.when(first, F.col("s")).alias("c1"), F.when(second, F.col("s")).alias("c2"))
     one = placed.where(~(first | second)).select(*keys, time, "_start")

@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import uuid
+from urllib.parse import urlsplit
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, Observation, SparkSession
@@ -46,15 +47,45 @@ def shared_root(spark: SparkSession) -> str:
     if root is None:
         if sc.getCheckpointDir() is not None:
             return sc.getCheckpointDir()
+        warehouse = spark.conf.get("spark.sql.warehouse.dir")
+        if not sc.master.startswith("local") and urlsplit(warehouse).scheme in ("", "file"):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share: the warehouse is a local one")
         root = f"{spark.conf.get('spark.sql.warehouse.dir').rstrip('/')}/_scratch"
     if sc.getCheckpointDir() is None:
         sc.setCheckpointDir(root)
     return root
 
 
+#: Scratch paths handed out to each application, until they are released.
+_handed_out: dict[str, list[str]] = {}
+
+
 def scratch_path(spark: SparkSession, tag: str) -> str:
-    """A fresh, never reused path below :func:`shared_root`."""
-    return f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    """A fresh, never reused path below :func:`shared_root`; :func:`release_scratch` removes it."""
+    path = f"{shared_root(spark).rstrip('/')}/{tag}-{uuid.uuid4().hex}"
+    _handed_out.setdefault(spark.sparkContext.applicationId, []).append(path)
+    return path
+
+
+def release_scratch(spark: SparkSession, since: int = 0) -> int:
+    """Delete what this application wrote to scratch paths, and return how many paths there were.
+
+    Results that are still to be computed read from there: call it once they have been consumed. ``since`` keeps the
+    first so many paths, as :func:`scratch_mark` counted them.
+    """
+    paths = _handed_out.get(spark.sparkContext.applicationId, [])
+    jvm, conf = spark._jvm, spark._jsc.hadoopConfiguration()
+    for path in paths[since:]:
+        at = jvm.org.apache.hadoop.fs.Path(path)
+        at.getFileSystem(conf).delete(at, True)
+    released = len(paths) - since
+    del paths[since:]
+    return released
+
+
+def scratch_mark(spark: SparkSession) -> int:
+    """How many scratch paths there are now."""
+    return len(_handed_out.get(spark.sparkContext.applicationId, []))
 
 
 def cut_lineage(df: DataFrame, tag: str = "cut") -> DataFrame:

@@ -16,6 +16,20 @@ def test_shared_folder_is_the_configured_one(spark):
     assert scratch_path(spark, "x") != scratch_path(spark, "x")
 
 
+def test_scratch_is_released(spark):
+    import os
+
+    from lakeops.session import release_scratch, scratch_mark
+
+    mark = scratch_mark(spark)
+    kept, gone = cut_lineage(spark.range(3)), None
+    between = scratch_mark(spark)
+    gone = cut_lineage(spark.range(5))
+    [file] = {os.path.dirname(f).removeprefix("file:").replace("//", "/") for f in gone.inputFiles()}
+    assert between == mark + 1 and os.path.isdir(file)
+    assert release_scratch(spark, since=between) == 1 and not os.path.exists(file) and kept.count() == 3
+
+
 def test_cut_lineage_keeps_rows_and_schema(spark):
     df = spark.createDataFrame([(1, [1.5], {"a": "b"})], "i int, v array<double>, m map<string,string>")
     out = cut_lineage(df)
