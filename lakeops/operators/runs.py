@@ -43,15 +43,18 @@ def mean_of_means(value: Column) -> Column:
 
 
 def _facets(runs: DataFrame) -> DataFrame:
-    """Runs per item, status, invoke type and failure reason: numbers only, so it is a hash aggregate that shrinks
-    map-side. Every count of an item comes from here, so a report reads and shuffles the runs once for all of them."""
+    """Everything counted per item from one scan: a run counts under its status (with durations and starts), its invoke
+    type and its failure reason. Tasks keep one row per item and value before the shuffle; numbers only, so it hashes."""
     valid = F.when(F.col("duration_seconds") >= 0, F.col("duration_seconds"))
-    u = units(valid)
-    reason = F.when(F.length("failure_reason") > 0, F.col("failure_reason")).alias("failure_reason")
-    return runs.select(*ITEM, "status", "invoke_type", reason, "start_time", valid.alias("_valid"), u.alias("_u")).groupBy(
-        *ITEM, "status", "invoke_type", "failure_reason").agg(
-        F.count(F.lit(1)).alias("n"), F.count("_valid").alias("timed"), wide_sum(F.col("_u")).alias("micros"),
-        F.min("_valid").alias("shortest"), F.max("_valid").alias("longest"), F.max("start_time").alias("latest"))
+    reason = F.when(F.length("failure_reason") > 0, F.col("failure_reason"))
+    seen = F.array(*[F.struct(F.lit(k).alias("kind"), c.alias("value")) for k, c in enumerate((F.col("status"), F.col("invoke_type"), reason))])
+    one = runs.select(*ITEM, "start_time", valid.alias("_valid"), F.explode(seen).alias("_f")).where((F.col("_f.kind") == 0) | F.col("_f.value").isNotNull())
+    own = F.col("_f.kind") == 0
+    one = one.select(*ITEM, "_f.*", *[F.when(own, F.col(c)).alias(c) for c in ("start_time", "_valid")], F.when(own, units(F.col("_valid"))).alias("_u"))
+    return one.groupBy(*ITEM, "kind", "value").agg(
+        F.count(F.lit(1)).alias("_n"), F.count("_valid").alias("timed"), wide_sum(F.col("_u")).alias("micros"),
+        F.min("_valid").alias("shortest"), F.max("_valid").alias("longest"), F.max("start_time").alias("latest")).select(
+        "*", *[F.when(F.col("kind") == 0, F.col(c)).alias(new) for c, new in (("value", "status"), ("_n", "n"))])
 
 
 def _per_status(runs: DataFrame) -> DataFrame:
@@ -72,8 +75,8 @@ def _counts(runs: DataFrame) -> DataFrame:
     return _count_columns(_per_status(runs))
 
 
-def _count_columns(parts: DataFrame) -> DataFrame:
-    """Counts and durations per item from partial counts that name a status."""
+def _count_columns(parts: DataFrame, *more: Column) -> DataFrame:
+    """Counts and durations per item from partial counts that name a status; ``more`` aggregates of the same parts."""
     def runs_in(names) -> Column:
         return F.coalesce(F.sum(F.when(S.status_in("status", names), F.col("n"))), F.lit(0))
 
@@ -89,6 +92,7 @@ def _count_columns(parts: DataFrame) -> DataFrame:
         seconds.alias("total_compute_sec"),
         F.max("latest").alias("last_run_time"),
         _last_status().alias("last_status"),
+        *more,
     ).withColumns({
         "success_rate_pct": S.pct("success_count", "total_runs"), "total_compute_hrs": F.col("total_compute_sec") / 3600})
 
@@ -138,16 +142,15 @@ def duration_quantiles(runs: DataFrame) -> DataFrame:
 def run_metrics(runs: DataFrame) -> DataFrame:
     """One row per item: counts, success rate, durations, last run, trend, top failure, invoke types."""
     base = _with_item(runs)
-    facets = _facets(base)
-    reasons = facets.where(F.col("failure_reason").isNotNull()).groupBy(*ITEM, "failure_reason").agg(F.sum("n").alias("_n"))
-    top = reasons.groupBy(*ITEM).agg(F.min_by("failure_reason", F.struct(-F.col("_n"), F.col("failure_reason"))).alias("top_failure_reason"))
-    invoked = facets.groupBy(*ITEM, "invoke_type").agg(F.sum("n").alias("runs"))
+    invoked, failed = F.col("kind") == 1, F.col("kind") == 2
+    entries = F.collect_list(F.when(invoked, F.struct(F.col("value").alias("invoke_type"), F.col("_n").alias("runs"))))
+    counts = _count_columns(
+        _facets(base), F.map_from_entries(F.array_sort(F.when(F.size(entries) > 0, entries))).alias("invoke_types"),
+        F.min_by("value", F.when(failed, F.struct(-F.col("_n"), F.col("value")))).alias("top_failure_reason"))
     return (
-        _count_columns(facets)
+        counts
         .join(duration_quantiles(base), ITEM, "left")
         .join(duration_trend(base), ITEM, "left")
-        .join(top, ITEM, "left")
-        .join(_as_map(invoked), ITEM, "left")
         .select(
             *ITEM, "total_runs", "success_count", "failure_count", "in_progress_count", "success_rate_pct",
             "avg_duration_min", "p50_duration_min", "p95_duration_min", "min_duration_min", "max_duration_min",

@@ -89,7 +89,8 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
         .withColumn("_band", value_band(F.col("_v")))
         .repartition(*keys, "_band")  # shared by both branches below: planned once, reused
     )
-    bands = bucket_offsets(counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("n")), keys, "_band")
+    # the largest value is asked for so that both branches read all columns of one shuffle
+    bands = bucket_offsets(counts.groupBy(*keys, "_band").agg(F.sum("_n").alias("n"), F.max("_v").alias("_top")), keys, "_band")
 
     def rank(p: float, up: bool) -> Column:
         pos = F.lit(p) * (F.col("total") - 1)
@@ -102,7 +103,7 @@ def exact_quantiles(df: DataFrame, keys: Sequence[str], value: str, probs: Mappi
     for p in probs.values():
         for up in (False, True):
             wanted = wanted | inside(rank(p, up), F.col("before"), F.col("n"))
-    picked = counts.join(bands.where(wanted), [*keys, "_band"])
+    picked = counts.join(bands.where(wanted & F.col("_top").isNotNull()).drop("_top"), [*keys, "_band"])
     run = Window.partitionBy(*keys, "_band").orderBy("_v").rowsBetween(Window.unboundedPreceding, 0)
     placed = picked.withColumn("_start", F.col("before") + F.sum("_n").over(run) - F.col("_n"))
     aggs = []
@@ -167,7 +168,8 @@ def half_means(df: DataFrame, keys: Sequence[str], time: str, tie: str, value: s
         wide_sum(F.when(first, F.col("s"))).alias("s1"), wide_sum(F.when(second, F.col("s"))).alias("s2"),
         F.max(F.when(split, F.col("_minute"))).alias("_minute"), F.max(F.when(split, F.col("before"))).alias("before"),
     ), "halves")
-    straddling = rows.join(groups.select(*keys, "_minute", F.col("before").alias("_base"), "mid"), [*keys, "_minute"])
+    # one minute of each group, read again below: written, so that the rows are scanned twice in all
+    straddling = cut_lineage(rows.join(groups.select(*keys, "_minute", F.col("before").alias("_base"), "mid"), [*keys, "_minute"]), "straddling")
     instants = straddling.groupBy(*keys, time).agg(
         F.count(F.lit(1)).alias("n"), F.sum("_v").alias("s"), F.max("_base").alias("_base"), F.max("mid").alias("mid")).withColumn(
         "_second", F.floor(F.unix_micros(time) / F.lit(MICROS)))
