@@ -11,6 +11,7 @@ from lakeops.functions import constants as K
 from lakeops.functions import scalars as S
 from lakeops.operators.runs import top_n_per_group
 from lakeops.operators.skew import exact_quantiles
+from lakeops.session import cut_lineage
 
 
 def cold_cache_queries(log: DataFrame, threshold_mb: float = K.COLD_CACHE_MB, top: int = 20) -> DataFrame:
@@ -40,6 +41,7 @@ def _told(patterns: DataFrame, log: DataFrame) -> DataFrame:
     Only statements of picked patterns are looked at again; a text is read once per pattern, not carried by all.
     """
     keys = ["warehouse_name", "query_hash"]
+    patterns = cut_lineage(patterns, "patterns")  # a few rows per warehouse, found once
     own = log.join(patterns.select(*keys), keys, "left_semi")
     if "query_text" in log.columns:
         newest = own.groupBy(*keys).agg(F.max_by("query_text", F.struct("start_time", "statement_id")).alias("query_text"))

@@ -216,9 +216,12 @@ def trailing_counts(df: DataFrame, key: str, time: str, seconds: int, out: str)
         )).alias("p"),
     ).select(key, "_at", "p.call", "p.at", F.col("p.n").alias("_n"), F.floor(F.col("p.at") / F.lit(MICROS)).alias("_second"))
     sizes = points.groupBy(key, "_second").agg(F.sum("_n").alias("n")).withColumn("_minute", F.floor(F.col("_second") / 60))
-    minutes = bucket_offsets(sizes.groupBy(key, "_minute").agg(F.sum("n").alias("n")), [key], "_minute")
-    offsets = bucket_offsets(sizes, [key, "_minute"], "_second").join(
-        minutes.select(key, "_minute", F.col("before").alias("_base")), [key, "_minute"]).select(
+    def before(counts: DataFrame, within: Sequence[str], bucket: str, name: str) -> DataFrame:
+        earlier = Window.partitionBy(*within).orderBy(bucket).rowsBetween(Window.unboundedPreceding, -1)
+        return counts.withColumn(name, F.coalesce(F.sum("n").over(earlier), F.lit(0)))
+
+    minutes = before(sizes.groupBy(key, "_minute").agg(F.sum("n").alias("n")), [key], "_minute", "_base").drop("n")
+    offsets = before(sizes, [key, "_minute"], "_second", "before").join(minutes, [key, "_minute"]).select(
         key, "_second", (F.col("_base") + F.col("before")).alias("before"))
     # a window opening sorts before calls of the same instant, so it does not count them
     upto = Window.partitionBy(key, "_second").orderBy("at", "call").rowsBetween(Window.unboundedPreceding, 0)

@@ -22,7 +22,7 @@ from lakeops.session import scratch_path, small_frame
 
 #: the loyalty pattern reads customer names, the e-mail rule reads texts
 RULES = (
-    C.ClassificationRule("CUSTOMER_LOYALTY_ID", r"^Customer#[0-9]{9}$", r"(?i)loyalty.*id", 0.6),
+    C.ClassificationRule("CUSTOMER_LOYALTY_ID", r"^Customer#[0-9]{9}$", r"(?i)loyalty.*id", 0.6, "Customer#"),
     C.ClassificationRule("PERSONAL.EMAIL", C.PII_PATTERNS["email"], None, 0.005, "@"),
     C.ClassificationRule("HR_COMPENSATION", None, r"(?i)(salary|compensation|acctbal)", 0.8),
 )
