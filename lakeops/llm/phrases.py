@@ -23,11 +23,12 @@ from __future__ import annotations
 
 import zlib
 from collections.abc import Iterator
+from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute as pc
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from lakeops.llm import common
@@ -39,6 +40,8 @@ COVERED = 80
 #: Reported phrases a language.
 TOP = 2000
 SHARDS = 10
+#: Documents, and blocks, that one Arrow batch hands to Python: what JVM and worker hold of them at a time.
+BATCH_DOCUMENTS, BATCH_BLOCKS = 1200, 2
 #: Bits of the map of frequent phrases.
 BITS = 1 << 27
 #: Bytes of text coded in one block.
@@ -52,6 +55,18 @@ _WORD = ~_MARK
 _WORD[[0x20, 0x09]] = False
 
 
+@contextmanager
+def small_batches(spark: SparkSession, rows: int):
+    """Jobs run inside hand ``rows`` rows at a time to Python."""
+    key = "spark.sql.execution.arrow.maxRecordsPerBatch"
+    before = spark.conf.get(key)
+    spark.conf.set(key, str(rows))
+    try:
+        yield
+    finally:
+        spark.conf.set(key, before)
+
+
 def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shards: int = SHARDS) -> DataFrame:
     """Blocks of one language, written: lang, shard, n (words), dictionary (words) and codes (int32, -1 between pieces)."""
     docs = docs.select(F.coalesce("lang", F.lit("und")).alias("lang"), F.coalesce("text", F.lit("")).alias("text"))
@@ -77,7 +92,8 @@ def coded_blocks(docs: DataFrame, block_bytes: int = BLOCK_BYTES, shards: int =
                     pa.ListArray.from_arrays(pa.array([0, len(ids.dictionary)], pa.int32()), ids.dictionary.cast(pa.string())), pa.array([codes], pa.binary())],
                     names=["lang", "shard", "n", "dictionary", "codes"])
 
-    return common.cut(docs.mapInArrow(code, "lang string, shard int, n bigint, dictionary array<string>, codes binary"), "phrase-blocks")
+    with small_batches(docs.sparkSession, BATCH_DOCUMENTS):
+        return common.cut(docs.mapInArrow(code, "lang string, shard int, n bigint, dictionary array<string>, codes binary"), "phrase-blocks")
 
 
 def _words_array(joined: bytes, begin: np.ndarray) -> pa.Array:
@@ -165,7 +181,8 @@ def frequent(counts: DataFrame, shares: DataFrame, least: int = LEAST) -> DataFr
     )
     whole = local.groupBy("lang", "phrase").agg(
         F.sum("c").alias("a"), F.max(F.col("c") >= F.col("support")).alias("candidate"))
-    return common.cut(whole.where(F.col("candidate") & (F.col("a") >= least)).drop("candidate"), "frequent-phrases")
+    with small_batches(counts.sparkSession, BATCH_BLOCKS):
+        return common.cut(whole.where(F.col("candidate") & (F.col("a") >= least)).drop("candidate"), "frequent-phrases")
 
 
 def bitmap(found: DataFrame, bits: int = BITS) -> dict[int, bytes]:
