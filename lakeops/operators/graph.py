@@ -3,7 +3,7 @@
 Iterative operators write each round to the shared folder, so a lost executor
 costs one round at most and a plan holds one leaf per round. Trees double their
 pointers (log2(depth) rounds); closures join the newest level with the edges:
-broadcast while that level is small, else a shuffle whose hot nodes adaptive
+broadcast while that level has few rows, else a shuffle whose hot nodes adaptive
 execution splits.
 """
 
@@ -28,6 +28,8 @@ def lineage_edges(processes: DataFrame) -> DataFrame:
 
 #: Written levels that a round of the closure looks through before they are merged into one.
 LEVELS = 6
+#: Rows of a level that may be broadcast; what the driver gets of a round does not grow with the graph.
+SMALL_LEVEL = 16_384
 _PAIR = ("node", "reached")
 
 
@@ -48,7 +50,8 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
     without them it is all pairs, which suits small or shallow graphs only.
 
     Pairs of every level are kept in as many buckets as a shuffle has partitions. A round deals its new pairs into the
-    same buckets once; removing repeats and known pairs then needs no further shuffle, and what is known never moves.
+    same buckets once; removing repeats and known pairs then needs no further shuffle, and what is known never moves,
+    nor to the driver: buckets are merged, whatever their size. Only a level of up to ``SMALL_LEVEL`` rows is broadcast.
     Every ``LEVELS`` rounds the levels become one table.
     """
     a, b = ("src", "dst") if direction == "downstream" else ("dst", "src")
@@ -77,10 +80,11 @@ def lineage_closure(edges: DataFrame, direction: str = "downstream", max_distanc
                 merged, name, _, _ = _bucketed(reduce(DataFrame.unionByName, levels[:-1]).repartition(buckets, *_PAIR), buckets)
                 names.append(name)
                 levels = [merged, levels[-1]]
-            new = frontier.join(step, frontier["reached"] == step["_from"]).select(
+            near = F.broadcast(frontier) if rows <= SMALL_LEVEL else frontier.hint("merge")
+            new = near.join(step, near["reached"] == step["_from"]).select(
                 "node", F.col("_to").alias("reached")).where(F.col("node") != F.col("reached")).repartition(buckets, *_PAIR).dropDuplicates(_PAIR)
             for known in levels:
-                new = new.join(known.select(*_PAIR), list(_PAIR), "left_anti")
+                new = new.join(known.select(*_PAIR).hint("merge"), list(_PAIR), "left_anti")
             new = new.select(*_PAIR, F.lit(distance).alias("distance"))
     finally:
         for name in names:  # the files stay for the result, the names go

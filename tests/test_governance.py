@@ -201,6 +201,22 @@ def test_known_pairs_do_not_move(spark):
         spark.sql(f"drop table {name}")
 
 
+def test_closure_sends_no_level_through_the_driver(spark, monkeypatch):
+    plans, write = [], L._bucketed
+
+    def spy(pairs, buckets):
+        plans.append(pairs._jdf.queryExecution().executedPlan().toString())
+        return write(pairs, buckets)
+
+    monkeypatch.setattr(L, "_bucketed", spy)
+    monkeypatch.setattr(L, "SMALL_LEVEL", 2, raising=False)
+    e = spark.range(2, 41).selectExpr("id as src", "id div 2 as dst")
+    got = L.lineage_closure(e)
+    assert got.count() == sum(k.bit_length() - 1 for k in range(2, 41))
+    # buckets are merged, not sent to the driver; only a level of at most two rows may be
+    assert len(plans) == 6 and not any("Broadcast" in p for p in plans)
+
+
 def test_glossary_orphans_and_cycles(spark, rows):
     t = spark.createDataFrame([("root", None), ("kid", "root"), ("lost", "nowhere"), ("x", "y"), ("y", "x")], "term string, parent_term string")
     assert rows(L.glossary_tree(t), "term", "level", "orphan") == [
