@@ -17,6 +17,15 @@ from lakeops.sources.readers import read_file_listing
 DIGITS = 6
 #: Longer values are told apart by their SHA-256.
 KEPT_WHOLE = 64
+#: Floating values below this have a text of digits only, which never gets shorter away from zero.
+PLAIN = 1e31
+#: Instants whose year has four digits in any time zone.
+YEARS = ("0001-01-03T00:00:00Z", "9999-12-29T00:00:00Z")
+#: What a value is told apart by: one of the three is set.
+KEY = ["whole", "real", "text"]
+
+_WHOLE = (T.ByteType, T.ShortType, T.IntegerType, T.LongType)
+_REAL = (T.DoubleType, T.FloatType)
 
 
 def _nested(kind: T.DataType) -> bool:
@@ -37,23 +46,51 @@ def value_length(value: Column, kind: T.DataType) -> Column:
     return F.nullif(F.size(value), F.lit(-1)) if isinstance(kind, (T.ArrayType, T.MapType)) else F.length(value_text(value, kind))
 
 
-def value_key(value: Column, kind: T.DataType) -> Column:
-    """A text that is equal only for equal values; 0.0 and -0.0 are one."""
-    if isinstance(kind, (T.DoubleType, T.FloatType)):
-        value = F.when(value == 0, F.lit(0.0).cast(kind)).otherwise(value)
+def length_range(value: Column, kind: T.DataType) -> tuple[Column, Column]:
+    """Least and greatest :func:`value_length` as aggregates. Numbers become text only at the ends of their range, as a
+    number further from zero has no shorter text; instants are as long as their fraction."""
+    if isinstance(kind, _WHOLE + _REAL):
+        plain = F.abs(value) < PLAIN if isinstance(kind, _REAL) else F.lit(True)
+        up, down = F.when(plain & (value >= 0), value), F.when(plain & (value < 0), value)
+        shown = [value_length(end, kind) for end in (F.min(up), F.max(down), F.max(up), F.min(down))]
+        if isinstance(kind, _WHOLE):
+            return F.least(*shown[:2]), F.greatest(*shown[2:])
+        other = F.when(~plain, value_length(value, kind))
+        return F.least(*shown[:2], F.min(other)), F.greatest(*shown[2:], F.max(other))
+    length = value_length(value, kind)
+    if isinstance(kind, T.TimestampType):
+        micros, fraction = F.unix_micros(value), F.lit(26)
+        for digits in range(5, 0, -1):
+            fraction = F.when(micros % 10 ** (6 - digits) == 0, 20 + digits).otherwise(fraction)
+        first, last = (F.lit(t).cast(kind) for t in YEARS)
+        length = F.when(value.between(first, last), F.when(micros % 1_000_000 == 0, 19).otherwise(fraction)).otherwise(length)
+    return F.min(length), F.max(length)
+
+
+def value_key(value: Column, kind: T.DataType) -> dict[str, Column]:
+    """``KEY`` of a value, equal only for equal values; 0.0 and -0.0 are one, and so are all NaN (grouping sees to that)."""
+    key = {"whole": F.lit(None).cast("bigint"), "real": F.lit(None).cast("double"), "text": F.lit(None).cast("string")}
+    if isinstance(kind, _WHOLE):
+        return key | {"whole": value.cast("bigint")}
+    if isinstance(kind, T.TimestampType):
+        return key | {"whole": F.unix_micros(value)}
+    if isinstance(kind, _REAL):
+        return key | {"real": F.when(value == 0, F.lit(0.0)).otherwise(value.cast("double"))}
     text = F.to_json(F.struct(value.alias("v"))) if isinstance(kind, (T.MapType, T.StructType)) else value.cast("string")
     short = F.length(text) <= KEPT_WHOLE
-    return F.when(value.isNotNull(), F.when(short, F.concat(F.lit("="), text)).otherwise(F.concat(F.lit("#"), F.sha2(text, 256))))
+    return key | {"text": F.when(value.isNotNull(), F.when(short, F.concat(F.lit("="), text)).otherwise(F.concat(F.lit("#"), F.sha2(text, 256))))}
 
 
-def partial_stats(schema: T.StructType) -> list[Column]:
-    """Aggregates of one part of a table, in the columns' own types, that :func:`merged_stats` adds up."""
+def partial_stats(schema: T.StructType, fields: Sequence[int] | None = None) -> list[Column]:
+    """Aggregates of one part of a table (of some fields), in the columns' own types, that :func:`merged_stats` adds up."""
     out = [F.count(F.lit(1)).alias("_rows")]
     for i, f in enumerate(schema.fields):
+        if fields is not None and i not in fields:
+            continue
         c, kind = F.col(f"`{f.name}`"), f.dataType
-        length = value_length(c, kind)
+        least, most = length_range(c, kind)
         value = F.lit(None).cast("string") if _nested(kind) else c
-        out += [F.count(c).alias(f"_n{i}"), F.min(length).alias(f"_lo{i}"), F.max(length).alias(f"_hi{i}"), F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}")]
+        out += [F.count(c).alias(f"_n{i}"), least.alias(f"_lo{i}"), most.alias(f"_hi{i}"), F.min(value).alias(f"_min{i}"), F.max(value).alias(f"_max{i}")]
     return out
 
 
@@ -70,10 +107,10 @@ def merged_stats(parts: DataFrame, schema: T.StructType) -> DataFrame:
 
 
 def value_keys(df: DataFrame, by: Sequence[str] = ()) -> DataFrame:
-    """Distinct (``by``, ordinal, key) of all columns in one scan; tasks keep each value once before the shuffle."""
+    """Distinct (``by``, ordinal, ``KEY``) of all columns in one scan; tasks keep each value once before the shuffle."""
     fields = [f for f in df.schema.fields if f.name not in by]
-    keys = F.array(*[F.struct(F.lit(i).alias("ordinal"), value_key(F.col(f"`{f.name}`"), f.dataType).alias("key")) for i, f in enumerate(fields, 1)])
-    return df.select(*by, F.explode(keys).alias("k")).select(*by, "k.*").where(F.col("key").isNotNull()).distinct()
+    keys = [c for i, f in enumerate(fields, 1) for c in (F.lit(i), *value_key(F.col(f"`{f.name}`"), f.dataType).values())]
+    return df.select(*by, F.stack(F.lit(len(fields)), *keys).alias("ordinal", *KEY)).where(" or ".join(f"{k} is not null" for k in KEY)).distinct()
 
 
 def _profile(name: str, stats: DataFrame, keys: DataFrame) -> DataFrame:
@@ -93,6 +130,8 @@ def column_profile(name: str, df: DataFrame) -> DataFrame:
 # -- stored profiles ---------------------------------------------------------------------
 
 _FILE = ["_path", "_size", "_modified"]
+#: 128 bits that stand for a file next to its values, where its path would be longer than they are.
+_MARK = ["_mark", "_mark2"]
 
 
 def _listing(spark: SparkSession, path: str) -> DataFrame:
@@ -125,11 +164,17 @@ def refresh(spark: SparkSession, path: str, store: str, schema: T.StructType) ->
     if not paths:
         return 0
     source = F.col("_metadata")
-    named = _plain(F.url_decode(F.replace(source["file_path"], F.lit("+"), F.lit("%2B"))))
-    df = spark.read.schema(schema).parquet(*paths).select(
-        "*", named.alias("_path"), source["file_size"].alias("_size"), F.unix_millis(source["file_modification_time"]).alias("_modified"))
-    value_keys(df, _FILE).write.mode("append").parquet(f"{store}/values")
-    df.groupBy(*_FILE).agg(*partial_stats(schema)).write.mode("append").parquet(f"{store}/stats")
+    raw = [source["file_path"].alias("_raw"), source["file_size"].alias("_size"), source["file_modification_time"].alias("_time")]
+    marks = {"_mark": F.xxhash64("_raw", "_size", "_time"), "_mark2": F.xxhash64(F.lit("_"), "_raw", "_size", "_time")}
+    df = spark.read.schema(schema).parquet(*paths).select("*", *raw)
+    value_keys(df.withColumns(marks).select(*_MARK, *[f"`{f.name}`" for f in schema.fields]), _MARK).write.mode("append").parquet(f"{store}/values")
+    # extremes of texts make Spark sort the rows by file, so they are taken from narrow rows of their own
+    loose = [i for i, f in enumerate(schema.fields) if _nested(f.dataType) or isinstance(f.dataType, (T.StringType, T.BinaryType))]
+    stats = df.groupBy("_raw", "_size", "_time").agg(*partial_stats(schema, [i for i in range(len(schema.fields)) if i not in loose])).withColumns(marks)
+    if loose:
+        stats = stats.join(df.withColumns(marks).groupBy(*_MARK).agg(*partial_stats(schema, loose)).drop("_rows"), _MARK)
+    named = _plain(F.url_decode(F.replace("_raw", F.lit("+"), F.lit("%2B"))))
+    stats.withColumns({"_path": named, "_modified": F.unix_millis("_time")}).drop("_raw", "_time").write.mode("append").parquet(f"{store}/stats")
     new.where(F.col("_path").isin(paths)).write.mode("append").parquet(f"{store}/files")
     return len(paths)
 
@@ -138,8 +183,9 @@ def stored_profile(spark: SparkSession, name: str, path: str, store: str, schema
     """:func:`column_profile` of the table as :func:`refresh` last saw it; files that are gone do not count."""
     now = _listing(spark, path)
     # a file that was profiled twice (a run died before its mark) has equal rows twice
-    stats = spark.read.parquet(f"{store}/stats").dropDuplicates(_FILE).join(now, _FILE, "left_semi")
-    keys = spark.read.parquet(f"{store}/values").join(now, _FILE, "left_semi").select("ordinal", "key").distinct()
+    stats = spark.read.parquet(f"{store}/stats").join(now, _FILE, "left_semi")
+    keys = spark.read.parquet(f"{store}/values").join(stats.select(*_MARK), _MARK, "left_semi").select("ordinal", *KEY).distinct()
+    stats = stats.dropDuplicates(_FILE)
     return _profile(name, merged_stats(stats, schema), keys)
 
 
