@@ -9,6 +9,10 @@ tokens. The word's last symbol has its own form (``</w>``), so it is a leaf belo
 Documents are encoded where they lie, without a shuffle. Words seen before in a Python worker come from a table that
 is emptied at ``MEMO_WORDS`` words, so memory is bounded and results do not depend on it.
 
+``encode_arrays`` gives the same ids as arrays, for outputs that store them. The words between white space are found and
+told apart as whole Arrow columns; the distinct words of up to ``ROUNDS_BYTES`` bytes are merged together, one merge of each word
+a round, so the rounds are bounded; longer words go through the trie. It keeps no table from one batch to the next.
+
 Cases: a null text is empty and has no tokens; strings of special tokens in a text are those tokens, as in the
 tokenizer file; very long texts and words are worked on whole; rows are independent of each other.
 """
@@ -20,7 +24,9 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from itertools import chain
 
+import numpy as np
 import pyarrow as pa
 import regex
 from pyspark.sql import DataFrame
@@ -33,11 +39,51 @@ MEMO_WORDS = 400_000
 MEMO_CHARS = 64
 #: Bytes of text whose distinct words make one trie.
 TRIE_BYTES = 8 << 20
+#: Bytes of a word up to which ``encode_arrays`` merges it in rounds with all others.
+ROUNDS_BYTES = 64
 
 _SEPARATORS = regex.compile("[\x1c-\x1f]")
 _SPACE = regex.compile(r"\S+")
 
 
+def _gather(flat: np.ndarray, starts: np.ndarray, sizes: np.ndarray) -> np.ndarray:
+    """The pieces ``flat[start:start + size]`` end to end."""
+    ends = np.cumsum(sizes)
+    return flat[np.repeat(starts - (ends - sizes), sizes) + np.arange(ends[-1] if len(ends) else 0)]
+
+
+class PairRanks:
+    """Ranks of pairs of tokens for whole arrays: a hash table with linear probing; pairs without a merge get ``NONE``."""
+
+    NONE = np.iinfo(np.int32).max
+
+    def __init__(self, merge: dict[tuple[int, int], int]):
+        bits = max(4, (4 * len(merge)).bit_length())
+        self.shift, self.last = np.uint64(64 - bits), (1 << bits) - 1
+        self.keys, self.ranks = np.full(1 << bits, -1, np.int64), np.full(1 << bits, self.NONE, np.int32)
+        for (a, b), rank in merge.items():
+            key = a << 32 | b
+            at = (key * 0x9E3779B97F4A7C15 & (1 << 64) - 1) >> int(self.shift)
+            while self.keys[at] >= 0:
+                at = at + 1 & self.last
+            self.keys[at], self.ranks[at] = key, rank
+
+    def of(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        key = a.astype(np.int64) << 32 | b
+        at = (key.view(np.uint64) * np.uint64(0x9E3779B97F4A7C15) >> self.shift).astype(np.int64)
+        out, found = self.ranks[at], self.keys[at]
+        pending = np.flatnonzero(found != key)
+        out[pending] = self.NONE
+        pending = pending[found[pending] >= 0]
+        while len(pending):
+            at[pending] = at[pending] + 1 & self.last
+            found = self.keys[at[pending]]
+            hit = found == key[pending]
+            out[pending[hit]] = self.ranks[at[pending[hit]]]
+            pending = pending[(found >= 0) & ~hit]
+        return out
+
+
 def byte_letters() -> list[str]:
     """The printable letter that stands for each byte in byte-level vocabularies: itself, or the next from U+0100."""
     shown = [*range(0x21, 0x7F), *range(0xA1, 0xAD), *range(0xAE, 0x100)]
@@ -78,6 +124,10 @@ class WordBpe:
         self.sizes: dict[int, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.memo: dict[str | int, tuple[int, ...]] = {}
+        # for whole arrays: ranks of pairs, what each merge makes, the tokens of single bytes inside (0) and at the end (1) of a word
+        self.ranks = PairRanks(self.merge)
+        self.made = np.array([self.tokens[a + b] for a, b in pairs], np.int32)
+        self.symbols = np.array([[self.tokens.get(x + e, -1) for x in self.letters] for e in ("", self.suffix)], np.int32)
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at a token's outer edge (0: left, 1: right) from symbol to token, each with the rank that ends it."""
@@ -243,6 +293,112 @@ class WordBpe:
         for found in chunks:
             yield [table[c] for c in found]
 
+    def marked(self, text: str) -> bytes:
+        """The text with ASCII white space only; a special token is a word of 0xFF, which no text holds, and its id."""
+        if self.special_pattern is not None and "<|" in text:
+            return b" ".join([c.encode() if isinstance(c, str) else b"\xff%d" % c for c in self.chunks(text)])
+        return text.lower().encode() if text.isascii() else " ".join(self.split(text)).encode()
+
+    def encode_arrays(self, texts: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(ids of all texts end to end, where each text's ids begin and end)."""
+        rows = [self.marked(t) for t in texts]
+        data = np.frombuffer(b" ".join([*rows, b""]), np.uint8)
+        inside = common.NOT_SPACE[data]
+        after = np.zeros(len(data), bool)
+        after[1:] = inside[:-1] & ~inside[1:]
+        before = np.searchsorted(np.flatnonzero(after), np.cumsum([0, *[len(r) + 1 for r in rows]]))
+        # every chunk with one space behind it
+        letters = np.where(inside, data, np.uint8(0x20))[inside | after]
+        offsets = np.concatenate(([0], np.flatnonzero(letters == 0x20) + 1)).astype(np.int32)
+        chunks = pa.Array.from_buffers(pa.binary(), len(offsets) - 1, [None, pa.py_buffer(offsets), pa.py_buffer(letters)]).dictionary_encode()
+        flat, first, size = self.encode_chunks(*common.raw_bytes_of(chunks.dictionary))
+        where = chunks.indices.to_numpy()
+        sizes = size[where]
+        return _gather(flat, first[where], sizes), np.concatenate(([0], np.cumsum(sizes)))[before]
+
+    def encode_chunks(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, how many) of distinct chunks, each with a space behind it."""
+        special = np.flatnonzero(data[offsets[:-1]] == 0xFF)
+        named = np.array([int(data[offsets[k] + 1:offsets[k + 1]].tobytes()) for k in special], np.int32)
+        if len(special):
+            plain = np.ones(len(data), bool)
+            for k in special:
+                plain[offsets[k]:offsets[k + 1] - 1] = False
+            data, offsets = data[plain], np.concatenate(([0], np.cumsum(plain)))[offsets]
+        text = data.tobytes().decode()
+        found = self.pattern.findall(text)
+        data, borders = data[data != 0x20], offsets - np.arange(len(offsets))
+        # the words of all chunks are all of their letters, unless the pattern leaves some out
+        letters = np.append(np.flatnonzero(data & 0xC0 != 0x80), len(data))
+        ends = np.cumsum(np.fromiter(chain((0,), map(len, found)), np.int64, len(found) + 1))
+        if ends[-1] == len(letters) - 1:
+            ends = letters[ends]
+            at = np.searchsorted(ends, borders)
+            words = pa.Array.from_buffers(pa.string(), len(found), [None, pa.py_buffer(ends.astype(np.int32)), pa.py_buffer(data)])
+        else:
+            by_chunk = [self.pattern.findall(c) for c in text.split(" ")[:-1]]
+            words, at = pa.array(chain.from_iterable(by_chunk), pa.string()), np.cumsum([0, *map(len, by_chunk)])
+        words = words.dictionary_encode()
+        flat, first, size = self.merge_words(words.dictionary)
+        where = words.indices.to_numpy()
+        sizes = size[where]
+        ids, begin = _gather(flat, first[where], sizes), np.concatenate(([0], np.cumsum(sizes)))[at]
+        first, size = begin[:-1], np.diff(begin)
+        first[special], size[special] = len(ids) + np.arange(len(special)), 1
+        return np.concatenate((ids, named)), first, size
+
+    def merge_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(ids, first, how many) of distinct words: in each round every word makes its lowest merge, from left to right."""
+        data, offsets = common.raw_bytes_of(words)
+        length = np.diff(offsets)
+        long = np.flatnonzero(length > ROUNDS_BYTES)
+        texts = words.take(pa.array(long)).to_pylist()
+        known = self.encode_words(texts)
+        size = np.zeros(len(length), np.int64)
+        size[long] = [len(known[t]) for t in texts]
+        done, order = [np.array([i for t in texts for i in known[t]], np.int32)], [long]
+
+        final = np.zeros(len(data), np.int8)
+        final[offsets[1:] - 1] = 1
+        of = np.repeat(np.arange(len(length), dtype=np.int32), length)
+        short = length[of] <= ROUNDS_BYTES
+        token, of = self.symbols[final, data][short], of[short]
+        if (token < 0).any():
+            raise ValueError("no token for a byte")
+        rank = np.full(len(token), PairRanks.NONE, np.int32)
+        inner = np.flatnonzero(of[1:] == of[:-1])
+        rank[inner] = self.ranks.of(token[inner], token[inner + 1])
+        while len(token):
+            starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
+            many = np.diff(starts, append=len(token))
+            lowest = np.minimum.reduceat(rank, starts)
+            ready = lowest == PairRanks.NONE
+            lowest[ready] = -1
+            at = np.flatnonzero(rank == np.repeat(lowest, many))
+            # of pairs that overlap (a token twice) the first, third, ... of each run is made
+            run = np.flatnonzero(np.diff(at, prepend=-2) != 1)
+            place = np.arange(len(at)) - np.repeat(run, np.diff(run, append=len(at)))
+            at = at[place % 2 == 0]
+            keep, near = np.ones(len(token), bool), np.zeros(len(token) + 1, bool)
+            if ready.any():
+                finished = np.repeat(ready, many)
+                done.append(token[finished])
+                order.append(of[starts[ready]])
+                size[order[-1]] = many[ready]
+                keep = ~finished
+            token[at] = self.made[rank[at]]
+            rank[at] = rank[at + 1]
+            keep[at + 1] = False
+            near[at], near[at - 1] = True, True
+            token, of, rank, near = token[keep], of[keep], rank[keep], near[:-1][keep]
+            # pairs on both sides of what was made
+            changed = np.flatnonzero(near[:-1] & (of[1:] == of[:-1]))
+            rank[changed] = self.ranks.of(token[changed], token[changed + 1])
+        order = np.concatenate(order)
+        first = np.zeros(len(length), np.int64)
+        first[order] = np.cumsum(size[order]) - size[order]
+        return np.concatenate(done), first, size
+
     def decode(self, ids: list[int]) -> str:
         """The tokens' strings joined by single spaces (the file names no decoder)."""
         return " ".join([self.names[i] for i in ids if i in self.names])

@@ -6,17 +6,21 @@ import math
 import random
 import re
 import zlib
+from pathlib import Path
+from urllib.parse import urlsplit
 
 import numpy as np
 import pytest
+import regex
 import xxhash
 from pyspark.sql import functions as F
 from tokenizers import Tokenizer
 
 import __spark_entry__ as entry
 import corpus_pipeline
-from lakeops.llm import ann, bpe, common, decontam, lang_id, lm_score, quality, secret_scan, sharding, simhash, token_output
+from lakeops.llm import ann, bitcode, bpe, common, decontam, lang_id, lm_score, quality, secret_scan, sharding, simhash, token_output
 from lakeops.llm.queries import QUERIES, TOKENIZER, table
+from lakeops.session import shared_root
 
 ROOT = "/root/testdata/sf0.001"
 SPACE = re.compile(r"[^\x20\x09-\x0D]+")
@@ -172,6 +176,22 @@ def test_bpe_on_odd_strings():
     assert [[i for p in d for i in p] for d in own.encode_batch(texts)] == [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
 
 
+def test_bpe_arrays_equal_the_library():
+    plain, own, rnd = Tokenizer.from_file(TOKENIZER), bpe.WordBpe(TOKENIZER), random.Random(2)
+    texts = ["", " ", "<|endoftext|>", "x<|endoftext|>y <|startoftext|>", "<|ENDOFTEXT|> a", "don't we'll I'D", "a" * 850, "ab" * 32, "ab" * 33, "z" * 64, "z" * 65, "\x00a\x7f", "\x1c a\x1db", "\u3000a\u2028b\xa0"]
+    for _ in range(1500):
+        texts.append("".join(rnd.choice("aabcdeinothrs'  ΣİÉé\x1c\x85 \u3000123٣中😀-!?<|_") for _ in range(rnd.randrange(60))))
+        texts.append("".join(rnd.choice(["a", "aa", "in", "th", "the", "er", "on", "re", "nd", "ing"]) for _ in range(rnd.randrange(1, 12))))
+        texts.append("".join(rnd.choice("aab") for _ in range(rnd.randrange(1, 70))))
+    want = [e.ids for e in plain.encode_batch(texts, add_special_tokens=False)]
+    for part in (slice(None), slice(0, 2), slice(2, 3), slice(0, 0), slice(7, 9)):
+        ids, at = own.encode_arrays(texts[part])
+        assert [ids[a:b].tolist() for a, b in zip(at[:-1], at[1:], strict=True)] == want[part]
+    # a pattern that leaves digits out
+    own.pattern = regex.compile(r"[\p{L}]+")
+    assert own.encode_arrays(["ab 1 c2d", "34"])[0].tolist() == own.encode_arrays(["ab c d"])[0].tolist()
+
+
 # 5 ------------------------------------------------------------------------------------------------------------------
 
 ASSIGN = re.compile(r"""(?i:(password|passwd|secret|token|api_?key))["']?\x20*[:=]\x20*["']?([A-Za-z0-9+/_.=-]+)""", re.A)
@@ -238,6 +258,32 @@ def test_permutation():
     assert (token_output.permute(np.arange(1000), 1000) != token_output.permute(np.arange(1000), 1000, key=9)).any()
 
 
+def test_bit_code():
+    rnd = np.random.default_rng(1)
+    for counts in ([0, 5], [1], [1] * 300, [0, 7, 0, 1, 1], [2**k for k in range(60)], [3] * 70_000):
+        code = bitcode.BitCode(np.array(counts), np.arange(len(counts)) * 2 + 1)
+        symbols = rnd.permutation(np.repeat(np.flatnonzero(counts), 3))
+        sizes = np.diff(np.unique(np.cumsum([0, *rnd.integers(1, 13, len(symbols))]).clip(max=len(symbols))))
+        data, offsets = code.pack(symbols, sizes)
+        got = code.unpack(data, offsets, sizes, np.full((len(sizes), 12), -1, np.int32))
+        inside = np.arange(12) < sizes[:, None]
+        assert (got[inside] == symbols * 2 + 1).all() and (got[~inside] == -1).all()
+        assert code.length.max() <= code.longest <= 18
+
+
+def test_token_ids_are_kept_and_sent_in_few_bits(spark, tmp_path):
+    docs, scratch = table(spark, "/root/testdata/sf0.01", "documents"), Path(urlsplit(shared_root(spark)).path)
+    before = set(scratch.glob("token-ids-*"))
+    rows = token_output.materialise(docs, str(tmp_path / "out"), tokenizer=TOKENIZER)
+    [stored] = set(scratch.glob("token-ids-*")) - before
+    kept = spark.read.parquet(str(stored))
+    flat = np.concatenate([np.frombuffer(r.ids, "<u2") for r in kept.collect()])
+    assert rows.agg(F.sum("n_tokens")).first()[0] == len(flat) + kept.count() and len(flat) > 500_000
+    assert sum(p.stat().st_size for p in stored.glob("*.parquet")) < 0.65 * flat.nbytes
+    packed, _ = token_output._code(kept, flat.dtype, kept.count()).pack(flat, np.diff(np.append(np.arange(0, len(flat), 512), len(flat))))
+    assert len(packed) < 0.55 * flat.nbytes
+
+
 def test_token_output(spark, edge, tmp_path):
     edge.repartition(3).write.parquet(str(tmp_path / "docs"))
     for k, docs in enumerate((table(spark, ROOT, "documents"), spark.read.parquet(str(tmp_path / "docs")))):
