@@ -5,7 +5,7 @@ little in a sequence of a few hundred ids. Every sequence begins at a byte. Read
 one id of each at a time, with one table lookup for an id of any length.
 
 Cases: a single symbol has a code of one bit; symbols that never occur have no code; a code is no longer than ``LONGEST`` bits, or than
-twice as many codes need.
+twice as many codes need; up to 2^23 symbols, as a code and the 7 bits before it must fit in 32.
 """
 
 from __future__ import annotations

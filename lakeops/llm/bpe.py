@@ -24,6 +24,7 @@ import hashlib
 import json
 import unicodedata
 from collections.abc import Iterator
+from functools import cached_property
 from itertools import chain
 
 import numpy as np
@@ -124,10 +125,6 @@ class WordBpe:
         self.sizes: dict[int, int] = {}
         self.words: dict[str, tuple[int, ...]] = {}
         self.memo: dict[str | int, tuple[int, ...]] = {}
-        # for whole arrays: ranks of pairs, what each merge makes, the tokens of single bytes inside (0) and at the end (1) of a word
-        self.ranks = PairRanks(self.merge)
-        self.made = np.array([self.tokens[a + b] for a, b in pairs], np.int32)
-        self.symbols = np.array([[self.tokens.get(x + e, -1) for x in self.letters] for e in ("", self.suffix)], np.int32)
 
     def edge(self, token: int, side: int) -> list[tuple[int, float]]:
         """Tokens at a token's outer edge (0: left, 1: right) from symbol to token, each with the rank that ends it."""
@@ -347,8 +344,17 @@ class WordBpe:
         first[special], size[special] = len(ids) + np.arange(len(special)), 1
         return np.concatenate((ids, named)), first, size
 
+    @cached_property
+    def arrays(self) -> tuple[PairRanks, np.ndarray, np.ndarray]:
+        """Ranks of pairs, the token that each merge makes, the tokens of single bytes inside (0) and at the end (1) of a word."""
+        pairs = sorted(self.merge, key=self.merge.get)
+        made = np.array([self.tokens[self.names[a] + self.names[b]] for a, b in pairs], np.int32)
+        symbols = np.array([[self.tokens.get(x + e, -1) for x in self.letters] for e in ("", self.suffix)], np.int32)
+        return PairRanks({pair: k for k, pair in enumerate(pairs)}), made, symbols
+
     def merge_words(self, words: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
         """(ids, first, how many) of distinct words: in each round every word makes its lowest merge, from left to right."""
+        ranks, made, symbols = self.arrays
         data, offsets = common.raw_bytes_of(words)
         length = np.diff(offsets)
         long = np.flatnonzero(length > ROUNDS_BYTES)
@@ -362,12 +368,12 @@ class WordBpe:
         final[offsets[1:] - 1] = 1
         of = np.repeat(np.arange(len(length), dtype=np.int32), length)
         short = length[of] <= ROUNDS_BYTES
-        token, of = self.symbols[final, data][short], of[short]
+        token, of = symbols[final, data][short], of[short]
         if (token < 0).any():
             raise ValueError("no token for a byte")
         rank = np.full(len(token), PairRanks.NONE, np.int32)
         inner = np.flatnonzero(of[1:] == of[:-1])
-        rank[inner] = self.ranks.of(token[inner], token[inner + 1])
+        rank[inner] = ranks.of(token[inner], token[inner + 1])
         while len(token):
             starts = np.concatenate(([0], np.flatnonzero(of[1:] != of[:-1]) + 1))
             many = np.diff(starts, append=len(token))
@@ -386,14 +392,14 @@ class WordBpe:
                 order.append(of[starts[ready]])
                 size[order[-1]] = many[ready]
                 keep = ~finished
-            token[at] = self.made[rank[at]]
+            token[at] = made[rank[at]]
             rank[at] = rank[at + 1]
             keep[at + 1] = False
             near[at], near[at - 1] = True, True
             token, of, rank, near = token[keep], of[keep], rank[keep], near[:-1][keep]
             # pairs on both sides of what was made
             changed = np.flatnonzero(near[:-1] & (of[1:] == of[:-1]))
-            rank[changed] = self.ranks.of(token[changed], token[changed + 1])
+            rank[changed] = ranks.of(token[changed], token[changed + 1])
         order = np.concatenate(order)
         first = np.zeros(len(length), np.int64)
         first[order] = np.cumsum(size[order]) - size[order]
