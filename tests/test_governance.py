@@ -164,6 +164,14 @@ def test_closure_from_seeds_keeps_their_pairs_only(spark, rows):
     assert rows(L.lineage_closure(e, "upstream", seeds=seeds), "node", "reached") == []
 
 
+def test_registered_closure_starts_at_every_node(spark, rows, tmp_path):
+    spark.range(9).selectExpr("id as c_custkey", "'' as c_name", "0 as c_nationkey", "0d as c_acctbal", "'' as c_mktsegment").write.parquet(str(tmp_path / "customer.parquet"))
+    spark.sql("select 1L as o_orderkey, 8L as o_custkey").write.parquet(str(tmp_path / "orders.parquet"))
+    # a node that no order names has its pairs as well
+    want = [(k, k // 3, 1) for k in range(1, 9)] + [(k, k // 9, 2) for k in range(3, 9)]
+    assert rows(QUERIES["lineage_closure"](spark, str(tmp_path)), "node", "reached", "distance") == sorted(want, key=lambda r: tuple(map(str, r)))
+
+
 def test_closure_of_random_graphs_over_merged_levels(spark, monkeypatch, rows):
     import random
 
