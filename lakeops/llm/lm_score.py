@@ -1,16 +1,19 @@
-"""Language-model scoring: a log-frequency Bloom filter holds quantised n-gram counts and is broadcast to the workers.
+"""Language-model scoring: a log-frequency Bloom filter holds quantised n-gram counts, each worker that part it probes.
 
 A count c is stored as its level, 1 + floor(log_1.5 c): an n-gram is put in once for each level up to its own, and its
 level is read back by probing level after level until one is missing. Words and pairs of neighbouring words are held.
 A text's probability interpolates both: P(w|v) = a * c(v,w)/c(v) + (1-a) * (c(w)+1)/(N+V+1), with one weight ``a`` per
 level of c(v), fitted by expectation maximisation on all training texts with each pair's own occurrence left out.
 
-* Counting: every task counts its n-grams by 64-bit fingerprint, packs them by segment (fingerprint modulo the number
-  of segments, which follows the input), and each segment is summed in one task. Fingerprints spread evenly, and a
-  frequent n-gram is one number per task, so there are no hot groups.
+* Packing: the texts are read once into packs of about a million tokens, each a row of its words' 64-bit fingerprints
+  and of every token's place among them. What follows reads packs, not texts.
+* Counting and probing: a pack's different n-grams travel once, with how often training texts hold them, to the
+  segments (fingerprint modulo the number of segments, which follows the input). A segment is one task: it adds the
+  counts up, builds its part of the filter, probes it for all that it was sent and answers each pack. Fingerprints
+  spread evenly, and a frequent n-gram is one number per pack, so there are no hot groups.
+* A pack and its answers meet by the pack's number. So every n-gram of a pack is sent once and answered once: what is
+  written and what is done grow as the input does, at any size, and no part of the model passes through the driver.
 * Word counts stay exact beside the filter; they give the base score and the counts N and V.
-* The model is broadcast in rounds of at most ``round_bytes`` of segments. A model below that needs one round; a larger
-  one takes several passes, each adding what its segments know to every text. Nothing is dropped at any size.
 
 Words are told apart by 64-bit fingerprints: among V different words some two share one with a chance of about
 V * V / 2^65 (10 million words: 1 in 370,000), which would add their counts up.
@@ -26,6 +29,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -34,21 +38,23 @@ from lakeops.llm import common
 FOLDS, HELD_OUT = 7, 2
 #: Text bytes per segment of the model.
 SEGMENT_BYTES = 16 << 20
-#: Bytes of the model that are broadcast at once.
+#: Bytes of work arrays that a task gathers in a round before it packs them, and how many a token takes.
 ROUND_BYTES = 96 << 20
+TOKEN_BYTES = 96
+#: Packs in one file, so that a reader's batch of rows stays small.
+FILE_PACKS = 16
 #: Filter bits per entry, and bits set by each entry (all in one 64-bit word of the filter).
 BITS_PER_ENTRY, BITS_SET = 12, 4
 #: A level's counts grow by this factor.
 LEVEL_BASE = 1.5
 LEVELS = 64
-#: N-grams a task gathers before it packs them.
-PACK = 1_000_000
 
 _END = common.mix(np.array([0xE0D], np.uint64))[0]
 _START = common.mix(np.array([0x57A87], np.uint64))[0]
 _PAIR = np.uint64(0xD6E8FEB86659FD93)
-_PACKED = "segment int, pair boolean, keys binary, counts binary"
-_PART = "segment int, n_tokens bigint, n_words bigint, word_keys binary, word_counts binary, bits binary"
+_SENT = "segment int, pack bigint, words binary, word_counts binary, pairs binary, pair_counts binary"
+_ANSWER = "segment int, pack bigint, n_tokens bigint, n_words bigint, word_levels binary, word_counts binary, pair_levels binary"
+_ZSTD = {"compression": "zstd"}
 
 #: First count of each level, and the mean count of a level.
 _FIRST = np.ceil(LEVEL_BASE ** np.arange(LEVELS + 1) - 1e-9)
@@ -60,8 +66,8 @@ def levels_of(counts: np.ndarray) -> np.ndarray:
     return np.minimum(np.searchsorted(_FIRST, counts, side="right"), LEVELS)
 
 
-def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
-    """(words with one end per text, pairs with the word before, where each text begins) as fingerprints."""
+def _words(column: pa.Array) -> tuple[np.ndarray, np.ndarray]:
+    """(words with one end per text as fingerprints, how many each text has)."""
     data, offsets = common.bytes_of(column)
     starts, ends, at = common.words_of(data, offsets, common.NOT_SPACE)
     n = len(offsets) - 1
@@ -70,10 +76,15 @@ def _grams(column: pa.Array) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
     inside = np.ones(len(words), bool)
     inside[begin[1:] - 1] = False
     words[inside] = common.fingerprints(data, starts, ends)
+    return words, np.diff(begin)
+
+
+def _pairs(words: np.ndarray, lengths: np.ndarray) -> np.ndarray:
+    """Pairs with the word before as fingerprints."""
     before = np.empty_like(words)
     before[1:] = words[:-1]
-    before[begin[:-1]] = _START
-    return words, common.mix(before * _PAIR + words), begin
+    before[np.cumsum(lengths) - lengths] = _START
+    return common.mix(before * _PAIR + words)
 
 
 def _count(arrays: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.ndarray]:
@@ -84,65 +95,105 @@ def _count(arrays: list[tuple[np.ndarray, np.ndarray]]) -> tuple[np.ndarray, np.
     return keys[first], np.add.reduceat(counts, first, dtype=np.int64) if len(first) else counts.astype(np.int64)
 
 
-def _counter(segments: int):
+def _packer(tokens: int):
+    """Packs of at least ``tokens`` tokens (a task's last may have fewer)."""
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        held: dict[bool, list] = {False: [], True: []}
-        size = 0
+        held: list[tuple] = []
 
         def pack():
-            for pair, arrays in held.items():
-                if not arrays:
-                    continue
-                keys, counts = _count([(np.concatenate(arrays), np.ones(sum(map(len, arrays)), np.int64))])
-                where = (keys % np.uint64(segments)).astype(np.int64)
-                order = np.argsort(where, kind="stable")
-                cuts = np.searchsorted(where[order], np.arange(segments + 1))
-                keys, counts = keys[order], counts[order].astype(np.uint32)
-                some = [s for s in range(segments) if cuts[s + 1] > cuts[s]]
-                yield pa.RecordBatch.from_arrays([
-                    pa.array(some, pa.int32()), pa.array([pair] * len(some)), pa.array([keys[cuts[s]:cuts[s + 1]].tobytes() for s in some], pa.binary()),
-                    pa.array([_narrow(counts[cuts[s]:cuts[s + 1]]) for s in some], pa.binary())], names=["segment", "pair", "keys", "counts"])
-                held[pair] = []
+            ids, flags = (pa.concat_arrays([h[k] for h in held]) for k in (0, 1))
+            distinct, at = np.unique(np.concatenate([h[2] for h in held]), return_inverse=True)
+            whole = pa.array([0, len(ids)], pa.int32())
+            arrays = [pa.ListArray.from_arrays(whole, ids), pa.ListArray.from_arrays(whole, flags)]
+            arrays += [pa.array([x.tobytes()], pa.binary()) for x in (np.concatenate([h[3] for h in held]).astype(np.int64), distinct, at.astype(np.uint16 if len(distinct) <= 1 << 16 else np.uint32))]
+            held.clear()
+            return pa.RecordBatch.from_arrays(arrays, names=["doc_ids", "held_out", "lengths", "words", "tokens"])
 
         for batch in common.runs(batches, "text"):
-            words, pairs, _ = _grams(batch.column("text"))
-            held[False].append(words)
-            held[True].append(pairs)
-            size += len(words)
-            if size >= PACK:
-                yield from pack()
-                size = 0
-        yield from pack()
+            held.append((batch.column("doc_id"), batch.column("held_out"), *_words(batch.column("text"))))
+            if sum(len(h[2]) for h in held) >= tokens:
+                yield pack()
+        if held:
+            yield pack()
 
     return work
 
 
-def _narrow(counts: np.ndarray) -> bytes:
-    """Counts as bytes, in one byte each where all fit."""
-    return counts.astype(np.uint8 if counts.max() < 256 else np.uint32).tobytes()
+class Pack:
+    """A row of the packs: its different words and pairs, and where each token's are among them."""
+
+    def __init__(self, table: pa.RecordBatch | pa.Table, row: int):
+        one = {name: table.column(name)[row] for name in table.schema.names}
+        self.number, self.ids, self.held_out = one["pack"].as_py(), one["doc_ids"].values, one["held_out"].values
+        lengths, words, tokens = (one[name].as_buffer() for name in ("lengths", "words", "tokens"))
+        self.lengths, self.words = np.frombuffer(lengths, np.int64), np.frombuffer(words, np.uint64)
+        self.word_at = np.frombuffer(tokens, np.uint16 if len(self.words) <= 1 << 16 else np.uint32)
+        self.pairs, self.pair_at = np.unique(_pairs(self.words[self.word_at], self.lengths), return_inverse=True)
+
+
+def _by_segment(keys: np.ndarray, segments: int) -> tuple[np.ndarray, np.ndarray]:
+    """(order of the keys by segment, where each segment begins and the last one ends)."""
+    # two bytes are sorted by radix, in linear time
+    where = (keys % np.uint64(segments)).astype(np.uint16 if segments <= 1 << 16 else np.int64)
+    order = np.argsort(where, kind="stable")
+    return order, np.searchsorted(where[order], np.arange(segments + 1))
+
+
+def _cut_up(values: np.ndarray, cuts: np.ndarray) -> pa.Array:
+    """The bytes of ``values`` between each two cuts."""
+    return pa.Array.from_buffers(pa.binary(), len(cuts) - 1, [None, pa.py_buffer((cuts * values.itemsize).astype(np.int32)), pa.py_buffer(values)])
+
+
+def _sender(segments: int):
+    """A pack's words and pairs by segment, each with its count in the pack's training texts (0 where only others hold it)."""
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        for batch in batches:
+            for row in range(batch.num_rows):
+                pack = Pack(batch, row)
+                train = np.repeat(~pack.held_out.to_numpy(zero_copy_only=False), pack.lengths)
+                columns = []
+                for keys, at in ((pack.words, pack.word_at), (pack.pairs, pack.pair_at)):
+                    order, cuts = _by_segment(keys, segments)
+                    columns += [_cut_up(keys[order], cuts), _cut_up(_narrow(np.bincount(at[train], minlength=len(keys))[order]), cuts)]
+                sent = pa.RecordBatch.from_arrays([pa.array(np.arange(segments, dtype=np.int32)), pa.array(np.full(segments, pack.number)), *columns], names=["segment", "pack", "words", "word_counts", "pairs", "pair_counts"])
+                yield sent.filter(pc.or_(pc.greater(pc.binary_length(columns[0]), 0), pc.greater(pc.binary_length(columns[2]), 0)))
+
+    return work
+
+
+def _narrow(counts: np.ndarray) -> np.ndarray:
+    """Counts in one byte each where all fit."""
+    return counts.astype(np.uint8 if counts.max(initial=0) < 256 else np.uint32)
 
 
 def _widen(counts: pa.Buffer, n: int) -> np.ndarray:
     return np.frombuffer(counts, np.uint8 if len(counts) == n else np.uint32).astype(np.uint32)
 
 
-def _sum_segment(segments: int):
+def _answer(segments: int):
+    """A segment's answers: the levels of what each pack has sent, in its order, and the exact counts of the words."""
     def work(table: pa.Table) -> pa.Table:
-        kinds = table["pair"].to_pylist()
-        found = {}
-        for pair in (False, True):
+        segment, found, sizes = table["segment"][0].as_py(), {}, {}
+        for kind in ("word", "pair"):
             # keys are views of the Arrow buffers; counts stay 32 bits wide until they are added
-            own = [np.frombuffer(k.as_buffer(), np.uint64) for p, k in zip(kinds, table["keys"], strict=True) if p == pair]
-            numbers = [c.as_buffer() for p, c in zip(kinds, table["counts"], strict=True) if p == pair]
-            arrays = [(k, _widen(c, len(k))) for k, c in zip(own, numbers, strict=True)]
-            found[pair] = _count(arrays or [(np.zeros(0, np.uint64), np.zeros(0, np.uint32))])
-            del arrays
-        (words, word_counts), (pairs, pair_counts) = found[False], found[True]
-        bits = build_filter([(words, levels_of(word_counts)), (pairs, levels_of(pair_counts))])
+            sent = [np.frombuffer(k.as_buffer(), np.uint64) for k in table[f"{kind}s"]]
+            numbers = [_widen(c.as_buffer(), len(k)) for k, c in zip(sent, table[f"{kind}_counts"], strict=True)]
+            sizes[kind] = np.concatenate(([0], np.cumsum([len(k) for k in sent])))
+            found[kind] = (*_count(list(zip(sent, numbers, strict=True))), sent)
+            del numbers
+        grams = [(keys[counts > 0], counts[counts > 0]) for keys, counts, _ in found.values()]
+        bits = build_filter([(keys, levels_of(counts)) for keys, counts in grams])
+        known = Model(segments, {segment: (*grams[0], bits)})
+        answers = {}
+        for kind, (keys, counts, sent) in found.items():
+            at = np.searchsorted(keys, np.concatenate(sent))
+            answers[f"{kind}_levels"] = _cut_up(known.level(keys)[at], sizes[kind])
+            if kind == "word":
+                answers["word_counts"] = _cut_up(known.word_count(keys)[at], sizes[kind])
+        rest = [0] * (table.num_rows - 1)
         return pa.table({
-            "segment": pa.array([table["segment"][0].as_py()], pa.int32()), "n_tokens": pa.array([int(word_counts.sum())], pa.int64()),
-            "n_words": pa.array([len(words)], pa.int64()), "word_keys": pa.array([words.tobytes()], pa.binary()),
-            "word_counts": pa.array([word_counts.tobytes()], pa.binary()), "bits": pa.array([bits.tobytes()], pa.binary())})
+            "segment": table["segment"], "pack": table["pack"], "n_tokens": pa.array([int(grams[0][1].sum()), *rest], pa.int64()),
+            "n_words": pa.array([len(grams[0][0]), *rest], pa.int64()), **{name: answers[name] for name in ("word_levels", "word_counts", "pair_levels")}})
 
     return work
 
@@ -172,27 +223,15 @@ def build_filter(grams: list[tuple[np.ndarray, np.ndarray]]) -> np.ndarray:
 
 
 class Model:
-    """One round's segments, a broadcast each: exact word counts and the filter."""
+    """Some segments of the model: exact word counts and the filter."""
 
     def __init__(self, segments: int, parts: dict):
-        self.segments = segments
-        self.parts = {segment: part.value for segment, part in parts.items()}
-
-    def owns(self, keys: np.ndarray) -> np.ndarray:
-        """Positions of the keys that belong to these segments."""
-        if len(self.parts) == self.segments:
-            return np.arange(len(keys))
-        held = np.zeros(self.segments, bool)
-        held[list(self.parts)] = True
-        return np.flatnonzero(held[(keys % np.uint64(self.segments)).astype(np.int64)])
+        self.segments, self.parts = segments, parts
 
     def _by_segment(self, keys: np.ndarray):
-        # two bytes are sorted by radix, in linear time
-        where = (keys % np.uint64(self.segments)).astype(np.uint16 if self.segments < 1 << 16 else np.int64)
-        order = np.argsort(where, kind="stable")
-        ids = np.array(list(self.parts), where.dtype)
-        lows, highs = (np.searchsorted(where[order], ids, side) for side in ("left", "right"))
-        for part, low, high in zip(self.parts.values(), lows, highs, strict=True):
+        order, cuts = _by_segment(keys, self.segments)
+        for segment, part in self.parts.items():
+            low, high = cuts[segment:segment + 2]
             if low < high:
                 yield order[low:high], part
 
@@ -220,54 +259,39 @@ class Model:
         return out
 
 
-def count_model(train: DataFrame, segments: int) -> DataFrame:
-    """One row per segment: its exact word counts and its part of the filter."""
-    packed = train.select("text").mapInArrow(_counter(segments), _PACKED)
-    return packed.groupBy("segment").applyInArrow(_sum_segment(segments), _PART)
-
-
-def _rounds(parts: DataFrame, round_bytes: int) -> list[list[int]]:
-    """Segments by round, so that a round's parts have at most ``round_bytes`` (one larger part makes a round)."""
-    sizes = parts.select("segment", (F.length("word_keys") * 2 + F.length("bits")).alias("size")).orderBy("segment").toLocalIterator()
-    out, room = [[]], round_bytes
-    for row in sizes:
-        if out[-1] and row.size > room:
-            out.append([])
-            room = round_bytes
-        out[-1].append(row.segment)
-        room -= row.size
-    return out
-
-
-def _prober(segments: int, parts: dict, n_all: int, n_distinct: int):
-    """Adds what one round's segments know of every text: base score, known words, levels of words and pairs."""
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        known = Model(segments, parts)
-        scale = np.log10(n_all + n_distinct + 1)
-        for batch in common.runs(batches, "text"):
-            words, pairs, begin = _grams(batch.column("text"))
-            # a round looks at the n-grams of its own segments only, so that all rounds together probe each one once
-            at, pair_at = known.owns(words), known.owns(pairs)
-            distinct, back = np.unique(words[at], return_inverse=True)
-            counts = known.word_count(distinct)
-            logs, held = np.zeros(len(words)), np.zeros(len(words), np.int64)
-            logs[at], held[at] = np.log10(counts + 1.0)[back], (counts > 0)[back]
-            base, seen = np.add.reduceat(logs, begin[:-1]), np.add.reduceat(held, begin[:-1])
-            one, two = np.zeros(len(words), np.uint8), np.zeros(len(pairs), np.uint8)
-            one[at], two[pair_at] = known.level(distinct)[back], known.level(pairs[pair_at])
-            tokens = np.diff(begin)
-            old = {name: batch.column(name) for name in ("base", "n_known", "levels")}
-            if old["levels"].null_count < batch.num_rows:
-                base = base + old["base"].to_numpy()
-                seen = seen + old["n_known"].to_numpy()
-                before = [np.frombuffer(x, np.uint8).reshape(2, -1) for x in old["levels"].to_pylist()]
-                one, two = one + np.concatenate([b[0] for b in before]), two + np.concatenate([b[1] for b in before])
-            else:
-                base = base - tokens * scale
-            levels = [np.concatenate((one[a:b], two[a:b])).tobytes() for a, b in zip(begin[:-1], begin[1:], strict=True)]
-            yield pa.RecordBatch.from_arrays([
-                batch.column("doc_id"), batch.column("held_out"), batch.column("text"), pa.array(tokens, pa.int64()), pa.array(seen, pa.int64()),
-                pa.array(base, pa.float64()), pa.array(levels, pa.binary())], names=["doc_id", "held_out", "text", "n_tokens", "n_known", "base", "levels"])
+def answers_of(packs: DataFrame, segments: int) -> DataFrame:
+    """One row per pack and segment: the segment's answers to the pack, and once per segment its tokens and words."""
+    sent = packs.select("pack", "doc_ids", "held_out", "lengths", "words", "tokens").mapInArrow(_sender(segments), _SENT)
+    return sent.groupBy("segment").applyInArrow(_answer(segments), _ANSWER)
+
+
+def _reader(segments: int, n_all: int, n_distinct: int):
+    """What the answers say of every text of a pack: base score, known words, levels of words and pairs."""
+    scale = np.log10(n_all + n_distinct + 1)
+
+    def work(packs: pa.Table, answers: pa.Table) -> pa.Table:
+        pack = Pack(packs, 0)
+        answers = answers.sort_by("segment")
+
+        def read(name: str, kind: type, keys: np.ndarray) -> np.ndarray:
+            order, _ = _by_segment(keys, segments)
+            out = np.empty(len(keys), kind)
+            out[order] = np.concatenate([np.frombuffer(x.as_buffer(), kind) for x in answers[name]])
+            return out
+
+        counts = read("word_counts", np.int64, pack.words)
+        lengths = pack.lengths
+        begin = np.cumsum(lengths) - lengths
+        base = np.add.reduceat(np.log10(counts + 1.0)[pack.word_at], begin) - lengths * scale
+        seen = np.add.reduceat((counts > 0).astype(np.int64)[pack.word_at], begin)
+        # each text's levels: those of its words, then those of its pairs
+        levels = np.empty(2 * len(pack.word_at), np.uint8)
+        at = np.arange(len(pack.word_at)) + np.repeat(begin, lengths)
+        levels[at] = read("word_levels", np.uint8, pack.words)[pack.word_at]
+        levels[at + np.repeat(lengths, lengths)] = read("pair_levels", np.uint8, pack.pairs)[pack.pair_at]
+        return pa.table({
+            "doc_id": pack.ids, "held_out": pack.held_out, "n_tokens": pa.array(lengths), "n_known": pa.array(seen), "base": pa.array(base),
+            "levels": _cut_up(levels, 2 * np.append(begin, begin[-1] + lengths[-1]))})
 
     return work
 
@@ -322,25 +346,20 @@ def fit_weights(probed: DataFrame, mixture: Mixture, rounds: int = 30) -> np.nda
 
 def score_texts(docs: DataFrame, segment_bytes: int = SEGMENT_BYTES, round_bytes: int = ROUND_BYTES) -> DataFrame:
     """One row per document: held_out, n_tokens, n_known, train_tokens, base_score, score."""
-    spark = docs.sparkSession
     texts = docs.select("doc_id", (common.fold_of(F.col("doc_id"), FOLDS) == HELD_OUT).alias("held_out"), "text")
-    train = texts.where("not held_out")
-    size = train.agg(F.sum(F.octet_length("text")).alias("bytes"), F.count(F.lit(1)).alias("n")).first()
-    segments = max(1, -(-(size["bytes"] or 0) // segment_bytes))
-    parts = common.cut(count_model(train, segments), "lm-model")
-    sums = parts.agg(F.sum("n_tokens").alias("n_all"), F.sum("n_words").alias("n_distinct")).first()
-    n_all, n_distinct = sums.n_all or 0, sums.n_distinct or 0
-    state = texts.select("*", F.lit(None).cast("bigint").alias("n_tokens"), F.lit(None).cast("bigint").alias("n_known"), F.lit(None).cast("double").alias("base"), F.lit(None).cast("binary").alias("levels"))
+    held, length = F.col("held_out"), F.octet_length("text")
+    size = texts.agg(F.sum(length).alias("all"), F.sum(F.when(~held, length)).alias("bytes"), F.count_if(~held).alias("n")).first()
+    # training texts set the segments; only where others have several times their bytes, there are more
+    segments = max(1, -(-(size["bytes"] or 0) // segment_bytes), -(-(size["all"] or 0) // (4 * segment_bytes)))
     kind = docs.schema["doc_id"].dataType.simpleString()
-    for n, wanted in enumerate(rounds := _rounds(parts, round_bytes)):
-        # at most round_bytes in all; each segment is a broadcast of its own, so the driver holds one at a time
-        rows = parts.where(F.col("segment").isin(wanted)).select("segment", "word_keys", "word_counts", "bits").toLocalIterator() if wanted else ()
-        model = {r.segment: spark.sparkContext.broadcast((
-            np.frombuffer(r.word_keys, np.uint64), np.frombuffer(r.word_counts, np.int64), np.frombuffer(r.bits, np.uint64))) for r in rows}
-        probed = state.mapInArrow(_prober(segments, model, n_all, n_distinct), f"doc_id {kind}, held_out boolean, text string, n_tokens bigint, n_known bigint, base double, levels binary")
-        state = common.cut(probed if n + 1 < len(rounds) else probed.withColumn("text", F.lit(None).cast("string")), "lm-probed")
-        for part in model.values():
-            part.unpersist()
+    packed = texts.mapInArrow(_packer(max(1, round_bytes // TOKEN_BYTES)), f"doc_ids array<{kind}>, held_out array<boolean>, lengths binary, words binary, tokens binary")
+    # numbers are given before the packs are written, so they stay whatever is run again
+    packs = common.cut(packed.withColumn("pack", F.monotonically_increasing_id()), "lm-packs", maxRecordsPerFile=FILE_PACKS, **_ZSTD)
+    answers = common.cut(answers_of(packs, segments), "lm-answers", **_ZSTD)
+    sums = answers.agg(F.sum("n_tokens").alias("n_all"), F.sum("n_words").alias("n_distinct")).first()
+    n_all, n_distinct = sums.n_all or 0, sums.n_distinct or 0
+    state = common.cut(packs.groupBy("pack").cogroup(answers.groupBy("pack")).applyInArrow(
+        _reader(segments, n_all, n_distinct), f"doc_id {kind}, held_out boolean, n_tokens bigint, n_known bigint, base double, levels binary"), "lm-probed", **_ZSTD)
     mixture = Mixture(size["n"], n_all, n_distinct)
     weight = fit_weights(state, mixture)
 

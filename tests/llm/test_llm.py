@@ -74,6 +74,21 @@ def test_lm_beats_its_base_and_rounds_agree(spark):
     assert all(r[:5] == one[r.doc_id][:5] and math.isclose(r.base_score, one[r.doc_id].base_score, rel_tol=1e-9) for r in many)
 
 
+def test_lm_writes_no_more_for_a_larger_model(spark, frame, monkeypatch):
+    random.seed(3)
+    docs = frame([(k, " ".join(f"w{random.randrange(10**6)}" for _ in range(500))) for k in range(200)] + [(None, None), (7, "a a")])
+    text = docs.agg(F.sum(F.octet_length("text"))).first()[0]
+    written, write = [], common.write_scratch
+    monkeypatch.setattr(common, "write_scratch", lambda *a, **o: written.append(write(*a, **o)) or written[-1])
+    got, sizes = [], []
+    for segment, gathered in ((1 << 24, 1 << 27), (1 << 15, 1 << 18)):
+        got.append(ordered((r.doc_id, r.n_tokens, r.n_known, f"{r.base_score:.9g}") for r in lm_score.score_texts(docs, segment, gathered).collect()))
+        sizes.append(sum(f.stat().st_size for path in written for f in Path(urlsplit(path).path).glob("*.parquet")))
+        written.clear()
+    # many segments and rounds write neither the texts nor their levels again
+    assert got[0] == got[1] and max(sizes) < 4 * text and sizes[1] < 2 * sizes[0]
+
+
 def test_log_frequency_filter():
     keys, counts = common.mix(np.arange(20_000, dtype=np.uint64)), np.random.default_rng(1).zipf(1.6, 20_000).clip(1, 10**6)
     level = lm_score.levels_of(counts)
