@@ -4,8 +4,9 @@
   thousands of copies cost one node and ties go to the smaller id exactly.
 * Nodes are dealt to shards of about ``SHARD_ROWS`` by a hash of the vector. A shard's graph is built in one task and is
   one row: vectors, ids, and for each level an array of neighbours. Shards follow the input; each is bounded.
-* Queries travel in blocks of at most ``BLOCK`` to every shard, each shard answers with its ``k`` nearest, and the best
-  ``k`` of all answers are kept. Distances are Euclidean, in double precision on the original vectors.
+* Queries go in blocks of about ``BLOCK`` to every shard: tasks read some shards and some blocks from the shared folder,
+  so no block is copied for each shard, by a shuffle or through the driver. Each shard answers with its ``k`` nearest,
+  and the best ``k`` of all answers are kept. Distances are Euclidean, in double precision on the original vectors.
 
 Cases: rows without an id, and vectors that are null, empty, all zero or hold null or non-finite components, take no
 part; of rows with one id the one with the smallest vector counts; vectors of different lengths never meet; with fewer
@@ -204,12 +205,10 @@ def search(vectors: DataFrame, queries: DataFrame, k: int = K, shard_rows: int =
     asked = queries.select(F.col("vec_id").cast("bigint").alias("vec_id"), F.col("embedding").cast("array<double>").alias("vector")).where(F.col("vec_id").isNotNull() & F.coalesce(usable(F.col("vector")), F.lit(False)))
     asked = common.cut(asked.distinct().withColumn("part", F.xxhash64("vector")), "ann-queries")
     blocks = max(1, -(-asked.count() // block))
-    # a block goes to each shard there is: shards x blocks rows, each answered by one graph
-    dealt = (
-        asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(F.collect_list(F.struct("vec_id", "part", "vector")).alias("queries"))
-        .select("dim", F.explode(F.sequence(F.lit(0), F.lit(shards - 1))).alias("shard"), "queries")
-    )
-    answers = dealt.join(index, ["dim", "shard"]).select("dim", "shard", "entry", "vectors", "ids", "levels", "queries").mapInArrow(_searcher(k, width), "query_id bigint, part bigint, vec_id bigint, score double")
+    blocks = common.cut(asked.groupBy(F.size("vector").alias("dim"), F.pmod(F.xxhash64("vec_id"), F.lit(blocks)).alias("block")).agg(
+        F.collect_list(F.struct("vec_id", "part", "vector")).alias("queries")).select("dim", "queries"), "ann-blocks")
+    # a block goes to each shard there is; tasks read both from the shared folder, so nothing is copied by a shuffle or sent through the driver
+    answers = index.hint("shuffle_replicate_nl").join(blocks, "dim").select("dim", "shard", "entry", "vectors", "ids", "levels", "queries").mapInArrow(_searcher(k, width), "query_id bigint, part bigint, vec_id bigint, score double")
     rank = F.row_number().over(Window.partitionBy("query_id", "part").orderBy("score", "vec_id"))
     return answers.withColumn("rank", rank).where(F.col("rank") <= k).select("query_id", "rank", "vec_id", "score")
 

@@ -423,6 +423,21 @@ def test_neighbours_of_repeated_ids(spark):
         [(100, 1, 7, 0.1), (100, 2, 100, 6.0), (100, 3, 100, 6.0), (100, 4, 7, 7.0), (100, 1, 100, 0.0), (100, 2, 7, 1.0), (100, 3, 7, 5.9), (100, 4, 100, 6.0)])
 
 
+def test_neighbours_over_shards_send_nothing_through_the_driver(spark):
+    rng = np.random.default_rng(5)
+    rows = [(k, rng.normal(size=6).tolist()) for k in range(400)]
+    vectors = spark.createDataFrame(rows, "vec_id bigint, embedding array<double>")
+    found = ann.search(vectors, vectors.where("vec_id % 20 = 0"), shard_rows=60, block=7)
+    plan = found._jdf.queryExecution().executedPlan().toString()
+    # neither blocks nor shards are broadcast, or copied for each other by a shuffle: the one exchange is that of the answers
+    assert "Broadcast" not in plan and plan.count("Exchange") == 1
+    got = collections.defaultdict(list)
+    for r in sorted(found.collect(), key=lambda r: r["rank"]):
+        got[r.query_id].append((r.vec_id, round(r.score, 9)))
+    want = {q: [(i, round(x, 9)) for x, i in near] for q, near in nearest(rows, [r for r in rows if r[0] % 20 == 0])}
+    assert got == want
+
+
 # 9 ------------------------------------------------------------------------------------------------------------------
 
 def print_of(text):
